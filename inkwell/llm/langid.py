@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.words import powers, slices, span_hashes, text_buffers
+from inkwell.llm.words import mix, powers, slices, span_hashes, text_buffers
 
 #: Most texts of one language that are learnt from, taken in the order of a hash of doc_id.
 MOST_TEXTS = 1_500
@@ -68,18 +68,20 @@ class Vocabulary:
         self.pieces = pieces
         self.longest = max(map(len, pieces))
         rows, sizes = padded(pieces)
-        self.hashes = string_hashes(rows, sizes)
+        self.hashes = mix(string_hashes(rows, sizes))
         if len(np.unique(self.hashes)) < len(pieces):
             raise ValueError("two pieces share a hash")
         self.sorted = np.argsort(self.hashes)
         self.table = self.hashes[self.sorted]
-        top = (self.table >> np.uint64(48)).astype(np.int64)
-        self.begin = np.searchsorted(top, np.arange(1 << 16))  # pieces whose hashes begin alike: one or none as a rule
+        top = (self.table >> np.uint64(46)).astype(np.int64)
+        self.begin = np.searchsorted(top, np.arange(1 << 18)).astype(np.int32)  # pieces whose hashes begin alike: one or none as a rule
         self.most = int(np.bincount(top).max())
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The index of each hash's piece, or -1."""
-        at = self.begin[(hashes >> np.uint64(48)).astype(np.int64)]
+        with np.errstate(over="ignore"):
+            hashes = mix(hashes)
+        at = self.begin[(hashes >> np.uint64(46)).astype(np.int64)]
         out = np.full(len(hashes), -1)
         for k in range(self.most):
             to = np.minimum(at + k, len(self.table) - 1)
