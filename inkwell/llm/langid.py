@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.words import mix, powers, slices, span_hashes, text_buffers
 
 #: Most texts of one language that are learnt from, taken in the order of a hash of doc_id.
-MOST_TEXTS = 1_500
+MOST_TEXTS = 600
 #: A longer word is scored in runs of so many bytes, so that probabilities stay above what a double can hold.
 RUN = 32
 #: Rounds of expectation maximisation, and what each piece counts in every language before any text.
@@ -195,14 +195,15 @@ def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None,
         if not own.num_rows:
             chances[:, k] = start
             continue
-        order = np.argsort([len(x) for x in own.column("word").to_pylist()], kind="stable")
-        words, n = [own.column("word").to_pylist()[i] for i in order], own.column("n").to_numpy()[order].astype(float)
+        words = sorted(zip(own.column("word").to_pylist(), own.column("n").to_pylist(), strict=True), key=lambda x: len(x[0]))
+        chunks = []
+        for at in range(0, len(words), 20_000):
+            rows, width = padded([w for w, _ in words[at : at + 20_000]])
+            chunks.append((rows, width, np.array([n for _, n in words[at : at + 20_000]], float), list(lattice(rows, width, vocab))))
         now = start.copy()
         for _ in range(ROUNDS):
             seen = np.zeros(len(vocab.pieces))
-            for at in range(0, len(words), 20_000):
-                rows, width = padded(words[at : at + 20_000])
-                edges = list(lattice(rows, width, vocab))
+            for rows, width, n, edges in chunks:
                 alpha, beta = np.zeros((len(rows), rows.shape[1] + 1)), np.zeros((len(rows), rows.shape[1] + 1))
                 alpha[:, 0] = 1
                 beta[np.arange(len(rows)), width] = 1
@@ -210,7 +211,7 @@ def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None,
                     alpha[where, end] += alpha[where, end - m] * now[piece]
                 for end, m, where, piece in reversed(edges):
                     beta[where, end - m] += beta[where, end] * now[piece]
-                share = n[at : at + 20_000] / alpha[np.arange(len(rows)), width]
+                share = n / alpha[np.arange(len(rows)), width]
                 for end, m, where, piece in edges:
                     seen += np.bincount(piece, alpha[where, end - m] * now[piece] * beta[where, end] * share[where], len(seen))
             now = (seen + PSEUDO) / (seen.sum() + PSEUDO * len(seen))
