@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import langid
 from inkwell.llm.bpe import decode, encode
 from inkwell.llm.packing import pack, token_pieces
+from inkwell.llm.quality import HOST_SQL, judge
 from inkwell.llm.secrets import KINDS, listed, scan
 from inkwell.llm.shared import table
 from inkwell.llm.substring import remove_repeats
@@ -39,6 +40,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).drop("host", "host_rate")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -76,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
     "op7_toxicity": op7_toxicity,
     "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_SQL,
+    "op5_quality_rules": HOST_SQL,
 }
