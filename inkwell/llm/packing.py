@@ -75,8 +75,6 @@ class Encoder:
                     self.parts[part] = np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
         if len(self.parts) > CACHE:
             self.parts.clear()
         split, other = [], []
@@ -94,15 +92,12 @@ class Encoder:
 
     def ids(self, texts: list[list[bytes]]) -> list[bytes]:
         """texts: each text's words."""
-        new: set[bytes] = set()
-        known = self.words
-        for words in texts:
-            new.update([w for w in words if w not in known])
+        if len(self.words) > CACHE:
+            self.words.clear()
+        new = set().union(*texts).difference(self.words)
         if new:
             self.learn(list(new))
-            if any(w not in known for words in texts for w in words):  # the cache was emptied
-                self.learn(list({w for words in texts for w in words if w not in known}))
-        get = known.__getitem__
+        get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in texts]
 
 
