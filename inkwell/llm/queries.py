@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import langid
 from inkwell.llm.bpe import decode, encode
+from inkwell.llm.neardup import NEAR_SQL, near_duplicates
 from inkwell.llm.packing import pack, token_pieces
 from inkwell.llm.quality import HOST_SQL, judge
 from inkwell.llm.secrets import KINDS, listed, scan
@@ -50,6 +51,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang"))
@@ -83,10 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_toxicity": op7_toxicity,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_SQL,
     "op5_quality_rules": HOST_SQL,
+    "op9_embedding_near_dedup": NEAR_SQL,
 }
