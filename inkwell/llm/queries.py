@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import langid
 from inkwell.llm.bpe import decode, encode
+from inkwell.llm.lines import LINES_SQL, remove_repeated_lines
 from inkwell.llm.neardup import NEAR_SQL, near_duplicates
 from inkwell.llm.packing import pack, token_pieces
 from inkwell.llm.quality import HOST_SQL, judge
@@ -45,6 +46,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
@@ -95,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_SQL,
     "op5_quality_rules": HOST_SQL,
+    "op6_line_dedup": LINES_SQL,
     "op9_embedding_near_dedup": NEAR_SQL,
 }
