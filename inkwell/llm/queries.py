@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import langid
 from inkwell.llm.bpe import decode, encode
+from inkwell.llm.jaccard import JACCARD_SQL, similar_documents
 from inkwell.llm.lines import LINES_SQL, remove_repeated_lines
 from inkwell.llm.neardup import NEAR_SQL, near_duplicates
 from inkwell.llm.packing import pack, token_pieces
@@ -57,6 +58,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
 }
@@ -103,5 +109,6 @@ SQL: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_SQL,
     "op5_quality_rules": HOST_SQL,
     "op6_line_dedup": LINES_SQL,
+    "op8_jaccard_join": JACCARD_SQL,
     "op9_embedding_near_dedup": NEAR_SQL,
 }
