@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import saved
+from inkwell.llm.shared import saved, stored
 
 #: The base patterns, in the order in which kinds are listed; group 2 of an assignment is its value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,6 +117,17 @@ def tested(hit: Column) -> Column:
     return let(code, with_code)
 
 
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """docs with each secret in text masked; all rows and columns stay, a null text null.
+
+    The spans go with the rows through one pass, so no join is needed (columns named base, runs and spans must not be there).
+    """
+    clash = {"base", "runs", "spans"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"docs already has {sorted(clash)}")
+    return scanned(docs, docs.columns).withColumn("text", masked(F.col("text"), F.col("spans"))).select(*docs.columns)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans of each whole text; both array<struct<start, kind, end>> by start and kind.
 
@@ -127,12 +138,17 @@ def scan(docs: DataFrame) -> DataFrame:
     encoding and power of two of length, by Benjamini and Hochberg's rule over bins of p-values, so that
     what is gathered is a count per stratum and bin.  A null or empty text has no spans; rows stay one for one.
     """
+    return scanned(docs.select("doc_id", "text"), ["doc_id", "base"])
+
+
+def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep and spans, of rows with text, base and runs besides."""
     text = F.coalesce("text", F.lit(""))
-    read = docs.select("doc_id", text.alias("text"))
-    runs = F.transform(found(F.col("text"), RUN), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), tested(h["hit"]).alias("t")))
-    rows = saved(read.select("doc_id", base_spans(F.col("text")).alias("base"), runs.alias("runs")))
+    runs = F.transform(found(text, RUN), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), tested(h["hit"]).alias("t")))
+    rows = docs.select("*", base_spans(text).alias("base"), runs.alias("runs"))
+    rows = stored(rows, "spans") if "text" in keep else saved(rows.drop("text"))
     outside = F.filter("runs", lambda r: r["t"]["encoding"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    open_rows = rows.where(F.size("runs") > 0).select("doc_id", F.explode(outside).alias("r"))
+    open_rows = rows.where(F.size("runs") > 0).select(F.explode(outside).alias("r"))
 
     def stratum(r: Column) -> Column:
         return r["t"]["encoding"] * 64 + F.floor(F.log2(r["t"]["n"])).cast("int")
@@ -150,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
     table = F.map_from_entries(F.array(*limits)) if limits else F.expr("cast(map() as map<int,int>)")
     passed = lambda r: (r["t"]["p_random"] >= LEVEL) & (p_bin(r) >= F.try_element_at(table, stratum(r)))
     random = F.transform(F.filter(outside, lambda r: F.coalesce(passed(r), F.lit(False))), lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
+    return rows.select(*keep, F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def listed(spans_: Column) -> Column:

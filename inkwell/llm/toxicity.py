@@ -143,21 +143,42 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     return fit([s for s, r in zip(sets, rows, strict=True) if r["p"] == 1], [s for s, r in zip(sets, rows, strict=True) if r["u"] == 0], prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score, 0 to 1, of each whole text; only its words count.  A null or empty text scores by the bias alone."""
+def scorer(model: Model):
+    """A function of a column of texts that gives their scores."""
     chosen = np.flatnonzero(model.weights)
     values, bias = model.weights[chosen].astype(float), model.bias
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(column: pa.Array) -> np.ndarray:
         weigh = np.zeros(BUCKETS)
         weigh[chosen] = values
+        data, offsets = text_buffers(column)
+        row, bucket = hashed_words(data, offsets)
+        counts = weigh[bucket] != 0
+        both = np.unique(row[counts] * BUCKETS + bucket[counts])
+        return sigmoid(np.bincount(both // BUCKETS, weigh[both % BUCKETS], len(column)) + bias)
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score, 0 to 1, of each whole text; only its words count.  A null or empty text scores by the bias alone."""
+    of = scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = text_buffers(part.column(1))
-                row, bucket = hashed_words(data, offsets)
-                counts = weigh[bucket] != 0
-                both = np.unique(row[counts] * BUCKETS + bucket[counts])
-                total = np.bincount(both // BUCKETS, weigh[both % BUCKETS], part.num_rows)
-                yield pa.record_batch([part.column(0), pa.array(sigmoid(total + bias), pa.float64())], names=["doc_id", "score"])
+                yield pa.record_batch([part.column(0), pa.array(of(part.column(1)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+
+
+def below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    of = scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(of(part.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
