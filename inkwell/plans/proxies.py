@@ -1,4 +1,151 @@
-"""Queries of the document operators over the driver's tables."""
+"""Queries of the document operators over the driver's tables, which hold no PDFs: what stands in for what is said at each."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkwell.functions.text import bold_marked_markup, natural_key, sibling_name
+from inkwell.operators import exports, styles
+
+RUN = r"<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)"
+BODY = ("p", "b", "h1")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as glyphs: a tag is the font, the text up to the next tag a run, the tag's length the size."""
+    runs = F.posexplode(F.regexp_extract_all("html", F.lit(RUN), F.lit(0))).alias("ord", "run")
+    tag, text = F.regexp_extract("run", RUN, 1), F.regexp_extract("run", RUN, 2)
+    return table(spark, sf_dir, "pages").select("page_id", runs).select("page_id", "ord", tag.alias("font"), F.length(tag).cast("double").alias("size"), text.alias("text"))
+
+
+def style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glyphs(spark, sf_dir)
+
+
+def dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styles.dominant_style(glyphs(spark, sf_dir), ["page_id"])
+
+
+def dominant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size is the tag's length here; runs of at least the page's main size stay."""
+    return styles.keep_dominant(glyphs(spark, sf_dir), 1.0, ["page_id"])
+
+
+def style_filter_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = styles.keep_styles(glyphs(spark, sf_dir), keep_fonts=BODY)
+    return styles.plain_text(kept, pages=table(spark, sf_dir, "pages"), separator="\n", by=["page_id"])
+
+
+def size_filter_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a size of 2 at least, without scripts and styles."""
+    kept = styles.keep_styles(glyphs(spark, sf_dir), min_size=2.0, drop_fonts=["script", "style"])
+    return styles.plain_text(kept, separator=" ", by=["page_id"])
+
+
+def numbered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header and numbered entries from the filtered runs of each page."""
+    kept = styles.keep_styles(glyphs(spark, sf_dir), keep_fonts=BODY)
+    return styles.numbered_text(kept, ["page_id"], ["ord"], F.col("text"), lambda n, t: F.concat(F.lit("["), n.cast("string"), F.lit("]\n"), t), F.concat(F.lit("page "), F.col("page_id").cast("string")))
+
+
+def style_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label per run: the anchor's x is the run's length, its y the order on the page."""
+    runs = glyphs(spark, sf_dir).select("*", F.length("text").cast("double").alias("x1"), F.col("ord").cast("double").alias("top"))
+    return styles.style_labels(runs, ["page_id", "ord", "font", "size"])
+
+
+def bold_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """<b> is never closed in pages; its text up to the next tag is bold."""
+    return table(spark, sf_dir, "pages").select("page_id", bold_marked_markup(F.col("html")).alias("text"))
+
+
+def bold_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as an annotation whose runs are bold where the tag is b."""
+    rows = glyphs(spark, sf_dir).withColumns({"path": F.col("page_id"), "page": F.lit(0), "idx": F.lit(0)})
+    runs = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text", (F.col("font") == "b").alias("bold")))), lambda r: F.struct(r["text"].alias("text"), r["bold"].alias("bold")))
+    return exports.export_bold(rows.groupBy("path", "page", "idx").agg(runs.alias("runs"), F.lit(None).cast("string").alias("contents"))).withColumnRenamed("path", "page_id")
+
+
+def export_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is a PDF, a turn an annotation."""
+    return exports.export_plain(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text")
+
+
+def export_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role is the author; there is no subject."""
+    return exports.export_info(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], author="role", subject=None, text="text")
+
+
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text's name for PDFs named by page and, for every third page, a name that is no PDF's."""
+    path = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".html").when(F.col("page_id") % 3 == 1, ".pdf").otherwise(".PDF"))
+    return table(spark, sf_dir, "pages").select("page_id", sibling_name(path).alias("out"))
+
+
+def merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source is the file name; each language is a folder."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "doc_id")
+    return exports.merge_order(docs, "source", ["lang"])
+
+
+def merge_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language and source's last digit, the documents' texts by file name."""
+    docs = table(spark, sf_dir, "documents").withColumn("part", F.substring("source", -1, 1))
+    out = exports.merge_text(docs, ["lang", "part"], "source", ["doc_id"], "text")
+    return out.select("lang", "part", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+def natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of names whose digits are also full-width and lead with zeros."""
+    name = F.concat("source", F.lit("第０"), F.translate(F.col("doc_id").cast("string"), "0123456789", "０１２３４５６７８９"), F.lit("話"))
+    return table(spark, sf_dir, "documents").select("doc_id", natural_key(name).alias("key"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, natural_names)
+}
+
+RUNS = r"""WITH raw AS (
+  SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)') AS rs FROM pages
+), cut AS (
+  SELECT page_id, unnest(range(len(rs))) AS ord, unnest(rs) AS run FROM raw
+), glyphs AS (
+  SELECT page_id, CAST(ord AS INT) AS ord, regexp_extract(run, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)', 1) AS font,
+    CAST(length(regexp_extract(run, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)', 1)) AS DOUBLE) AS size, regexp_extract(run, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)', 2) AS text FROM cut
+)
+"""
+TOP = """, totals AS (
+  SELECT page_id, font, size, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM glyphs GROUP BY page_id, font, size
+), top AS (
+  SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n_chars DESC, font, size) = 1
+)
+"""
+KEY = """array_to_string(list_transform(regexp_extract_all(translate({0}, '０１２３４５６７８９', '0123456789'), '([0-9]+|[^0-9]+)'),
+  lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN lpad(CAST(length(regexp_replace(t, '^0+', '')) AS VARCHAR), 4, '0') || regexp_replace(t, '^0+', '') ELSE t END), '')"""
+NAME = "source || '第０' || translate(CAST(doc_id AS VARCHAR), '0123456789', '０１２３４５６７８９') || '話'"
+
+SQL: dict[str, str] = {
+    "style_runs": RUNS + "SELECT page_id, ord, font, size, text FROM glyphs",
+    "dominant_style": RUNS + TOP + "SELECT page_id, font, size, n_chars FROM top",
+    "dominant_filter": RUNS + TOP + "SELECT g.page_id, ord, g.font, g.size, text FROM glyphs g JOIN top t ON g.page_id = t.page_id WHERE g.size >= t.size",
+    "style_filter_plain": RUNS + ", kept AS (SELECT page_id, string_agg(text, chr(10) ORDER BY ord) AS text FROM glyphs WHERE font IN ('p', 'b', 'h1') GROUP BY page_id) SELECT p.page_id, coalesce(text, '') AS text FROM (SELECT DISTINCT page_id FROM pages) p LEFT JOIN kept USING (page_id)",
+    "size_filter_plain": RUNS + "SELECT page_id, string_agg(text, ' ' ORDER BY ord) AS text FROM glyphs WHERE size >= 2 AND font NOT IN ('script', 'style') GROUP BY page_id",
+    "numbered_export": RUNS + ", kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM glyphs WHERE font IN ('p', 'b', 'h1')) SELECT page_id, 'page ' || page_id || chr(10) || string_agg('[' || n || ']' || chr(10) || text, chr(10) ORDER BY n) AS text FROM kept GROUP BY page_id",
+    "style_label": RUNS + "SELECT page_id, ord, font, size, CAST(length(text) AS DOUBLE) AS x, CAST(ord AS DOUBLE) AS y, font || ' ' || CAST(size AS VARCHAR) AS label FROM glyphs",
+    "bold_wrap": r"SELECT page_id, regexp_replace(html, '<b>([^<]+)', '【\1】', 'g') AS text FROM pages",
+    "bold_runs": RUNS + "SELECT page_id, string_agg(CASE WHEN font = 'b' THEN '【' || text || '】' ELSE text END, '' ORDER BY ord) AS text FROM glyphs GROUP BY page_id",
+    "export_plain": "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "export_info": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, string_agg(concat_ws(chr(9), CAST(k AS VARCHAR), role, coalesce(text, '')), chr(10) ORDER BY k) AS text FROM n GROUP BY conv_id",
+    "output_names": "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url || '.txt' END AS out FROM pages",
+    "merge_order": f"SELECT lang, source, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY {KEY.format('source')}, source, lang, doc_id) AS INT) AS position FROM documents",
+    "merge_concat": f"WITH d AS (SELECT *, right(source, 1) AS part, {KEY.format('source')} AS k FROM documents), m AS (SELECT lang, part, string_agg(coalesce(text, ''), chr(10) ORDER BY k, source, doc_id) AS text FROM d GROUP BY lang, part) SELECT lang, part, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM m",
+    "natural_names": f"SELECT doc_id, {KEY.format('(' + NAME + ')')} AS key FROM documents",
+}
