@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import langid
@@ -14,7 +14,7 @@ from inkwell.llm.lines import LINES_SQL, remove_repeated_lines
 from inkwell.llm.neardup import NEAR_SQL, near_duplicates
 from inkwell.llm.packing import pack, token_pieces
 from inkwell.llm.quality import HOST_SQL, judge
-from inkwell.llm.secrets import KINDS, listed, scan
+from inkwell.llm.secrets import KINDS, listed, scan, scan_sql
 from inkwell.llm.shared import table
 from inkwell.llm.substring import remove_repeats
 from inkwell.llm.toxicity import held_out, score, train
@@ -34,8 +34,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    return out.select("doc_id", *map(count, range(3)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_secret_scan": scan_sql(),
     "op3_substring_dedup": SUBSTRING_SQL,
     "op5_quality_rules": HOST_SQL,
     "op6_line_dedup": LINES_SQL,

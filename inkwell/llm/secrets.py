@@ -9,6 +9,7 @@ from inkwell.llm.shared import saved, stored
 
 #: The base patterns, in the order in which kinds are listed; group 2 of an assignment is its value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+VALUE_BEFORE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
@@ -62,8 +63,7 @@ def spans(hits: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """By start and kind: array<struct<start, kind, end>>."""
-    value = r"(?s)^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
-    assign = F.filter(found(text, ASSIGN), lambda h: F.length(F.regexp_replace(h["hit"], value, "")) >= LEAST_VALUE)
+    assign = F.filter(found(text, ASSIGN), lambda h: F.length(F.regexp_replace(h["hit"], VALUE_BEFORE, "")) >= LEAST_VALUE)
     # the longest runs are the matches, so that a least length in the pattern drops just the failing ones
     access = found(text, r"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4))
     lower_hex = found(text, r"[0-9a-f]{%d,}" % LEAST_HEX)
@@ -186,3 +186,78 @@ def masked(text: Column, spans_: Column, mask: str = "[secret]") -> Column:
 
     joined = F.aggregate(spans_, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
     return F.when(F.size(spans_) > 0, joined).otherwise(text)
+
+
+def scan_sql() -> str:
+    """DuckDB SQL for base spans and spans of documents, from the same fixed values."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = [
+        (0, ASSIGN, f"length(regexp_replace(hit, {quoted(VALUE_BEFORE)}, '')) >= {LEAST_VALUE}"),
+        (1, ACCESS, f"length(hit) >= {LEAST_ACCESS}"),
+        (2, r"[0-9a-f]{%d,}" % LEAST_HEX, "true"),
+        (3, r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN, "true"),
+    ]
+    hits = " UNION ALL ".join(
+        f"""SELECT doc_id, {k} AS kind, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS s
+        FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS hits FROM docs))"""
+        for k, p, _ in kinds
+    )
+    keep = " OR ".join(f"(kind = {k} AND {ok})" for k, _, ok in kinds)
+    code = "CASE " + " ".join(f"WHEN regexp_full_match(body, {quoted(e[1] + '+')}) THEN {i}" for i, e in enumerate(ENCODINGS)) + " END"
+    table = ", ".join(f"({i}, {quoted(e[2])}, {e[3]}, CAST({len(e[2])} AS DOUBLE))" for i, e in enumerate(ENCODINGS))
+    below = lambda z: f"(1 / (1 + exp(-greatest(least(1.5976 * ({z}) + 0.070565992 * ({z}) * ({z}) * ({z}), 500.0), -500.0))))"
+    names = ", ".join(quoted(k) for k in KINDS)
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), hits AS (
+  {hits}
+), found AS (
+  SELECT doc_id, kind, hit, s, s + length(hit) AS e FROM hits WHERE {keep}
+), base AS (
+  SELECT * FROM found WHERE kind < 3
+), candidates AS (
+  SELECT *, rtrim(hit, '=') AS body FROM found f WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)
+), coded AS (
+  SELECT *, {code} AS c FROM candidates
+), valued AS (
+  SELECT doc_id, s, e, body, c, a, agree, k, CAST(length(body) AS DOUBLE) AS n, list_transform(string_split(body, ''), lambda ch: CAST(strpos(a, ch) - 1 AS DOUBLE)) AS v
+  FROM coded JOIN (VALUES {table}) AS enc(code, a, agree, k) ON c = code
+), measured AS (
+  SELECT *, k * list_sum(list_transform(string_split(a, ''), lambda ch: pow(length(body) - length(replace(body, ch, '')), 2))) / n - n AS chi,
+    CAST(len(list_filter(v, lambda y: y > (k - 1) / 2)) AS DOUBLE) AS high,
+    1 + len(list_filter(range(1, len(v)), lambda i: (v[i] > (k - 1) / 2) <> (v[i + 1] > (k - 1) / 2))) AS runs,
+    list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - (k - 1) / 2) * (v[i + 1] - (k - 1) / 2))) AS product,
+    list_sum(list_transform(v, lambda y: (y - (k - 1) / 2) * (y - (k - 1) / 2))) AS own
+  FROM valued
+), scored AS (
+  SELECT *, 2 * high * (n - high) / n AS even FROM measured
+), tested AS (
+  SELECT doc_id, s, e, c * 64 + CAST(floor(log2(n)) AS INT) AS stratum,
+    1 - {below("(chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)")} AS p_chi,
+    CASE WHEN even * (even - 1) > 0 THEN abs(runs - even - 1) / sqrt(even * (even - 1) / greatest(n - 1, 1.0)) ELSE 9.0 END AS z_runs,
+    CASE WHEN own > 0 THEN abs(product / own) * sqrt(n) ELSE 9.0 END AS z_serial,
+    {below(f"(chi - (k * (1 + (n - 1) * agree) - n)) / (k * sqrt({SPREAD} * n + 2 * agree))")} AS p_text
+  FROM scored
+), binned AS (
+  SELECT *, least(1.0, 3 * least(p_chi, 2 * (1 - {below("z_runs")}), 2 * (1 - {below("z_serial")}))) AS p_random,
+    CAST(least({BINS}, floor(-4 * log10(greatest(p_text, 1e-300)))) AS INT) AS bin
+  FROM tested
+), counts AS (
+  SELECT stratum, bin, count(*) AS n FROM binned GROUP BY stratum, bin
+), shares AS (
+  SELECT stratum, bin, sum(n) OVER (PARTITION BY stratum) AS m, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS share FROM counts
+), limits AS (
+  SELECT stratum, min(bin) AS least_bin FROM shares WHERE m * pow(10.0, -bin / 4.0) <= {RATE} * share GROUP BY stratum
+), spans AS (
+  SELECT doc_id, kind, s, e FROM base
+  UNION ALL SELECT doc_id, 3, s, e FROM binned JOIN limits USING (stratum) WHERE p_random >= {LEVEL} AND bin >= least_bin
+), listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+    string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS b,
+    string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS w
+  FROM spans GROUP BY doc_id
+)
+SELECT docs.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(w, '') AS spans
+FROM docs LEFT JOIN listed USING (doc_id)
+"""
