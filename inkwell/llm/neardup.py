@@ -194,9 +194,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, label: str
     linked = met.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = reps.select("label", "dim", "key", "rep", "n").join(linked, "rep", "left").join(parts, "rep", "left")
     classes = classes.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = units.select("vec_id", "label", "dim", "key").join(classes, ["label", "dim", "key"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    # rows that cannot link would meet in one task
+    alone = units.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = units.where("key is not null").select("vec_id", "label", "dim", "key").join(classes, ["label", "dim", "key"]).select("vec_id", "n_links", "component_id")
+    return out.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 NEAR_SQL = """
