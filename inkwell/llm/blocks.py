@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.shared import text_size
+from inkwell.llm.words import forget
 
 #: Text bytes of a block and hashes of a bucket: some hundred MB of a worker's memory at most.
-BLOCK_BYTES = 16 << 20
-BUCKET_ITEMS = 3 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_ITEMS = 2 << 20
 #: Bytes of text for each hash, about a word.
 ITEM_BYTES = 6
 
@@ -143,9 +144,11 @@ def answered(docs: DataFrame, size: int, sender: Callable, reducer: Callable, fi
     buckets = max(1, -(-size // (BUCKET_ITEMS * ITEM_BYTES)))
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        forget()
         return sender(in_order(rows.select(["doc_id", "text"])), key[0].as_py(), buckets)
 
     def last(rows: pa.Table, answer: pa.Table) -> pa.Table:
+        forget()
         answer = answer.take(pc.sort_indices(answer, sort_keys=[("bucket", "ascending")]))
         codes = np.frombuffer(b"".join(answer.column("codes").to_pylist()), np.uint8)
         return finish(in_order(rows.select(["doc_id", "text"])), codes, buckets)

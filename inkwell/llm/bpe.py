@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.words import kept
+
 CACHE = 500_000
 #: Bytes are shown to sentencepiece as the 256 characters from here on; none is white space.
 SHOWN = 0x100
@@ -86,8 +88,6 @@ class Codec:
         self.pretokens: dict[str, bytes] = {}
 
     def learn(self, pretokens: list[str]) -> None:
-        if len(self.pretokens) > CACHE:
-            self.pretokens.clear()
         rest = []
         for p in pretokens:
             raw = p.encode("utf-8", "replace")
@@ -99,16 +99,11 @@ class Codec:
             self.pretokens[p] = struct.pack(f"<{len(ids)}i", *ids)
 
     def of(self, pretokens: list[str]) -> bytes:
-        new = {p for p in pretokens if p not in self.pretokens}
-        if new:
+        if new := set(pretokens).difference(self.pretokens):
             self.learn(list(new))
-            if len(new) < len(pretokens) and any(p not in self.pretokens for p in pretokens):  # the cache was emptied
-                self.learn([p for p in set(pretokens) if p not in self.pretokens])
         return b"".join([self.pretokens[p] for p in pretokens])
 
     def learn_chunks(self, chunks: list[str]) -> None:
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
         split = [(c, self.pattern.findall(c)) for c in chunks]
         self.of(list({p for _, ps in split for p in ps}))
         for c, ps in split:
@@ -120,16 +115,16 @@ class Codec:
         Where single spaces part chunks that neither begin nor end with white space, no pre-token
         crosses from one to the next, so that each distinct chunk (with its space) is split once.
         """
+        for cache in (self.chunks, self.pretokens):
+            if len(cache) > CACHE:
+                cache.clear()
         parts: list[list[str] | None] = []
         for t in texts:
             words = t.split(" ")
             rough = "  " in t or t[:1].isspace() or t[-1:].isspace() or self.ROUGH.search(t)
             parts.append(None if rough else [words[0], *[" " + w for w in words[1:]]])
-        new = {c for p in parts if p for c in p if c not in self.chunks}
-        if new:
+        if new := set().union(*[p for p in parts if p]).difference(self.chunks):
             self.learn_chunks(list(new))
-            if missing := {c for p in parts if p for c in p if c not in self.chunks}:  # the cache was emptied
-                self.learn_chunks(list(missing))
         get = self.chunks.__getitem__
         return [self.of(self.pattern.findall(t)) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 
@@ -137,7 +132,7 @@ class Codec:
     ROUGH = regex.compile(r" [^\S ]|[^\S ] ")
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = kept()
 
 
 def codec(path: str, pattern: str) -> Codec:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import saved
+from inkwell.llm.shared import few, saved
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,18 +16,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     point at their component's smallest id; the number of rounds goes with the logarithm of the longest path.
     A vertex with very many links is summed by a partial minimum and never gathered in one place.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
-    edges, before = saved(edges), None
+    n = links.count()  # no step has more than twice as many rows
+    edges = few(links, n).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
+    edges, before = saved(few(edges, n)), None
     while True:
         # large star: a vertex links its larger neighbours to the smallest vertex that it sees
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = few(few(large.where("u <> v"), n).distinct(), n)
         # small star: a vertex links itself and its smaller neighbours to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = saved(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        after = saved(few(few(small.unionAll(least.select("u", F.col("m").alias("v"))), n).distinct(), n))
         now, edges = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first(), after
         if now == before:
             break

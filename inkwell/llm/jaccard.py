@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.blocks import answered, blocked, bucket_of, how_common, ranked, send
 from inkwell.llm.components import components
-from inkwell.llm.shared import saved, stored
-from inkwell.llm.words import LOWER, ROLL, mix, slices, span_hashes, text_buffers, window_hashes, word_bounds
+from inkwell.llm.neardup import spanned
+from inkwell.llm.shared import few, saved, stored
+from inkwell.llm.words import LOWER, ROLL, forget, mix, slices, span_hashes, text_buffers, window_hashes, word_bounds
 
 SHINGLE, PERCENT = 5, 80
-#: Documents of an index and queries of a task.
-INDEX, QUERIES_AT_ONCE = 256, 1024
+#: Documents of an index.
+INDEX = 256
 #: Rounds in which each inverted list is searched for one of its documents only.
 STARS = 2
 #: DivideSkip: how much a probe of a long list costs against merging it.
@@ -156,35 +157,54 @@ class Index:
         return alive[100 * count >= percent * (len(query) + self.sizes[alive] - count)]
 
 
-def searched(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of linked documents: each query (g, v) against the members (g, v) of its group.
+def starred(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of linked documents among pairs (g, v): g is searched for among its v, INDEX of them at a time."""
+    parts = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / INDEX).cast("int").alias("parts"))
+    held = pairs.join(parts, "g").select("g", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v", F.lit(False).alias("asks"))
+    asked = parts.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("g").alias("v"), F.lit(True).alias("asks"))
+    rows = held.unionAll(asked).join(sets.select("v", "shingles"), "v")
 
-    A group's members are cut into indexes and its queries into runs, so that no task holds a group.
+    def search(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        return links_of(group, np.flatnonzero(asks), np.flatnonzero(~asks), percent)
+
+    return saved(rows.groupBy("g", "part").applyInArrow(search, "a long, b long"))
+
+
+def tiled(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of links that span what is connected in families (g, v, c), between different components c.
+
+    A family is cut into tiles of INDEX documents; each pair of tiles is a task, in which the documents
+    of one are searched for in an index of the other's.
     """
-    sizes = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / INDEX).cast("int").alias("parts"))
-    runs = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES_AT_ONCE).cast("int").alias("runs"))
-    shape = saved(sizes.join(runs, "g"))
-    whole = F.sequence(F.lit(0), F.col("parts") - 1)
-    asked = queries.join(shape, "g").withColumn("run", F.pmod(F.xxhash64("v", F.lit(1)), "runs").cast("int")).withColumn("part", F.explode(whole))
-    held = members.join(shape, "g").withColumn("part", F.pmod(F.xxhash64("v", F.lit(2)), "parts").cast("int")).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
-    both = asked.select("g", "part", "run", "v", F.lit(True).alias("asks")).unionAll(held.select("g", "part", "run", "v", F.lit(False).alias("asks")))
-    rows = both.join(sets.select("v", "shingles"), "v")
+    tiles = families.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / INDEX).cast("int").alias("tiles"))
+    own = families.join(tiles, "g").withColumn("own", F.pmod(F.xxhash64("v"), "tiles").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = own.select("g", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "own", "v", "c").join(sets.select("v", "shingles"), "v")
 
     def search(group: pa.Table) -> pa.Table:
-        asks, v = group.column("asks").to_numpy(zero_copy_only=False), group.column("v").to_numpy()
-        own = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        ask, hold = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
-        if len(ask) and len(hold):
-            index = Index([own[i] for i in hold])
-            for i in ask:
-                hit = v[hold[index.search(own[i], percent)]]
-                b.append(hit)
-                a.append(np.full(len(hit), v[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
-
-    return saved(rows.groupBy("g", "part", "run").applyInArrow(search, "a long, b long"))
+        tile, i, j = group.column("own").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        return links_of(group, np.flatnonzero(tile == i), np.flatnonzero(tile == j), percent)
+
+    return saved(rows.groupBy("g", "i", "j").applyInArrow(search, "a long, b long"))
+
+
+def links_of(group: pa.Table, ask: np.ndarray, hold: np.ndarray, percent: int) -> pa.Table:
+    """Each row of ask searched for in an index of the rows hold; a, b: links with the smallest id that they reach."""
+    forget()
+    v = group.column("v").to_numpy()
+    own = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(ask) and len(hold):
+        index = Index([own[i] for i in hold])
+        for i in ask:
+            hit = hold[index.search(own[i], percent)]
+            a.append(np.full(len(hit), i))
+            b.append(hit)
+    order = np.argsort(v, kind="stable")
+    back = np.argsort(order, kind="stable")
+    to = v[order][spanned(len(v), back[np.concatenate(a)], back[np.concatenate(b)])][back]
+    moved = np.flatnonzero(to != v)
+    return pa.table({"a": pa.array(v[moved], pa.int64()), "b": pa.array(to[moved], pa.int64())})
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -197,9 +217,10 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     each of their sets; a null doc_id links with nothing and has a null component.
 
     Equal sets are one.  Two sets that link share a shingle of their prefixes, so the inverted lists of prefix
-    shingles hold every link.  First each list is searched for one of its documents, twice, which joins nearly all of
-    a group of copies at a cost in proportion to it; then only documents in lists of several components are
-    left, and each is searched for in all other components that it shares a list with.
+    shingles hold every link.  First each list is searched for one of its documents: the one with most shingles that others
+    have, which is close to all copies made from it, and once more for any other; this joins nearly all of
+    a group of copies at a cost in proportion to it.  What is left are lists of several components; documents that such
+    lists connect are a family, and each is searched for in all of its family, tile by tile.
     """
     sets = stored(shingle_sets(docs, shingle, percent), "shingles")
     names = saved(sets.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("v")))
@@ -211,37 +232,38 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
             prefixes = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             if prefixes:
                 v = np.repeat(batch.column(0).to_numpy(), [len(p) for p in prefixes])
-                yield pa.record_batch([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(v, pa.int64())], names=["token", "v"])
+                w = np.repeat([len(p) for p in prefixes], [len(p) for p in prefixes])
+                yield pa.record_batch([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int32())], names=["token", "v", "w"])
 
-    postings = own.select("v", "prefix").mapInArrow(lists, "token long, v long")
+    postings = own.select("v", "prefix").mapInArrow(lists, "token long, v long, w int")
     common = postings.groupBy("token").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a <> z").select("token")
     postings = saved(postings.join(common, "token"))
+    n = postings.count()
     links = parts = None
     for turn in range(STARS + 1):
         known = postings
         if parts is None:
             known = known.withColumn("c", F.col("v"))
         else:
-            known = known.join(parts, known["v"] == parts["id"], "left").select("token", "v", F.coalesce("component", "v").alias("c"))
-        known = saved(known)
-        mixed = known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("z"), F.max(F.struct(F.xxhash64("v", F.lit(turn)), "v", "c")).alias("star")).where("a <> z")
+            known = known.join(parts, known["v"] == parts["id"], "left").select("token", "v", "w", F.coalesce("component", "v").alias("c"))
+        known = saved(few(known, n))
+        weight = F.struct(F.col("w") if turn == 0 else F.lit(0), F.xxhash64("v", F.lit(turn)), "v", "c")
+        mixed = known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("z"), F.max(weight).alias("star")).where("a <> z")
+        met = known.join(mixed.select("token", F.col("star.v").alias("g"), F.col("star.c").alias("gc")), "token")
         if turn < STARS:
-            met = known.join(mixed.select("token", F.col("star.v").alias("g"), F.col("star.c").alias("gc")), "token").where("c <> gc")
-            members = saved(met.select("g", "v").distinct())
-            queries = members.select("g").distinct().select("g", F.col("g").alias("v"))
+            found = starred(saved(few(few(met, n).where("c <> gc").select("g", "v").distinct(), n)), own, percent)
         else:
-            size = known.select("v", "c").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-            left = known.join(mixed.select("token"), "token").join(size, "c")
-            groups = left.select("token", F.col("c").alias("g"), F.col("n").alias("gn")).distinct()
-            queries = saved(left.join(groups, "token").where(F.struct("gn", "g") > F.struct("n", "c")).select("g", "v").distinct())
-            members = known.select(F.col("c").alias("g"), "v").distinct().join(queries.select("g").distinct(), "g")
-        found = searched(queries, members, own, percent)
+            met = saved(few(few(met, n).select("g", "v", "c").distinct(), n))
+            family = components(met, "g", "v").withColumnRenamed("component", "g")
+            members = saved(few(few(met.select("v", "c").distinct(), n).join(family, F.col("v") == F.col("id")).select("g", "v", "c"), n))
+            found = tiled(members, own, percent)
         links = found if links is None else links.unionAll(found)
         parts = components(links)
     classes = names.join(parts, names["v"] == parts["id"], "left").select("s1", "s2", F.coalesce("component", "v").alias("component"))
-    # documents of one id with several sets, and copies of one set, meet in their ids
-    out = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # rows without a set to join, most of all, would meet in one task
+    alone = sets.where("s1 is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    out = sets.where("s1 is not null and doc_id is not null").select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "n", "component")
+    return out.unionAll(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 JACCARD_SQL = r"""

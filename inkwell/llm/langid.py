@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.words import mix, powers, slices, span_hashes, text_buffers
+from inkwell.llm.words import forget, mix, powers, slices, span_hashes, text_buffers
 
 #: Most texts of one language that are learnt from, taken in the order of a hash of doc_id.
 MOST_TEXTS = 600
@@ -230,6 +230,7 @@ def predict(docs: DataFrame, model: Model, vocabulary_file: str | None = None) -
     languages, chances, priors = model.languages, model.chances, model.priors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         vocab = vocabulary(path)
         for batch in batches:
             for part in slices(batch, "text"):

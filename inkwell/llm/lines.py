@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.shared import saved, stored
-from inkwell.llm.words import BASES, slices, span_hashes, text_buffers, word_bounds
+from inkwell.llm.words import BASES, forget, slices, span_hashes, text_buffers, word_bounds
 
 #: Fewest words of a run of lines that is deleted; so many lines of it at most decide whether it is repeated.
 LEAST_WORDS = 10
@@ -27,6 +27,7 @@ def line_rows(docs: DataFrame, least_words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffers(part.column(2))
@@ -127,6 +128,7 @@ def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Da
     blank, names = bytes(range(9, 14)) + b" ", [*docs.columns, "n_lines", "n_removed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             counts, removed = [], []

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.words import kept
+
 MAX_TOKENS = 2048
 END = 0
 #: Pieces that one task packs; each block leaves about one sequence that is not full.
@@ -21,7 +23,6 @@ BLOCK_PIECES = 16_384
 CACHE = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-PLACES = "doc_id long, piece int, sequence_id long, offset long"
 
 
 def tokenizer_path() -> str:
@@ -101,7 +102,7 @@ class Encoder:
         return [b"".join(map(get, words)) for words in texts]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kept()
 
 
 def encoder(path: str) -> Encoder:

@@ -22,6 +22,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
+#: Narrow rows that one task takes of a table whose size has been counted.
+ROWS_A_TASK = 200_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as that many rows need, so that small steps don't leave a file for each of a large table's partitions."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the shared folder; a lost executor costs nothing of it."""
     checkpoint_dir(df.sparkSession)

@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.words import LOWER, slices, span_hashes, text_buffers
+from inkwell.llm.words import LOWER, forget, slices, span_hashes, text_buffers
 
 #: Buckets of hashed features; bounds what a model can hold.
 BUCKETS = 1 << 20
 #: A word counts as itself and by its beginnings of so many bytes: inflected and compounded words share them.
 BEGINNINGS = (4, 5)
 #: Most toxic examples and most unlabelled texts that are learnt from, taken in the order of a hash of doc_id.
-MOST_TOXIC, MOST_UNLABELLED = 4_000, 12_000
+MOST_TOXIC, MOST_UNLABELLED = 2_000, 6_000
 #: Features that tell the two samples apart best; all others weigh nothing.
 FEATURES = 512
 
@@ -53,6 +53,7 @@ def word_sets(docs: DataFrame) -> DataFrame:
     """doc_id and the buckets of its distinct words, as little-endian 32-bit integers, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffers(part.column(1))
@@ -92,7 +93,10 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, ste
     """
     if not toxic or not unlabelled:
         return Model(np.zeros(BUCKETS, np.float32), -5.0)
-    p, u = (np.bincount(np.concatenate(s), minlength=BUCKETS).astype(float) for s in (toxic, unlabelled))
+    p, u = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for count, sets in ((p, toxic), (u, unlabelled)):
+        for s in sets:
+            count[s] += 1  # a set holds nothing twice
     both = (p + u) / (len(toxic) + len(unlabelled))
     error = np.sqrt(both * (1 - both) * (1 / len(toxic) + 1 / len(unlabelled))) + 1e-12
     strength = np.where(p + u >= 5, np.abs(p / len(toxic) - u / len(unlabelled)) / error, 0)
@@ -139,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     kinds = some.groupBy("doc_id").agg(F.max("kind").alias("p"), F.min("kind").alias("u"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(kinds.select("doc_id")), "doc_id", "left_semi")  # most_toxic + most_unlabelled ids at most
     rows = word_sets(chosen).join(F.broadcast(kinds), "doc_id").orderBy("doc_id", "words").collect()
-    sets = [np.frombuffer(r["words"], "<u4").astype(np.int64) for r in rows]
+    sets = [np.frombuffer(r["words"], "<u4") for r in rows]
     return fit([s for s, r in zip(sets, rows, strict=True) if r["p"] == 1], [s for s, r in zip(sets, rows, strict=True) if r["u"] == 0], prior)
 
 
@@ -165,6 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     of = scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.record_batch([part.column(0), pa.array(of(part.column(1)), pa.float64())], names=["doc_id", "score"])
@@ -177,6 +182,7 @@ def below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     of = scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part in slices(batch, "text"):
                 yield part.filter(pa.array(of(part.column("text")) < threshold))

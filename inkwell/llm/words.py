@@ -22,6 +22,19 @@ SEGMENT = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 ROLL = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
+#: What operators keep in a worker beyond a task; each is emptied where a task needs the room.
+KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    KEPT.append({})
+    return KEPT[-1]
+
+
+def forget() -> None:
+    for held in KEPT:
+        held.clear()
+
 
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)

@@ -326,13 +326,13 @@ def test_jaccard_join(docs, empty):
     got = jaccard.similar_documents(docs, 3, 90)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(texts()) and {r for r in rows if r[0] is not None} == {r for r in brute_jaccard(texts(), 3, 90) if r[0] is not None}
+    assert [r for r in rows if r[0] is None] == [(None, 58, None)]
     assert jaccard.similar_documents(empty).count() == 0
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
 def test_jaccard_join_of_mutants(spark, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "INDEX", 4)
-    monkeypatch.setattr(jaccard, "QUERIES_AT_ONCE", 3)
     rng = np.random.default_rng(k)
     rows = []
     for group in range(6):
