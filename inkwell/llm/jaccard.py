@@ -19,8 +19,8 @@ from inkwell.llm.shared import few, saved, stored
 from inkwell.llm.words import LOWER, ROLL, forget, mix, slices, span_hashes, text_buffers, window_hashes, word_bounds
 
 SHINGLE, PERCENT = 5, 80
-#: Documents of an index.
-INDEX = 256
+#: Documents of an index, and of a tile of a family: each document of n goes to n / TILE pairs of tiles.
+INDEX, TILE = 256, 1024
 #: Rounds in which each inverted list is searched for one of its documents only.
 STARS = 2
 #: DivideSkip: how much a probe of a long list costs against merging it.
@@ -174,10 +174,10 @@ def starred(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def tiled(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of links that span what is connected in families (g, v, c), between different components c.
 
-    A family is cut into tiles of INDEX documents; each pair of tiles is a task, in which the documents
+    A family is cut into tiles of TILE documents; each pair of tiles is a task, in which the documents
     of one are searched for in an index of the other's.
     """
-    tiles = families.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / INDEX).cast("int").alias("tiles"))
+    tiles = families.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     own = families.join(tiles, "g").withColumn("own", F.pmod(F.xxhash64("v"), "tiles").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = own.select("g", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "own", "v", "c").join(sets.select("v", "shingles"), "v")
 

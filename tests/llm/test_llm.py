@@ -333,6 +333,7 @@ def test_jaccard_join(docs, empty):
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
 def test_jaccard_join_of_mutants(spark, k, percent, monkeypatch):
     monkeypatch.setattr(jaccard, "INDEX", 4)
+    monkeypatch.setattr(jaccard, "TILE", 4)
     rng = np.random.default_rng(k)
     rows = []
     for group in range(6):
