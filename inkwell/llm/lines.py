@@ -14,7 +14,10 @@ from inkwell.llm.shared import saved, stored
 from inkwell.llm.words import BASES, forget, slices, span_hashes, text_buffers, word_bounds
 
 #: Fewest words of a run of lines that is deleted; so many lines of it at most decide whether it is repeated.
-LEAST_WORDS = 10
+#: One: each repeated line goes, however short it is.
+LEAST_WORDS = 1
+#: The same of LINES_SQL, which states it in figures.
+SQL_LEAST_WORDS = 10
 
 LINES = "d long, t long, i int, h1 long, h2 long, ahead int, back int"
 

@@ -282,6 +282,17 @@ def test_line_dedup_of_runs(spark):
     assert {(r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()} == set(brute_lines(rows, 9))
 
 
+def test_short_repeated_lines_go(spark):
+    rows = [(1, "All rights reserved.\none of its own\nx"), (2, "two of its own\nAll rights reserved."), (3, "x\n\nAll rights reserved.\nthree"), (4, "x"), (5, "y\ny"), (6, "all rights reserved.")]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, 3, 0, rows[0][1]), (2, 2, 1, "two of its own"), (3, 3, 2, "\nthree"), (4, 1, 1, ""), (5, 2, 1, "y"), (6, 1, 0, rows[5][1])}
+    assert {(r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in lines.remove_repeated_lines(given).collect()} == want
+    got = dict(corpus_pipeline.repeated_lines(spark, given, SF).collect())
+    assert got == {1: rows[0][1], 2: "two of its own", 3: "\nthree", 5: "y", 6: rows[5][1]}
+    filled = [x for t in got.values() for x in t.split("\n") if words(x)]
+    assert len(filled) == len(set(filled))
+
+
 # op7
 
 
