@@ -15,9 +15,12 @@ HEX = r"[0-9a-f]+"
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 
-#: A candidate for the tests: a whole run of what encodings use, of this length at least.
+#: A candidate for the tests: a whole run of what encodings use with its final padding, of this length at least; other = part runs.
 LEAST_RUN = 24
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % LEAST_RUN
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?+" % LEAST_RUN
+#: A run that mixes both of these fits no encoding; it is cut at the ones and, apart from that, at the others.
+MIXED = r"[+/].*[_-]|[_-].*[+/]"
+PARTS = (r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*")
 #: Encodings from the narrowest: name, what every character must match, alphabet, and the chance that two characters of ordinary text in it agree.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -75,6 +78,16 @@ def chance_below(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(1.5976 * z + 0.070565992 * z * z * z, F.lit(500.0)), F.lit(-500.0))))
 
 
+def candidates(text: Column) -> Column:
+    """What found gives for runs of LEAST_RUN characters at least; of a mixed run the parts of this length, which may overlap."""
+
+    def parts(h: Column) -> Column:
+        shifted = [F.transform(found(h["hit"], p), lambda x: F.struct((h["start"] + x["start"]).alias("start"), (h["start"] + x["end"]).alias("end"), x["hit"].alias("hit"))) for p in PARTS]
+        return F.when(h["hit"].rlike(MIXED), F.concat(*shifted)).otherwise(F.array(h))
+
+    return F.filter(F.flatten(F.transform(found(text, RUN), parts)), lambda h: F.length(h["hit"]) >= LEAST_RUN)
+
+
 def tested(hit: Column) -> Column:
     """struct<encoding, n, p_random, p_text> of a candidate.
 
@@ -134,7 +147,8 @@ def scan(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are ignored.  base: matches of the fixed patterns, kind an index of
     KINDS, start and end in code points, end exclusive.  spans: those, and as kind random each run of encoding characters,
     outside base spans, that no test of the battery rejects and that a false-discovery control over the table
-    accepts as no ordinary text.  The control is length-aware: candidates compete only with those of their
+    accepts as no ordinary text.  A run has LEAST_RUN characters at least, shorter ones are not tested; = ends it
+    but for padding, and one that mixes - or _ with + or / is tested in parts, cut at either.  The control is length-aware: candidates compete only with those of their
     encoding and power of two of length, by Benjamini and Hochberg's rule over bins of p-values, so that
     what is gathered is a count per stratum and bin.  A null or empty text has no spans; rows stay one for one.
     """
@@ -144,7 +158,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep and spans, of rows with text, base and runs besides."""
     text = F.coalesce("text", F.lit(""))
-    runs = F.transform(found(text, RUN), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), tested(h["hit"]).alias("t")))
+    runs = F.transform(candidates(text), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), tested(h["hit"]).alias("t")))
     rows = docs.select("*", base_spans(text).alias("base"), runs.alias("runs"))
     rows = stored(rows, "spans") if "text" in keep else saved(rows.drop("text"))
     outside = F.filter("runs", lambda r: r["t"]["encoding"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
