@@ -15,8 +15,10 @@ from inkwell.llm.words import forget, mix, powers, slices, span_hashes, text_buf
 
 #: Most texts of one language that are learnt from, taken in the order of a hash of doc_id.
 MOST_TEXTS = 600
-#: A longer word is scored in runs of so many bytes, so that probabilities stay above what a double can hold.
+#: Words of more bytes are summed over in logarithms, as their probabilities may be below what a double can hold.
 RUN = 32
+#: Words of one pass over a lattice, and their padded bytes if they are longer than RUN (a longer word comes alone).
+WORDS, CELLS = 16_384, 1 << 20
 #: Rounds of expectation maximisation, and what each piece counts in every language before any text.
 ROUNDS, PSEUDO = 4, 0.02
 BASE = 0x9E3779B97F4A7C15
@@ -41,7 +43,7 @@ def read_pieces(path: str) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).lstrip("▁")
-            if piece.isalpha() and piece == piece.lower() and len(piece.encode()) <= RUN:
+            if piece.isalpha() and piece == piece.lower():
                 found.add(piece.encode())
     return sorted(found)
 
@@ -98,19 +100,32 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def lattice(rows: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each end and length: the strings in which a piece of this length ends there, and the pieces."""
+    """For each end and length: the strings in which a piece of this length ends there, and the pieces; few strings take many ends at once."""
     power = powers(BASE, rows.shape[1] + 1)
     inverse = powers(pow(BASE, -1, 1 << 64), rows.shape[1] + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
         np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * power[: rows.shape[1]], axis=1, out=sums[:, 1:])
-        for end in range(1, rows.shape[1] + 1):
-            here = np.flatnonzero(sizes >= end)
-            for n in range(1, min(end, vocab.longest) + 1):
+        step = max(1, 8192 // max(len(rows), 1))
+        for first in range(1, rows.shape[1] + 1, step):
+            ends, hits = np.arange(first, min(first + step, rows.shape[1] + 1)), []
+            row, at = np.nonzero(sizes[:, None] >= ends)
+            at = ends[at]
+            for n in range(1, min(int(ends[-1]), vocab.longest) + 1):
+                here, end = (row, at) if n <= first else (row[at >= n], at[at >= n])
                 piece = vocab.find((sums[here, end] - sums[here, end - n]) * inverse[end - n])
                 hit = piece >= 0
                 if hit.any():
-                    yield end, n, here[hit], piece[hit]
+                    hits.append((end[hit], np.full(int(hit.sum()), n), here[hit], piece[hit]))
+                    if step == 1:
+                        yield first, n, *hits.pop()[2:]
+            if hits:
+                end, n, here, piece = map(np.concatenate, zip(*hits, strict=True))
+                order = np.argsort(end, kind="stable")  # by n already
+                end, n, here, piece = end[order], n[order], here[order], piece[order]
+                cuts = np.flatnonzero((np.diff(end) != 0) | (np.diff(n) != 0)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(end)], strict=True):
+                    yield int(end[a]), int(n[a]), here[a:b], piece[a:b]
 
 
 def forward(rows: np.ndarray, sizes: np.ndarray, vocab: Vocabulary, chances: np.ndarray) -> np.ndarray:
@@ -122,28 +137,69 @@ def forward(rows: np.ndarray, sizes: np.ndarray, vocab: Vocabulary, chances: np.
     return alpha
 
 
+def log_forward(rows: np.ndarray, sizes: np.ndarray, vocab: Vocabulary, chances: np.ndarray) -> np.ndarray:
+    """Logarithm of forward's probability of each whole string, from a window as long as the longest piece: strings x languages."""
+    logs, span = np.log(chances), vocab.longest + 1
+    alpha = np.full((len(rows), span, chances.shape[1]), -np.inf)
+    alpha[:, 0] = 0
+    for end, n, where, piece in lattice(rows, sizes, vocab):
+        more = alpha[where, (end - n) % span] + logs[piece]
+        # each byte is a piece, so n = 1 comes first and for all strings; those that have ended keep their last sum
+        alpha[where, end % span] = more if n == 1 else np.logaddexp(alpha[where, end % span], more)
+    return alpha[np.arange(len(rows)), sizes % span]
+
+
+def passes(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """All strings by their sizes, in parts for one pass each; none has strings of RUN bytes at most and longer ones."""
+    order = np.argsort(sizes, kind="stable")
+    short, at = int((sizes <= RUN).sum()), 0
+    while at < len(order):
+        to = min(at + WORDS, short if at < short else len(order))
+        if at >= short:
+            to = at + max(1, int((np.arange(1, to - at + 1) * sizes[order[at:to]] <= CELLS).sum()))
+        yield order[at:to]
+        at = to
+
+
+def word_logs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabulary, chances: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over all segmentations of each word of data: words x languages."""
+    logs = np.zeros((len(sizes), chances.shape[1]))
+    for some in passes(sizes):
+        own, columns = sizes[some], np.arange(int(sizes[some].max()))
+        rows = np.where(columns < own[:, None], data[np.minimum(starts[some, None] + columns, len(data) - 1)], 0)
+        if len(columns) > RUN:
+            logs[some] = log_forward(rows, own, vocab, chances)
+        else:
+            logs[some] = np.log(forward(rows, own, vocab, chances)[np.arange(len(some)), own])
+    return logs
+
+
+def expected(width: np.ndarray, n: np.ndarray, edges: list[tuple[int, int, np.ndarray, np.ndarray]], now: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in strings that occur n times, in logarithms, given their lattice."""
+    logs, last = np.log(now), np.arange(len(width))
+    alpha, beta = (np.full((len(width), int(width.max()) + 1), -np.inf) for _ in range(2))
+    alpha[:, 0] = 0
+    beta[last, width] = 0
+    for end, m, where, piece in edges:
+        alpha[where, end] = np.logaddexp(alpha[where, end], alpha[where, end - m] + logs[piece])
+    for end, m, where, piece in reversed(edges):
+        beta[where, end - m] = np.logaddexp(beta[where, end - m], beta[where, end] + logs[piece])
+    total, seen = alpha[last, width], np.zeros(len(now))
+    for end, m, where, piece in edges:
+        np.add.at(seen, piece, np.exp(alpha[where, end - m] + logs[piece] + beta[where, end] - total[where]) * n[where])
+    return seen
+
+
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and distinct word of each word of the rows; the distinct words, padded, and their sizes."""
+    """Row and distinct word of each word of the rows; where the distinct words start, and their sizes."""
     inside = LETTER[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~edge[1:]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    more = (ends - starts - 1) // RUN  # runs after the first
-    if more.any():
-        which = np.repeat(np.arange(len(starts)), more + 1)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-        starts, ends = starts[which] + k * RUN, np.minimum(starts[which] + (k + 1) * RUN, ends[which])
     _, first, word = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    sizes = (ends - starts)[first]
-    out = np.zeros((len(first), int(sizes.max(initial=1))), np.uint8)
-    columns = np.arange(out.shape[1])
-    for at in range(0, len(first), 65_536):
-        part = slice(at, at + 65_536)
-        take = np.minimum(starts[first[part], None] + columns, max(len(data) - 1, 0))
-        out[part] = np.where(columns < sizes[part, None], data[take] if len(data) else 0, 0)
-    return np.searchsorted(offsets, starts, "right") - 1, word, out, sizes
+    return np.searchsorted(offsets, starts, "right") - 1, word, starts[first], (ends - starts)[first]
 
 
 @dataclass
@@ -178,10 +234,11 @@ def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None,
         for batch in batches:
             for part in slices(batch, "text"):
                 langs = part.column(2).to_pylist()
-                row, word, strings, width = distinct_words(*text_buffers(part.column(1)))
+                data, offsets = text_buffers(part.column(1))
+                row, word, starts, width = distinct_words(data, offsets)
                 code = np.array([languages.index(x) for x in langs])[row] if len(row) else row
                 both, n = np.unique(word * len(languages) + code, return_counts=True)
-                names = [strings[w, : width[w]].tobytes() for w in both // len(languages)]
+                names = [data[starts[w] : starts[w] + width[w]].tobytes() for w in both // len(languages)]
                 yield pa.record_batch([pa.array(both % len(languages), pa.int32()), pa.array(names, pa.binary()), pa.array(n, pa.int64())], names=["code", "word", "n"])
 
     texts = lowered(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")  # most_texts ids of each language at most
@@ -197,13 +254,16 @@ def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None,
             continue
         words = sorted(zip(own.column("word").to_pylist(), own.column("n").to_pylist(), strict=True), key=lambda x: len(x[0]))
         chunks = []
-        for at in range(0, len(words), 20_000):
-            rows, width = padded([w for w, _ in words[at : at + 20_000]])
-            chunks.append((rows, width, np.array([n for _, n in words[at : at + 20_000]], float), list(lattice(rows, width, vocab))))
+        for some in passes(np.array([len(w) for w, _ in words], np.int64)):
+            rows, width = padded([words[w][0] for w in some])
+            chunks.append((rows, width, np.array([words[w][1] for w in some], float), list(lattice(rows, width, vocab))))
         now = start.copy()
         for _ in range(ROUNDS):
             seen = np.zeros(len(vocab.pieces))
             for rows, width, n, edges in chunks:
+                if rows.shape[1] > RUN:
+                    seen += expected(width, n, edges, now)
+                    continue
                 alpha, beta = np.zeros((len(rows), rows.shape[1] + 1)), np.zeros((len(rows), rows.shape[1] + 1))
                 alpha[:, 0] = 1
                 beta[np.arange(len(rows)), width] = 1
@@ -235,13 +295,8 @@ def predict(docs: DataFrame, model: Model, vocabulary_file: str | None = None) -
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffers(part.column(1))
-                row, word, strings, sizes = distinct_words(data, offsets)
-                logs = np.zeros((len(sizes), len(languages)))
-                order = np.argsort(sizes, kind="stable")
-                for at in range(0, len(order), 16_384):
-                    some = order[at : at + 16_384]
-                    width = int(sizes[some].max())
-                    logs[some] = np.log(forward(strings[some, :width], sizes[some], vocab, chances)[np.arange(len(some)), sizes[some]])
+                row, word, starts, sizes = distinct_words(data, offsets)
+                logs = word_logs(data, starts, sizes, vocab, chances)
                 total = np.log(priors) + np.stack([np.bincount(row, logs[word, k], part.num_rows) for k in range(len(languages))], axis=1)
                 total -= total.max(axis=1, keepdims=True)
                 best = total.argmax(axis=1)

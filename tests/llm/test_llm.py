@@ -466,6 +466,40 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [total(s) for s in strings])
 
 
+def test_long_words_are_summed_whole():
+    from fractions import Fraction
+
+    vocab = langid.Vocabulary(sorted({"éa".encode(), b"ab", b"aba", b"ba" * 20, *(bytes([x]) for x in range(256))}))
+    chances = np.array([[0.001 + 0.0001 * (i % 7), 1e-9 * (1 + i % 3)] for i in range(len(vocab.pieces))])
+
+    def sums(s, k):
+        chance = {p: Fraction(chances[i, k]) for i, p in enumerate(vocab.pieces)}
+        out = [Fraction(1)]
+        for end in range(1, len(s) + 1):
+            out.append(sum(out[end - n] * chance[s[end - n : end]] for n in range(1, min(end, vocab.longest) + 1) if s[end - n : end] in chance))
+        return out
+
+    log = lambda x: np.log(float(x.numerator / 2**x.numerator.bit_length())) + (x.numerator.bit_length() - x.denominator.bit_length()) * np.log(2) - np.log(float(Fraction(x.denominator, 2 ** x.denominator.bit_length())))
+    texts_ = ["aba b", "é" * 31 + "a", "x" + "éa" * 40 + " " + "ab" * 16, "ba" * 70, "aba" * 11]
+    data, offsets = langid.text_buffers(langid.pa.array(texts_))
+    row, word, starts, sizes = langid.distinct_words(data, offsets)
+    names = [data[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)]
+    assert sorted(names) == sorted({w for t in texts_ for w in t.encode().split()})
+    got = langid.word_logs(data, starts, sizes, vocab, chances)
+    assert np.allclose(got, [[log(sums(w, k)[-1]) for k in range(2)] for w in names], rtol=1e-9)
+    # expected pieces: the derivative of the logarithm of the sum by the logarithm of the piece's chance
+    rows, width = langid.padded([b"ab" * 20 + b"a", b"aba" * 12])
+    n, edges = np.array([2.0, 3.0]), list(langid.lattice(rows, width, vocab))
+    seen = langid.expected(width, n, edges, chances[:, 0])
+    for p in (b"a", b"b", b"ab", b"aba", b"ba" * 20):
+        i, at = vocab.pieces.index(p), []
+        for h in (1e-5, -1e-5):
+            moved = chances[:, :1].copy()
+            moved[i] *= np.exp(h)
+            at.append(langid.log_forward(rows, width, vocab, moved)[:, 0] @ n)
+        assert np.isclose(seen[i], (at[0] - at[1]) / 2e-5, rtol=1e-4, atol=1e-8)
+
+
 # pipeline
 
 
