@@ -1,4 +1,4 @@
-"""Line dedup: repeated runs of lines, found in a suffix array over line numbers by distributed prefix doubling."""
+"""Line dedup: maximal repeated runs of lines, found in a suffix array over line numbers that distributed prefix doubling sorts."""
 
 from __future__ import annotations
 
@@ -6,28 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.shared import saved, stored
+from inkwell.llm.shared import Scratch, few, free
 from inkwell.llm.words import BASES, forget, slices, span_hashes, text_buffers, word_bounds
 
-#: Fewest words of a run of lines that is deleted; so many lines of it at most decide whether it is repeated.
-#: One: each repeated line goes, however short it is.
+#: Fewest words of a run of lines that is deleted.  One: each repeated line goes, however short it is.
 LEAST_WORDS = 1
-#: The same of LINES_SQL, which states it in figures.
-SQL_LEAST_WORDS = 10
 
-LINES = "d long, t long, i int, h1 long, h2 long, ahead int, back int"
+LINES = "d long, t long, i int, h1 long, h2 long"
 
 
-def line_rows(docs: DataFrame, least_words: int) -> DataFrame:
-    """LINES: a row for each line with a word, i counting those of its document (d: id, t: a hash of the text).
-
-    h1, h2: two hashes of the line; ahead: with how many lines from here on, back: up to here, there are
-    least_words words, 0 if there aren't.
-    """
+def line_rows(docs: DataFrame) -> DataFrame:
+    """LINES: a row for each line with a word, i counting those of its document (d: id, t: a hash of the text); h1, h2: two hashes of the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -41,116 +35,175 @@ def line_rows(docs: DataFrame, least_words: int) -> DataFrame:
                 row = np.searchsorted(offsets, starts, "right") - 1
                 ends = np.minimum(np.append(breaks, len(data))[ends], offsets[row + 1])
                 words, _, _ = word_bounds(data, offsets)
-                n = np.searchsorted(words, ends) - np.searchsorted(words, starts)
-                starts, ends, row, n = (x[n > 0] for x in (starts, ends, row, n))
-                first = np.searchsorted(row, row)  # of each line's document
-                last = np.searchsorted(row, row, "right")
-                total = np.concatenate([[0], np.cumsum(n)])
-                at = np.arange(len(n))
-                to = np.searchsorted(total, total[at] + least_words)  # total[to] >= total[at] + least_words
-                ahead = np.where(to <= last, to - at, 0)
-                since = np.searchsorted(total, total[at + 1] - least_words, "right") - 1  # the last start that gives enough
-                back = np.where((total[at + 1] - total[first] >= least_words), at + 1 - since, 0)
+                filled = np.searchsorted(words, ends) > np.searchsorted(words, starts)
+                starts, ends, row = starts[filled], ends[filled], row[filled]
+                i = np.arange(len(row)) - np.searchsorted(row, row)
                 h1, h2 = (span_hashes(data, starts, ends, base).view(np.int64) for base in BASES)
                 ids, hashes = part.column(0).to_numpy(), part.column(1).to_numpy()
-                arrays = [(ids[row], pa.int64()), (hashes[row], pa.int64()), (at - first, pa.int32()), (h1, pa.int64()), (h2, pa.int64()), (ahead, pa.int32()), (back, pa.int32())]
-                yield pa.record_batch([pa.array(x, kind) for x, kind in arrays], names=["d", "t", "i", "h1", "h2", "ahead", "back"])
+                arrays = [(ids[row], pa.int64()), (hashes[row], pa.int64()), (i, pa.int32()), (h1, pa.int64()), (h2, pa.int64())]
+                yield pa.record_batch([pa.array(x, kind) for x, kind in arrays], names=["d", "t", "i", "h1", "h2"])
 
-    return docs.select(*key_of(docs), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, LINES)
+    return docs.select(*key_of(docs)[:2], F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, LINES)
 
 
 def key_of(docs: DataFrame) -> list[Column]:
-    """d and t; a null id sorts below all others."""
-    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("t")]
+    """d, t and t2: the id, a null one below all others, and two hashes of the text."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit("second"), text).alias("t2")]
+
+
+def first_texts(docs: DataFrame) -> DataFrame:
+    """t, t2, d, size: each different text once, in its first document."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    return docs.select(*key_of(docs), size.alias("size")).groupBy("t", "t2").agg(F.min("d").alias("d"), F.max("size").alias("size"))
 
 
-def ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by and rank of what occurs at two places at least; ranks have the order of by."""
-    some = pairs.groupBy(*by).agg(F.min(F.struct("d", "t", "i")).alias("a"), F.max(F.struct("d", "t", "i")).alias("z")).where("a <> z")
-    return saved(some.select(*by).orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
+def in_a_row(texts: DataFrame) -> DataFrame:
+    """d, t, begin: where each text begins if all stand one after another by d and t; between two there is a place that is no line's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            sizes = batch.column(2).to_numpy()
+            ends = at + np.cumsum(sizes)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ends - sizes, pa.int64())], names=["d", "t", "begin"])
+            at = int(ends[-1]) if len(ends) else at
 
+    return texts.select("d", "t", "size").repartitionByRange("d", "t").sortWithinPartitions("d", "t").mapInArrow(run, "d long, t long, begin long")
 
-def suffix_ranks(lines: DataFrame, depth: int) -> DataFrame:
-    """level, d, t, i, rank: the order of suffixes by their first 2**level lines, for levels up to depth lines.
 
-    Prefix doubling: the rank of 2n lines is that of a pair, the ranks of n lines here and n lines on.  A
-    suffix whose first lines occur nowhere else is settled and takes no further part.
+def ranked(keyed: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """p, rank, f from p, a, b: what stands at two places at least; ranks have the order of a and b, f is the first place of each."""
+    some = keyed.groupBy("a", "b").agg(F.min("p").alias("f"), F.max("p").alias("z")).where("f < z")
+    ranks = scratch.store(some.orderBy("a", "b").select("a", "b", "f", F.monotonically_increasing_id().alias("rank")), rows)
+    return scratch.store(keyed.join(ranks, ["a", "b"]).select("p", "rank", "f"), rows)
+
+
+def suffix_ranks(places: DataFrame, rows: int, scratch: Scratch) -> list[DataFrame]:
+    """For each k as long as there are any: p, rank, f of the suffixes whose first 2**k lines stand elsewhere as well.
+
+    Prefix doubling: the rank of 2n lines is that of a pair, the ranks of n lines here and n lines on.  Suffixes with one
+    rank are an interval of the suffix array with a common prefix; a suffix with no such neighbour is settled and takes no further part.
     """
-    now = lines.select("d", "t", "i", "h1", "h2")
-    now = saved(now.join(ranked(now, ["h1", "h2"]), ["h1", "h2"]).select("d", "t", "i", "rank"))
-    levels, n = [now.withColumn("level", F.lit(0))], 1
-    while 2 * n <= depth:
-        ahead = now.select("d", "t", (F.col("i") - n).alias("i"), F.col("rank").alias("rank2"))
-        pairs = now.withColumnRenamed("rank", "rank1").join(ahead, ["d", "t", "i"])
-        now = saved(pairs.join(ranked(pairs, ["rank1", "rank2"]), ["rank1", "rank2"]).select("d", "t", "i", "rank"))
-        levels.append(now.withColumn("level", F.lit(len(levels))))
+    levels, n = [ranked(places.select("p", F.col("rank").alias("a"), F.lit(0).alias("b")), rows, scratch)], 1
+    while rows := levels[-1].count():
+        now = levels[-1]
+        ahead = now.select((F.col("p") - n).alias("p"), F.col("rank").alias("b"))
+        levels.append(ranked(now.select("p", F.col("rank").alias("a")).join(ahead, "p"), rows, scratch))
         n *= 2
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    return levels[:-1]
 
 
-def repeated_runs(lines: DataFrame, least_words: int) -> DataFrame:
-    """d, t, i and m of the shortest runs with least_words words, counted from each line on and up to it, that occur earlier as well.
+def longest_earlier(levels: list[DataFrame], scratch: Scratch) -> DataFrame | None:
+    """p, m, f: the m first lines of the suffix at p, and no more, stand at f < p already; f is the first such place.
 
-    Every line of a longer repeated run with as many words lies in such a run, so their union is that of the
-    maximal runs.  A run of m lines is named by two overlapping ranks, those of 2**level lines at its start and its end:
-    suffixes that share both are an interval of the suffix array with a common prefix of m lines.
+    From the longest prefixes down.  (f, m) names an interval of the suffix array: the suffixes with the m lines
+    that begin at f, the first of them.  In each step the suffixes of an interval, and f for it, are told apart by the rank
+    of their next 2**k lines: those that are not the first of theirs move on to a longer common prefix.  The others stay,
+    and need nothing of those that moved but f, so that each suffix is in one interval at a time.
     """
-    ranks = suffix_ranks(lines, least_words)
-    runs = lines.where("ahead > 0").select("d", "t", "i", F.col("ahead").alias("m"))
-    runs = runs.unionAll(lines.where("back > 0").select("d", "t", (F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("m"))).distinct()
-    runs = runs.withColumn("level", F.floor(F.log2("m")).cast("int"))
-    head = runs.join(ranks.withColumnRenamed("rank", "rank1"), ["level", "d", "t", "i"])
-    head = head.withColumn("tail", F.col("i") + F.col("m") - F.pow(F.lit(2.0), "level").cast("int"))
-    named = saved(head.join(ranks.select("level", "d", "t", F.col("i").alias("tail"), F.col("rank").alias("rank2")), ["level", "d", "t", "tail"]).select("m", "rank1", "rank2", "d", "t", "i"))
-    first = named.groupBy("m", "rank1", "rank2").agg(F.min(F.struct("d", "t", "i")).alias("first"))
-    return named.join(first, ["m", "rank1", "rank2"]).where(F.struct("d", "t", "i") > F.col("first")).select("d", "t", "i", "m")
+    state = None
+    for k in reversed(range(len(levels))):
+        level = levels[k]
+        new = level.where("p > f").select("p", F.lit(1 << k).cast("long").alias("m"), "f")
+        if state is None:
+            state = scratch.store(new)
+            continue
+        rows = state.count() + level.count()
+        heads = state.select(F.col("f").alias("p"), "m", "f").distinct()
+        both = state.unionByName(heads).withColumn("q", F.col("p") + F.col("m"))
+        met = both.join(level.select(F.col("p").alias("q"), "rank"), "q", "left")
+        heirs = met.where("rank is not null").groupBy("f", "m", "rank").agg(F.min("p").alias("a"), F.max("p").alias("z")).where("a < z")
+        heirs = scratch.store(heirs.select("f", "m", "rank", "a"), rows)
+        on = F.col("a") < F.col("p")
+        moved = met.where("p > f").join(heirs, ["f", "m", "rank"], "left").select("p", F.when(on, F.col("m") + (1 << k)).otherwise(F.col("m")).alias("m"), F.when(on, F.col("a")).otherwise(F.col("f")).alias("f"))
+        state = scratch.store(moved.unionByName(new.join(state.select("p"), "p", "left_anti")), rows)
+    return state
+
+
+def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, t, i and m: m lines from the i-th on of the text t of document d that stand earlier as well; maximal, so none is within another.
+
+    Of texts that are equal only the first counts, as the others are one run each.
+    """
+    texts = scratch.store(first_texts(docs))
+    lines = scratch.store(line_rows(docs))
+    numbers = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2").orderBy("h1", "h2")
+    numbers = scratch.store(numbers.withColumn("rank", F.monotonically_increasing_id()))
+    some = lines.join(numbers, ["h1", "h2"]).select("d", "t", "i", "rank").join(in_a_row(texts), ["d", "t"])
+    # equal rows of docs are one document
+    places = scratch.store(some.select((F.col("begin") + F.col("i")).alias("p"), "d", "t", "i", "rank").dropDuplicates(["p"]))
+    rows = places.count()
+    state = longest_earlier(suffix_ranks(places, rows, scratch), scratch)
+    if state is None:
+        return places.select("d", "t", "i", F.lit(0).cast("long").alias("m")).limit(0)
+    found = places.select("p", "d", "t", "i").join(state.select("p", "m"), "p")
+    before = Window.partitionBy("d", "t").orderBy("i")
+    within = (F.lag("i").over(before) == F.col("i") - 1) & (F.lag("m").over(before) > F.col("m"))
+    return few(found.withColumn("within", within), rows).where("within is null or not within").select("d", "t", "i", "m")
 
 
 def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with later copies of repeated runs of lines deleted from text, and two more columns, n_lines and n_removed.
+    """docs with later copies of maximal repeated runs of lines deleted from text, and four more columns.
+
+    docs: doc_id long, text string and any other columns, which stay.  Lines are what newlines part; only those with a word
+    count, the others stay.  A run is as long as it can be: the lines from one line on that stand, in this order,
+    earlier as well (in a smaller doc_id, or further up in the same document, all judged on the input).  It is deleted if it has at least least_words
+    words; with one, every line goes that occurs earlier.  The text left is the other lines, joined by newlines.
 
-    docs: doc_id long, text string and any other columns, which stay (not n_lines, n_removed or names with two leading underscores).
-    Lines are what newlines part; only those with a word count, the others stay.  A run counts if it has at least
-    least_words words; it is deleted where the same run begins earlier (in a smaller doc_id, or in the same
-    document), all judged on the input.  The text left is the other lines, joined by newlines.
+    The new columns, each with underscores behind it where docs has the name already: n_lines, n_removed, n_runs (those deleted; one may
+    overlap the next) and longest_run (lines of the longest of them), all long.
 
     A null text stays null, an empty one empty, both with no lines.  A null doc_id counts as smallest; texts that share a
-    doc_id come in the order of a hash, and equal rows are one document and fare alike.
+    doc_id come in the order of a hash, and equal rows are one document and fare alike.  An empty table gives an empty result.
+    A text of any length is read whole; one task holds one whole text and what is deleted from it.
     """
-    clash = {"n_lines", "n_removed", "__cuts", "__n"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    lines = stored(line_rows(docs, least_words), "lines")
-    cuts = repeated_runs(lines, least_words).groupBy("d", "t").agg(F.collect_list(F.struct("i", "m")).alias("__cuts"))  # two for each line of the text at most
-    d, t = key_of(docs)
-    joined = docs.withColumns({"__d": d, "__t": t}).join(cuts.select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__cuts"), ["__d", "__t"], "left").drop("__d", "__t")
-    at, cuts_at = docs.columns.index("text"), len(docs.columns)
-    blank, names = bytes(range(9, 14)) + b" ", [*docs.columns, "n_lines", "n_removed"]
+    scratch, last = Scratch(docs.sparkSession, "lines"), Scratch(docs.sparkSession, "cuts")
+    cuts = repeated_runs(docs, scratch).groupBy("d", "t").agg(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "m")).alias("cuts"))  # of one text
+    first = first_texts(docs).select("t", "t2", F.col("d").alias("first"))
+    copies = docs.select(*key_of(docs)).join(scratch.store(first), ["t", "t2"]).where("d > first").select("d", "t").distinct()
+    whole = F.expr("cast(null as array<struct<i:bigint,m:bigint>>)")
+    marks = last.store(cuts.select("d", "t", "cuts", F.lit(False).alias("copy")).unionByName(copies.select("d", "t", whole.alias("cuts"), F.lit(True).alias("copy"))))
+    scratch.drop()
+
+    names = free(["n_lines", "n_removed", "n_runs", "longest_run"], docs.columns)
+    d, t, own, copy = free(["d", "t", "cuts", "copy"], docs.columns)
+    keys = key_of(docs)
+    joined = docs.withColumns({d: keys[0], t: keys[1]}).join(marks.toDF(d, t, own, copy), [d, t], "left").select(*docs.columns, own, copy)
+    at, width, all_names = docs.columns.index("text"), len(docs.columns), [*docs.columns, *names]
+    blank = bytes(range(9, 14)) + b" "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            counts, removed = [], []
-            for k, (text, own) in enumerate(zip(texts, batch.column(cuts_at), strict=True)):
-                all_lines = (text or b"").split(b"\n")
-                filled = [j for j, x in enumerate(all_lines) if x.strip(blank)]
-                gone = np.zeros(len(filled), bool)
-                if own.is_valid:
-                    for c in own.as_py():
-                        gone[c["i"] : c["i"] + c["m"]] = True
-                    drop = {filled[j] for j in np.flatnonzero(gone)}
-                    texts[k] = b"\n".join([x for j, x in enumerate(all_lines) if j not in drop])
-                counts.append(len(filled))
-                removed.append(int(gone.sum()))
-            columns = list(batch.columns[:cuts_at])
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=names)
-
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+            for part in slices(batch, "text"):
+                texts, is_copy = part.column(at).cast(pa.binary()).to_pylist(), part.column(width + 1).to_pylist()
+                counts: list[list[int]] = [[], [], [], []]
+                for k, (text, runs) in enumerate(zip(texts, part.column(width), strict=True)):
+                    all_lines = (text or b"").split(b"\n")
+                    filled = [j for j, x in enumerate(all_lines) if x.strip(blank)]
+                    gone, lengths = np.zeros(len(filled), bool), [0]
+                    if is_copy[k] and filled:
+                        starts, sizes = [0], [len(filled)]
+                    elif runs.is_valid:
+                        starts, sizes = (runs.values.field(c).to_pylist() for c in ("i", "m"))
+                    else:
+                        starts, sizes = [], []
+                    words = np.cumsum([0, *(len(all_lines[j].split()) for j in filled)]) if least_words > 1 and starts else None
+                    for i, m in zip(starts, sizes, strict=True):
+                        if words is None or words[i + m] - words[i] >= least_words:
+                            gone[i : i + m] = True
+                            lengths.append(m)
+                    if gone.any():
+                        drop = {filled[j] for j in np.flatnonzero(gone)}
+                        texts[k] = b"\n".join([x for j, x in enumerate(all_lines) if j not in drop])
+                    for column, value in zip(counts, (len(filled), int(gone.sum()), len(lengths) - 1, max(lengths)), strict=True):
+                        column.append(value)
+                columns = list(part.columns[:width])
+                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=all_names)
+
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 LINES_SQL = r"""
@@ -159,22 +212,21 @@ WITH raw AS (
 ), numbered AS (
   SELECT doc_id, unnest(range(1, len(ls) + 1)) AS j, unnest(ls) AS line FROM raw
 ), filled AS (
-  SELECT doc_id, j, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i
-  FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), sums AS (
-  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM filled
-), ends AS (
-  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 9 AND b.upto - a.upto + a.n >= 10 GROUP BY a.doc_id, a.i
-), begins AS (
-  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - 9 AND b.i AND b.upto - a.upto + a.n >= 10 GROUP BY b.doc_id, b.i
+  SELECT doc_id, j, line, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i FROM numbered WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), equal AS (
+  SELECT a.doc_id AS d0, a.i AS i0, b.doc_id AS d, b.i AS i FROM filled a JOIN filled b ON a.line = b.line AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.i < b.i)
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY d0, d, i - i0 ORDER BY i) AS island FROM equal
+), ahead AS (
+  SELECT d, i, count(*) OVER (PARTITION BY d0, d, i - i0, island ORDER BY i DESC) AS m FROM islands
+), longest AS (
+  SELECT d, i, max(m) AS m FROM ahead GROUP BY d, i
+), maximal AS (
+  SELECT d, m FROM (SELECT *, lag(i) OVER w AS i1, lag(m) OVER w AS m1 FROM longest WINDOW w AS (PARTITION BY d ORDER BY i)) WHERE i1 IS NULL OR i1 < i - 1 OR m1 <= m
 ), runs AS (
-  SELECT * FROM ends UNION SELECT doc_id, s, e FROM begins
-), named AS (
-  SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS name FROM runs r JOIN filled f ON f.doc_id = r.doc_id AND f.i BETWEEN s AND e GROUP BY r.doc_id, s, e
-), later AS (
-  SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id, s) AS k FROM named) WHERE k > 1
+  SELECT d AS doc_id, count(*) AS n_runs, max(m) AS longest_run FROM maximal GROUP BY d
 ), gone AS (
-  SELECT DISTINCT f.doc_id, f.j FROM later l JOIN filled f ON f.doc_id = l.doc_id AND f.i BETWEEN s AND e
+  SELECT f.doc_id, f.j FROM longest l JOIN filled f ON f.doc_id = l.d AND f.i = l.i
 ), kept AS (
   SELECT n.doc_id, string_agg(line, chr(10) ORDER BY n.j) AS t FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.j = n.j WHERE g.j IS NULL GROUP BY n.doc_id
 ), counts AS (
@@ -182,6 +234,7 @@ WITH raw AS (
 ), cuts AS (
   SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id
 )
-SELECT raw.doc_id, CAST(coalesce(counts.c, 0) AS BIGINT) AS n_lines, CAST(coalesce(cuts.c, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM raw LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN cuts USING (doc_id)
+SELECT raw.doc_id, CAST(coalesce(counts.c, 0) AS BIGINT) AS n_lines, CAST(coalesce(cuts.c, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+  CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(coalesce(t, '')) AS kept_sha256
+FROM raw LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id) LEFT JOIN cuts USING (doc_id) LEFT JOIN runs USING (doc_id)
 """

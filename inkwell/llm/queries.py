@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import langid
 from inkwell.llm.bpe import decode, encode
 from inkwell.llm.jaccard import JACCARD_SQL, similar_documents
-from inkwell.llm.lines import LINES_SQL, SQL_LEAST_WORDS, remove_repeated_lines
+from inkwell.llm.lines import LINES_SQL, remove_repeated_lines
 from inkwell.llm.neardup import NEAR_SQL, near_duplicates
 from inkwell.llm.packing import pack, token_pieces
 from inkwell.llm.quality import HOST_SQL, judge
@@ -51,8 +51,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeated_lines(table(spark, sf_dir, "documents"), SQL_LEAST_WORDS)  # the SQL's floor; the pipeline has none
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

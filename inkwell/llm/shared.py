@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +16,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none."""
+    """The folder that all executors share.
+
+    Where the session names none: on one machine a temporary folder, as in tests; on a cluster one beside the tables of the warehouse.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_inkwell"
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkwell-checkpoint-"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
+class Scratch:
+    """Tables that the steps of one operator write in the shared folder and read again; drop() deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path, self.tables = spark, f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}", 0
+
+    def store(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df written and read again, in as many files as rows need if they are known; a lost executor costs nothing of it."""
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        (df if rows is None else few(df, rows)).write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(names: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """Each name with as many underscores behind it as it takes to differ from all names taken, in lower case as Spark compares them."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Narrow rows that one task takes of a table whose size has been counted.
 ROWS_A_TASK = 200_000
 

@@ -276,50 +276,79 @@ def test_hosts_fall_by_their_shrunk_rates(spark):
 
 
 def brute_lines(rows, least):
+    """For each row, by the definition: the longest runs from each line on that begin earlier, those that no other holds, what they delete."""
+
     def key(r):
         return (r[0] is not None, r[0] or 0)
 
-    seen, out = set(), []
+    texts_, out = [], []
     for i, t in sorted(set(rows), key=key):
         raw = (t or "").split("\n")
-        filled = [(j, x) for j, x in enumerate(raw) if words(x)]
-        n = [len(words(x)) for _, x in filled]
-        spans = set()
-        for a in range(len(n)):
-            for b in range(a, len(n)):
-                if sum(n[a : b + 1]) >= least and (sum(n[a:b]) < least or sum(n[a + 1 : b + 1]) < least):
-                    spans.add((a, b))
-        gone = set()
-        for a, b in sorted(spans):
-            name = tuple(x for _, x in filled[a : b + 1])
-            if name in seen:
-                gone |= {filled[k][0] for k in range(a, b + 1)}
-            seen.add(name)
-        out.append((i, len(n), len(gone), None if t is None else "\n".join(x for j, x in enumerate(raw) if j not in gone)))
+        texts_.append((i, t, raw, [(j, x) for j, x in enumerate(raw) if words(x)]))
+    at = defaultdict(list)  # of each line: the places met so far
+    for k, (i, t, raw, filled) in enumerate(texts_):
+        longest = []
+        for a, (_, line) in enumerate(filled):
+            best = 0
+            for o, b in at[line]:
+                other, n = texts_[o][3], 0
+                while a + n < len(filled) and b + n < len(other) and filled[a + n][1] == other[b + n][1]:
+                    n += 1
+                best = max(best, n)
+            longest.append(best)
+            at[line].append((k, a))
+        runs = [(a, m) for a, m in enumerate(longest) if m and not (a and longest[a - 1] > m)]
+        runs = [(a, m) for a, m in runs if sum(len(words(x)) for _, x in filled[a : a + m]) >= least]
+        gone = {filled[a + n][0] for a, m in runs for n in range(m)}
+        left = None if t is None else "\n".join(x for j, x in enumerate(raw) if j not in gone)
+        out.append((i, len(filled), len(gone), len(runs), max([0, *(m for _, m in runs)]), left))
     return out
 
 
+def line_results(df):
+    return {(r["doc_id"], r["n_lines"], r["n_removed"], r["n_runs"], r["longest_run"], r["text"]) for r in df.collect()}
+
+
 def test_line_dedup(docs, empty):
-    for least in (3, 10):
+    for least in (1, 3, 10):
         got = lines.remove_repeated_lines(docs, least)
-        assert got.columns == [*docs.columns, "n_lines", "n_removed"]
-        rows = {(r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()}
-        assert rows == set(brute_lines(texts(), least))
+        assert got.columns == [*docs.columns, "n_lines", "n_removed", "n_runs", "longest_run"]
+        assert line_results(got) == set(brute_lines(texts(), least))
     assert got.count() == len(texts()) and lines.remove_repeated_lines(empty).count() == 0
 
 
-def test_line_dedup_of_runs(spark):
+@pytest.mark.parametrize("least", [1, 4, 9])
+def test_line_dedup_of_runs(spark, least):
     rng = np.random.default_rng(11)
-    rows = [(int(i), "\n".join(" ".join(rng.choice(["a", "b"], rng.integers(0, 4))) for _ in range(12))) for i in range(40)]
-    got = lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 9)
-    assert {(r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()} == set(brute_lines(rows, 9))
+    rows = [(int(i), "\n".join(" ".join(rng.choice(["a", "b"], rng.integers(0, 3))) for _ in range(14))) for i in range(30)]
+    long = [f"line {k}" for k in range(40)]
+    rows += [(50 + k, "\n".join(long[k : 20 + 3 * k] + ["x"] + long[:k])) for k in range(7)] + [(70, "\n".join(["z"] * 37)), (71, "\n".join(["z"] * 21))]
+    assert line_results(lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), least)) == set(brute_lines(rows, least))
+
+
+def test_line_dedup_of_many_equal_rows(spark):
+    """Equal rows, rows without an id and a line that all documents hold cost no more than in proportion."""
+    text = "\n".join(f"line {k} of one text" for k in range(12))
+    rows = [(1, text)] * 50 + [(None, text + "\nmore")] * 50 + [(2, text)] * 3 + [(k, f"own {k}\neverywhere") for k in range(10, 60)]
+    got = lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == len(rows) and line_results(got) == set(brute_lines(rows, 1))
+    same = Counter(r["doc_id"] for r in got.collect())
+    assert same[1] == 50 and same[None] == 50
+
+
+def test_line_dedup_keeps_columns_of_its_names(spark):
+    names = ["doc_id", "text", "n_lines", "N_removed", "n_runs_", "cuts", "copy", "d", "t", "longest_run"]
+    given = spark.createDataFrame([(k, "a line\nown %d" % k, *["kept"] * 8) for k in range(3)], names)
+    got = lines.remove_repeated_lines(given)
+    assert got.columns == [*names, "n_lines_", "n_removed_", "n_runs", "longest_run_"]
+    assert sorted(tuple(r) for r in got.collect()) == [(k, "a line\nown %d" % k if k == 0 else "own %d" % k, *["kept"] * 8, 2, int(k > 0), int(k > 0), int(k > 0)) for k in range(3)]
 
 
 def test_short_repeated_lines_go(spark):
     rows = [(1, "All rights reserved.\none of its own\nx"), (2, "two of its own\nAll rights reserved."), (3, "x\n\nAll rights reserved.\nthree"), (4, "x"), (5, "y\ny"), (6, "all rights reserved.")]
     given = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {(1, 3, 0, rows[0][1]), (2, 2, 1, "two of its own"), (3, 3, 2, "\nthree"), (4, 1, 1, ""), (5, 2, 1, "y"), (6, 1, 0, rows[5][1])}
-    assert {(r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in lines.remove_repeated_lines(given).collect()} == want
+    want = {(1, 3, 0, 0, 0, rows[0][1]), (2, 2, 1, 1, 1, "two of its own"), (3, 3, 2, 2, 1, "\nthree"), (4, 1, 1, 1, 1, ""), (5, 2, 1, 1, 1, "y"), (6, 1, 0, 0, 0, rows[5][1])}
+    assert line_results(lines.remove_repeated_lines(given)) == want
     got = dict(corpus_pipeline.repeated_lines(spark, given, SF).collect())
     assert got == {1: rows[0][1], 2: "two of its own", 3: "\nthree", 5: "y", 6: rows[5][1]}
     filled = [x for t in got.values() for x in t.split("\n") if words(x)]
@@ -513,7 +542,7 @@ def test_pipeline(spark):
         before, at = at, spark.createDataFrame(stage(spark, at, SF).toPandas(), given.schema)
         assert at.columns == names and at.join(before, "doc_id", "left_anti").count() == 0
         if name == "line dedup":
-            want = {(i, t) for i, _, gone, t in brute_lines([(r["doc_id"], r["text"]) for r in before.collect()], lines.LEAST_WORDS)}
+            want = {(r[0], r[-1]) for r in brute_lines([(r["doc_id"], r["text"]) for r in before.collect()], lines.LEAST_WORDS)}
             assert {(r["doc_id"], r["text"]) for r in at.collect()} <= want
         if name == "near copies":
             want = {c for i, _, c in brute_jaccard([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80)}
