@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import saved, stored
+from inkwell.llm.shared import free, saved, stored
 
 #: The base patterns, in the order in which kinds are listed; group 2 of an assignment is its value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,20 +21,21 @@ RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]++(?:=++(?![A
 #: A run that mixes both of these fits no encoding; it is cut at the ones and, apart from that, at the others.
 MIXED = r"[+/].*[_-]|[_-].*[+/]"
 PARTS = (r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*")
-#: Encodings from the narrowest: name, what every character must match, alphabet, and the chance that two characters of ordinary text in it agree.
+#: Encodings from the narrowest: name, what every character must match, alphabet, and of ordinary text in it the share of letters that are spread as in English, or None for numbers.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
-    ("decimal", "[0-9]", DIGITS, 0.13),
-    ("hex", "[0-9a-f]", DIGITS + "abcdef", 0.13),
-    ("HEX", "[0-9A-F]", DIGITS + "ABCDEF", 0.13),
-    ("base32", "[A-Z2-7]", UPPER + "234567", 0.066),
-    ("lower", "[a-z0-9]", LOWER + DIGITS, 0.066),
-    ("base62", "[A-Za-z0-9]", UPPER + LOWER + DIGITS, 0.06),
-    ("base64", "[A-Za-z0-9+/]", UPPER + LOWER + DIGITS + "+/", 0.06),
-    ("base64url", "[A-Za-z0-9_-]", UPPER + LOWER + DIGITS + "-_", 0.06),
+    ("decimal", "[0-9]", DIGITS, None),
+    ("hex", "[0-9a-f]", DIGITS + "abcdef", None),
+    ("HEX", "[0-9A-F]", DIGITS + "ABCDEF", None),
+    ("base32", "[A-Z2-7]", UPPER + "234567", 1.0),
+    ("lower", "[a-z0-9]", LOWER + DIGITS, 1.0),
+    ("base62", "[A-Za-z0-9]", UPPER + LOWER + DIGITS, 0.95),
+    ("base64", "[A-Za-z0-9+/]", UPPER + LOWER + DIGITS + "+/", 0.95),
+    ("base64url", "[A-Za-z0-9_-]", UPPER + LOWER + DIGITS + "-_", 0.95),
 )
-#: Spread of the squares of ordinary text's letter chances, 4 * (sum p**3 - (sum p**2)**2).
-SPREAD = 0.005
+#: How often each letter of a to z occurs in English, in ten thousands of all letters; and, as a model of numbers in text, each digit from 0 to 9 in hundreds.
+ENGLISH = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7)
+NUMBERS = (22, 18, 12, 8, 7, 7, 7, 7, 6, 6)
 #: A string counts as random if no test of the battery rejects it at LEVEL (Bonferroni), and as no ordinary text at false-discovery rate RATE.
 LEVEL, RATE = 0.001, 0.01
 #: P-values are counted in bins of a quarter of a power of ten, up to this many.
@@ -46,18 +47,46 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Entries of an array that grows entry by entry, each time as a copy; and code points of text that are cut at places.
+BLOCK, CHUNK = 256, 1024
+
+
+def running(values: Column, join) -> Column:
+    """What join (a sum, a maximum) makes of 0 and all int values before each; by blocks, so that the cost goes with their number."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def grown(xs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("t"), none.alias("out"))
+        return F.aggregate(xs, zero, lambda a, x: F.struct(join(a["t"], x).alias("t"), F.concat(a["out"], F.array(a["t"])).alias("out")), lambda a: a["out"])
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), join))
+        return let(grown(totals), lambda before: F.flatten(F.transform(blocks, lambda b, k: F.transform(grown(b), lambda x: join(x, before[k])))))
+
+    def of_values(v: Column) -> Column:
+        last = F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / BLOCK).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK))), of_blocks)
+
+    return let(values, of_values)
+
+
+def how_many(ascending: Column, fits) -> Column:
+    """How many of the first entries fit, where none fits after one that does not: by halving."""
+    steps = F.lit([1 << k for k in reversed(range(31))])
+    return F.aggregate(steps, F.lit(0), lambda at, by: F.when(F.coalesce(fits(F.get(ascending, at + by - 1)), F.lit(False)), at + by).otherwise(at))
+
+
 def found(text: Column, pattern: str) -> Column:
     """start, end (code points) and text of all leftmost non-overlapping matches; none is empty."""
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
+    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size"), hit.alias("hit")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.when(x["hit"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out")))
+    def placed(x: Column) -> Column:
+        before = running(F.transform(x, lambda h: h["gap"] + F.coalesce(h["size"], F.lit(0))), lambda a, b: a + b)
+        hits = F.zip_with(x, before, lambda h, at: F.struct((at + h["gap"]).alias("start"), (at + h["gap"] + h["size"]).alias("end"), h["hit"].alias("hit")))
+        return F.filter(hits, lambda h: h["hit"].isNotNull())
 
     none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
-    return F.when(text.rlike(pattern), F.aggregate(both, zero, step, lambda a: a["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), let(both, placed)).otherwise(none)
 
 
 def spans(hits: Column, kind: str) -> Column:
@@ -73,9 +102,50 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(spans(assign, "assign"), spans(access, "access"), spans(lower_hex, "hex")))
 
 
+#: The terms of erfc's rational Chebyshev fit (relative error 1.2e-7 everywhere), from the constant on.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def chance_below(z: Column) -> Column:
-    """The normal distribution function by its logistic approximation (largest error 0.0002)."""
-    return 1 / (1 + F.exp(-F.greatest(F.least(1.5976 * z + 0.070565992 * z * z * z, F.lit(500.0)), F.lit(-500.0))))
+    """The normal distribution function, right to six digits in the far tail below as well."""
+    x = F.abs(z) / F.lit(2.0**0.5)
+    t = 1 / (1 + x / 2)
+    terms = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        terms = F.lit(c) + t * terms
+    tail = t * F.exp(terms - x * x) / 2
+    return F.when(z < 0, tail).otherwise(1 - tail)
+
+
+def power_sums(share: float | None, size: int) -> tuple[float, float, float]:
+    """Sums of the second, third and fourth powers of the letters' chances in ordinary text: share as in English, the rest even over the alphabet."""
+    given, share = (NUMBERS, 1.0) if share is None else (ENGLISH, share)
+    p = [share * x / sum(given) for x in given]
+    rest = max(size - len(p), 1)
+    return tuple(sum(x**j for x in p) + rest * ((1 - share) / rest) ** j for j in (2, 3, 4))
+
+
+def deviation(pairs: Column, n: Column, s2: Column, s3: Column, s4: Column) -> Column:
+    """How many standard deviations the number of pairs of equal letters lies above its mean, as a normal variable.
+
+    s2, s3, s4: sums of powers of the letters' chances, which give the number's first three moments for any length; the
+    third enters as in a gamma distribution (Wilson and Hilferty), so that short strings with few such pairs count right.
+    """
+    two = n * (n - 1) / 2
+    three, four = 2 * two * (n - 2), 2 * two * (n - 2) * (n - 3)
+    variance = two * (s2 - s2 * s2) + three * (s3 - s2 * s2)
+    third = (
+        two * (s2 - 3 * s2 * s2 + 2 * s2 * s2 * s2)
+        + three * (3 * (1 - 2 * s2) * (s3 - s2 * s2) + s3 - 3 * s2 * s3 + 2 * s2 * s2 * s2)
+        + four * (4 * s4 - 9 * s2 * s3 + 5 * s2 * s2 * s2)
+    )
+
+    def corrected(x: Column) -> Column:
+        skew = x["third"] / (x["sd"] * x["sd"] * x["sd"])
+        inside = F.greatest(1 + skew * (pairs - two * s2) / x["sd"] / 2, F.lit(1e-9))
+        return 6 / skew * (F.cbrt(inside) - 1) + skew / 6
+
+    return let(F.struct(F.sqrt(variance).alias("sd"), third.alias("third")), corrected)
 
 
 def candidates(text: Column) -> Column:
@@ -93,52 +163,57 @@ def tested(hit: Column) -> Column:
 
     p_random: the least p-value of chi-squared uniformity, runs about the middle and serial correlation,
     times three; p_text: the chance that ordinary text of this length is so evenly spread over the alphabet.
+    Chi-squared is taken by the pairs of equal letters, on which it depends linearly.
     """
     body = F.rtrim(hit, F.lit("="))
     code = F.lit(None).cast("int")
     for i in reversed(range(len(ENCODINGS))):
         code = F.when(body.rlike(f"^{ENCODINGS[i][1]}+$"), F.lit(i)).otherwise(code)
     zero = F.lit(0.0)
+    plus = lambda a, y: a + y
 
     def with_code(c: Column) -> Column:
         letters = F.element_at(F.lit([e[2] for e in ENCODINGS]), c + 1)
-        agree = F.element_at(F.lit([e[3] for e in ENCODINGS]), c + 1)
-        k = F.length(letters).cast("double")
-        values = F.transform(F.split(body, ""), lambda ch: (F.instr(letters, ch) - 1).cast("double"))
-        return let(F.struct(values.alias("v"), k.alias("k"), letters.alias("a"), agree.alias("s"), F.length(body).cast("double").alias("n"), c.alias("c")), measured)
+        halves = F.element_at(F.lit(["0" * (len(e[2]) // 2) + "1" * (len(e[2]) // 2) for e in ENCODINGS]), c + 1)
+        sums = [F.element_at(F.lit([power_sums(e[3], len(e[2]))[j] for e in ENCODINGS]), c + 1) for j in range(3)]
+        counts = F.transform(F.split(letters, ""), lambda ch: (F.length(body) - F.length(F.replace(body, ch, F.lit("")))).cast("double"))
+        return let(
+            F.struct(letters.alias("a"), F.length(letters).cast("double").alias("k"), F.length(body).cast("double").alias("n"), c.alias("c"), counts.alias("counts"), F.call_function("translate", body, letters, halves).alias("high"), *(s.alias(f"s{j + 2}") for j, s in enumerate(sums))),
+            measured,
+        )
 
     def measured(x: Column) -> Column:
-        n, k, v = x["n"], x["k"], x["v"]
-        squares = F.aggregate(F.split(x["a"], ""), zero, lambda a, ch: a + F.pow((F.length(body) - F.length(F.replace(body, ch, F.lit("")))).cast("double"), F.lit(2.0)))
-        chi = k * squares / n - n
-        p_chi = 1 - chance_below((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
+        n, k = x["n"], x["k"]
         middle = (k - 1) / 2
-        high = F.aggregate(v, zero, lambda a, y: a + F.when(y > middle, 1.0).otherwise(0.0))
-        pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        runs = 1 + F.aggregate(pairs, zero, lambda a, y: a + F.when((y["a"] > middle) != (y["b"] > middle), 1.0).otherwise(0.0))
+        pairs = F.aggregate(F.transform(x["counts"], lambda y: y * (y - 1) / 2), zero, plus)
+        high = F.length(F.replace(x["high"], F.lit("0"), F.lit(""))).cast("double")
+        changes = [(n - F.length(F.replace(x["high"], F.lit(two), F.lit("")))) / 2 for two in ("01", "10")]
         even = 2 * high * (n - high) / n
         spread = even * (even - 1) / F.greatest(n - 1, F.lit(1.0))
-        z_runs = F.when(spread > 0, F.abs(runs - even - 1) / F.sqrt(spread)).otherwise(9.0)
-        product = F.aggregate(pairs, zero, lambda a, y: a + (y["a"] - middle) * (y["b"] - middle))
-        own = F.aggregate(v, zero, lambda a, y: a + (y - middle) * (y - middle))
+        z_runs = F.when(spread > 0, F.abs(changes[0] + changes[1] - even) / F.sqrt(spread)).otherwise(9.0)
+        # serial products piece by piece, each with the first letter of the next, so that a long string is never an array of letters
+        value = lambda ch: F.instr(x["a"], ch) - 1 - middle
+        neighbours = lambda v: F.aggregate(F.zip_with(v, F.slice(v, 2, CHUNK + 1), lambda a, b: F.coalesce(a * b, zero)), zero, plus)
+        pieces = lambda ps: F.aggregate(F.transform(ps, lambda p, j: let(F.transform(F.split(F.concat(p, F.coalesce(F.substring(F.get(ps, j + 1), 1, 1), F.lit(""))), ""), value), neighbours)), zero, plus)
+        product = let(F.regexp_extract_all(body, F.lit(".{1,%d}" % CHUNK), F.lit(0)), pieces)
+        own = F.aggregate(F.transform(x["counts"], lambda y, i: y * (i - middle) * (i - middle)), zero, plus)
         z_serial = F.when(own > 0, F.abs(product / own) * F.sqrt(n)).otherwise(9.0)
-        p_two = lambda z: 2 * (1 - chance_below(z))
-        usual = k * (1 + (n - 1) * x["s"]) - n
-        z_text = (chi - usual) / (k * F.sqrt(SPREAD * n + 2 * x["s"]))
-        return F.struct(x["c"].alias("encoding"), n.cast("int").alias("n"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_two(z_runs), p_two(z_serial))).alias("p_random"), chance_below(z_text).alias("p_text"))
+        z_even = deviation(pairs, n, 1 / k, 1 / (k * k), 1 / (k * k * k))
+        p_random = 3 * F.least(chance_below(-z_even), 2 * chance_below(-z_runs), 2 * chance_below(-z_serial))
+        return F.struct(x["c"].alias("encoding"), n.cast("int").alias("n"), F.least(F.lit(1.0), p_random).alias("p_random"), chance_below(deviation(pairs, n, x["s2"], x["s3"], x["s4"])).alias("p_text"))
 
-    return let(code, with_code)
+    return let(code, lambda c: F.when(c.isNotNull(), with_code(c)))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text masked; all rows and columns stay, a null text null.
+    """docs with each secret in text masked, spans as scan() gives them; all rows and columns stay.
 
-    The spans go with the rows through one pass, so no join is needed (columns named base, runs and spans must not be there).
+    The spans go with the rows through one pass, so no join is needed.  A null text stays null, an empty one empty; a text of any
+    length is masked in chunks, at a cost in proportion to it; other columns may have any names.  Repeated rows fare alike; an empty
+    table gives an empty result.
     """
-    clash = {"base", "runs", "spans"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    return scanned(docs, docs.columns).withColumn("text", masked(F.col("text"), F.col("spans"))).select(*docs.columns)
+    rows, _, spans_ = scanned(docs, wide=True)
+    return rows.withColumn("text", masked(F.col("text"), F.col(spans_))).select(*docs.columns)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,19 +225,31 @@ def scan(docs: DataFrame) -> DataFrame:
     accepts as no ordinary text.  A run has LEAST_RUN characters at least, shorter ones are not tested; = ends it
     but for padding, and one that mixes - or _ with + or / is tested in parts, cut at either.  The control is length-aware: candidates compete only with those of their
     encoding and power of two of length, by Benjamini and Hochberg's rule over bins of p-values, so that
-    what is gathered is a count per stratum and bin.  A null or empty text has no spans; rows stay one for one.
+    what is gathered is a count per stratum and bin.
+
+    A null or empty text has no spans; rows stay one for one, repeated ones and those without an id too, though each counts in the
+    control.  A text of any length is read whole, at a cost in proportion to it.  An empty table gives an empty result.
     """
-    return scanned(docs.select("doc_id", "text"), ["doc_id", "base"])
+    rows, base, spans_ = scanned(docs.select("doc_id", "text"), wide=False)
+    return rows.select("doc_id", F.col(base).alias("base"), F.col(spans_).alias("spans"))
+
 
+def meets(r: Column, kind: Column) -> Column:
+    """Whether r overlaps any of one kind's spans, which are ascending and apart: if so, then the last that begins before r's end."""
+    return F.when(F.size(kind) > 0, let(how_many(kind, lambda s: s["start"] < r["end"]), lambda at: F.coalesce(F.get(kind, at - 1)["end"] > r["start"], F.lit(False)))).otherwise(False)
 
-def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep and spans, of rows with text, base and runs besides."""
+
+def scanned(docs: DataFrame, wide: bool) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: base and spans; not wide: without text."""
+    base, runs, spans_ = free(["base", "runs", "spans"], docs.columns)
     text = F.coalesce("text", F.lit(""))
-    runs = F.transform(candidates(text), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), tested(h["hit"]).alias("t")))
-    rows = docs.select("*", base_spans(text).alias("base"), runs.alias("runs"))
-    rows = stored(rows, "spans") if "text" in keep else saved(rows.drop("text"))
-    outside = F.filter("runs", lambda r: r["t"]["encoding"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    open_rows = rows.where(F.size("runs") > 0).select(F.explode(outside).alias("r"))
+    tests = F.transform(candidates(text), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), tested(h["hit"]).alias("t")))
+    rows = docs.select("*", base_spans(text).alias(base), tests.alias(runs))
+    rows = stored(rows, "spans") if wide else saved(rows.drop("text"))
+    kinds = F.array(*[F.filter(base, lambda b, k=k: b["kind"] == k) for k in range(3)])
+    apart = let(kinds, lambda ks: F.filter(runs, lambda r: r["t"].isNotNull() & ~(meets(r, ks[0]) | meets(r, ks[1]) | meets(r, ks[2]))))
+    outside = F.when(F.size(runs) > 0, apart).otherwise(F.col(runs))
+    open_rows = rows.where(F.size(runs) > 0).select(F.explode(outside).alias("r"))
 
     def stratum(r: Column) -> Column:
         return r["t"]["encoding"] * 64 + F.floor(F.log2(r["t"]["n"])).cast("int")
@@ -180,7 +267,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     table = F.map_from_entries(F.array(*limits)) if limits else F.expr("cast(map() as map<int,int>)")
     passed = lambda r: (r["t"]["p_random"] >= LEVEL) & (p_bin(r) >= F.try_element_at(table, stratum(r)))
     random = F.transform(F.filter(outside, lambda r: F.coalesce(passed(r), F.lit(False))), lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
-    return rows.select(*keep, F.array_sort(F.concat("base", random)).alias("spans"))
+    return rows.withColumn(spans_, F.array_sort(F.concat(base, random))), base, spans_
 
 
 def listed(spans_: Column) -> Column:
@@ -190,73 +277,102 @@ def listed(spans_: Column) -> Column:
 
 
 def masked(text: Column, spans_: Column, mask: str = "[secret]") -> Column:
-    """text with each span, or run of overlapping spans, replaced by mask."""
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    """text with each span, or run of overlapping spans, replaced by mask; in chunks, so that no place is sought from the text's start."""
+
+    def merged(xs: Column) -> Column:
+        """start and end of each run: one begins where a span begins at or behind all ends before it."""
+        ends = F.transform(xs, lambda s: s["end"])
+        with_reach = F.zip_with(xs, running(ends, lambda a, b: F.greatest(a, b)), lambda s, at: F.struct(s["start"].alias("start"), at.alias("reach")))
+        first = F.filter(with_reach, lambda s: s["start"] >= s["reach"])
+        return let(first, lambda f: F.zip_with(f, F.slice(f, 2, 1 << 30), lambda a, b: F.struct(a["start"].alias("start"), F.coalesce(b["reach"], F.array_max(ends)).alias("end"))))
+
+    def cut(runs: Column) -> Column:
+        def one(chunk: Column, k: Column) -> Column:
+            begin = k * CHUNK
+            before = how_many(runs, lambda r: r["end"] <= begin)
+            own = let(before, lambda at: F.slice(runs, at + 1, how_many(runs, lambda r: r["start"] < begin + CHUNK) - at))
+
+            def step(a: Column, r: Column) -> Column:
+                lead = F.concat(F.substring(chunk, a["at"] - begin + 1, F.greatest(r["start"] - a["at"], F.lit(0))), F.when(r["start"] >= begin, F.lit(mask)).otherwise(""))
+                return F.struct(r["end"].alias("at"), F.concat(a["out"], lead).alias("out"))
 
-    def step(a: Column, s: Column) -> Column:
-        new = s["start"] >= a["at"]
-        part = F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, F.concat(a["out"], F.array(part))).otherwise(a["out"]).alias("out"))
+            return F.aggregate(own, F.struct(begin.alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(chunk, a["at"] - begin + 1, F.lit(CHUNK))))
 
-    joined = F.aggregate(spans_, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans_) > 0, joined).otherwise(text)
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0)), one), "")
+
+    return F.when(F.size(spans_) > 0, let(spans_, lambda xs: let(merged(xs), cut))).otherwise(text)
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for base spans and spans of documents, from the same fixed values."""
+    """DuckDB SQL for base spans and spans of documents, from the same fixed values; the normal distribution by series and continued fraction."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    kinds = [
-        (0, ASSIGN, f"length(regexp_replace(hit, {quoted(VALUE_BEFORE)}, '')) >= {LEAST_VALUE}"),
-        (1, ACCESS, f"length(hit) >= {LEAST_ACCESS}"),
-        (2, r"[0-9a-f]{%d,}" % LEAST_HEX, "true"),
-        (3, r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN, "true"),
-    ]
-    hits = " UNION ALL ".join(
-        f"""SELECT doc_id, {k} AS kind, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS s
-        FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS hits FROM docs))"""
-        for k, p, _ in kinds
-    )
+    kinds = [(0, ASSIGN, f"length(regexp_replace(hit, {quoted(VALUE_BEFORE)}, '')) >= {LEAST_VALUE}"), (1, ACCESS, f"length(hit) >= {LEAST_ACCESS}"), (2, HEX, f"length(hit) >= {LEAST_HEX}")]
+
+    def hits(source: str, pattern: str, kind: int) -> str:
+        """Matches of a pattern in t of the source's rows (doc_id, t, s: where t stands); next: whether another match follows at once."""
+        return f"""SELECT doc_id, {kind} AS kind, hits[i] AS hit, CAST(s + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS s, i < len(hits) AND gaps[i + 1] = '' AS next
+        FROM (SELECT doc_id, s, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, s, string_split_regex(t, {quoted(pattern)}) AS gaps, regexp_extract_all(t, {quoted(pattern)}) AS hits FROM {source}))"""
+
     keep = " OR ".join(f"(kind = {k} AND {ok})" for k, _, ok in kinds)
     code = "CASE " + " ".join(f"WHEN regexp_full_match(body, {quoted(e[1] + '+')}) THEN {i}" for i, e in enumerate(ENCODINGS)) + " END"
-    table = ", ".join(f"({i}, {quoted(e[2])}, {e[3]}, CAST({len(e[2])} AS DOUBLE))" for i, e in enumerate(ENCODINGS))
-    below = lambda z: f"(1 / (1 + exp(-greatest(least(1.5976 * ({z}) + 0.070565992 * ({z}) * ({z}) * ({z}), 500.0), -500.0))))"
+    table = ", ".join(f"({i}, {quoted(e[2])}, CAST({len(e[2])} AS DOUBLE), {', '.join(f'CAST({x!r} AS DOUBLE)' for x in power_sums(e[3], len(e[2])))})" for i, e in enumerate(ENCODINGS))
+    down = lambda n: f"list_transform(range(0, {n}), lambda i: CAST({n} - i AS DOUBLE))"
+
+    def below(z: str) -> str:
+        series = f"0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {z} * list_reduce(list_prepend(CAST(1 AS DOUBLE), {down(60)}), lambda acc, j: 1 + {z} * {z} / (2 * j + 1) * acc)"
+        fraction = f"exp(-{z} * {z} / 2) / sqrt(2 * pi()) / list_reduce(list_prepend(abs({z}), {down(400)}), lambda acc, j: abs({z}) + j / acc)"
+        return f"(CASE WHEN abs({z}) < 2 THEN {series} WHEN {z} < 0 THEN {fraction} ELSE 1 - {fraction} END)"
+
+    def moments(s2: str, s3: str, s4: str) -> str:
+        """struct of the mean, the standard deviation and the skewness of the number of pairs."""
+        three, four = "(n * (n - 1) * (n - 2))", "(n * (n - 1) * (n - 2) * (n - 3))"
+        variance = f"(n * (n - 1) / 2 * ({s2} - {s2} ** 2) + {three} * ({s3} - {s2} ** 2))"
+        third = f"(n * (n - 1) / 2 * ({s2} - 3 * {s2} ** 2 + 2 * {s2} ** 3) + 3 * {three} * (1 - 2 * {s2}) * ({s3} - {s2} ** 2) + {three} * ({s3} - 3 * {s2} * {s3} + 2 * {s2} ** 3) + {four} * ({s4} - 3 * {s2} * {s3} + 2 * {s2} ** 3) + 3 * {four} * ({s4} - 2 * {s2} * {s3} + {s2} ** 3))"
+        return f"{{'mean': n * (n - 1) / 2 * {s2}, 'sd': sqrt({variance}), 'skew': {third} / {variance} ** 1.5}}"
+
+    gamma = lambda m: f"6 / {m}.skew * (cbrt(greatest(1 + {m}.skew * (pairs - {m}.mean) / {m}.sd / 2, 1e-9)) - 1) + {m}.skew / 6"
     names = ", ".join(quoted(k) for k in KINDS)
     return f"""
 WITH docs AS (
-  SELECT doc_id, coalesce(text, '') AS t FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, CAST(0 AS BIGINT) AS s FROM documents
 ), hits AS (
-  {hits}
-), found AS (
-  SELECT doc_id, kind, hit, s, s + length(hit) AS e FROM hits WHERE {keep}
+  {" UNION ALL ".join(hits("docs", p, k) for k, p, _ in kinds)}
 ), base AS (
-  SELECT * FROM found WHERE kind < 3
+  SELECT doc_id, kind, hit, s, s + length(hit) AS e FROM hits WHERE {keep}
+), runs AS (
+  SELECT doc_id, s, CASE WHEN next THEN rtrim(hit, '=') ELSE hit END AS t FROM ({hits("docs", "[A-Za-z0-9+/_-]+=*", 3)})
+), mixed AS (
+  SELECT * FROM runs WHERE length(t) >= {LEAST_RUN} AND regexp_matches(t, {quoted(MIXED)})
+), parts AS (
+  SELECT doc_id, s, t AS hit FROM runs WHERE NOT regexp_matches(t, {quoted(MIXED)})
+  UNION ALL {" UNION ALL ".join(f"SELECT doc_id, s, hit FROM ({hits('mixed', p, 3)})" for p in PARTS)}
+), found AS (
+  SELECT doc_id, hit, s, s + length(hit) AS e FROM parts WHERE length(hit) >= {LEAST_RUN}
 ), candidates AS (
-  SELECT *, rtrim(hit, '=') AS body FROM found f WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)
+  SELECT *, rtrim(hit, '=') AS body FROM found f WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)
 ), coded AS (
   SELECT *, {code} AS c FROM candidates
 ), valued AS (
-  SELECT doc_id, s, e, body, c, a, agree, k, CAST(length(body) AS DOUBLE) AS n, list_transform(string_split(body, ''), lambda ch: CAST(strpos(a, ch) - 1 AS DOUBLE)) AS v
-  FROM coded JOIN (VALUES {table}) AS enc(code, a, agree, k) ON c = code
+  SELECT doc_id, s, e, body, c, a, s2, s3, s4, k, CAST(length(body) AS DOUBLE) AS n, list_transform(string_split(body, ''), lambda ch: CAST(strpos(a, ch) - 1 AS DOUBLE)) AS v
+  FROM coded JOIN (VALUES {table}) AS enc(code, a, k, s2, s3, s4) ON c = code
 ), measured AS (
-  SELECT *, k * list_sum(list_transform(string_split(a, ''), lambda ch: pow(length(body) - length(replace(body, ch, '')), 2))) / n - n AS chi,
+  SELECT *, list_sum(list_transform(string_split(a, ''), lambda ch: pow(length(body) - length(replace(body, ch, '')), 2) - (length(body) - length(replace(body, ch, ''))))) / 2 AS pairs,
     CAST(len(list_filter(v, lambda y: y > (k - 1) / 2)) AS DOUBLE) AS high,
     1 + len(list_filter(range(1, len(v)), lambda i: (v[i] > (k - 1) / 2) <> (v[i + 1] > (k - 1) / 2))) AS runs,
     list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - (k - 1) / 2) * (v[i + 1] - (k - 1) / 2))) AS product,
     list_sum(list_transform(v, lambda y: (y - (k - 1) / 2) * (y - (k - 1) / 2))) AS own
   FROM valued
 ), scored AS (
-  SELECT *, 2 * high * (n - high) / n AS even FROM measured
-), tested AS (
-  SELECT doc_id, s, e, c * 64 + CAST(floor(log2(n)) AS INT) AS stratum,
-    1 - {below("(chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)")} AS p_chi,
-    CASE WHEN even * (even - 1) > 0 THEN abs(runs - even - 1) / sqrt(even * (even - 1) / greatest(n - 1, 1.0)) ELSE 9.0 END AS z_runs,
-    CASE WHEN own > 0 THEN abs(product / own) * sqrt(n) ELSE 9.0 END AS z_serial,
-    {below(f"(chi - (k * (1 + (n - 1) * agree) - n)) / (k * sqrt({SPREAD} * n + 2 * agree))")} AS p_text
+  SELECT *, 2 * high * (n - high) / n AS even, {moments("(1 / k)", "(1 / k ** 2)", "(1 / k ** 3)")} AS evenly, {moments("s2", "s3", "s4")} AS usual FROM measured
+), deviating AS (
+  SELECT doc_id, s, e, c * 64 + CAST(floor(log2(n)) AS INT) AS stratum, -({gamma("evenly")}) AS z1,
+    -CASE WHEN even * (even - 1) > 0 THEN abs(runs - even - 1) / sqrt(even * (even - 1) / greatest(n - 1, 1.0)) ELSE 9.0 END AS z2,
+    -CASE WHEN own > 0 THEN abs(product / own) * sqrt(n) ELSE 9.0 END AS z3, {gamma("usual")} AS z4
   FROM scored
 ), binned AS (
-  SELECT *, least(1.0, 3 * least(p_chi, 2 * (1 - {below("z_runs")}), 2 * (1 - {below("z_serial")}))) AS p_random,
-    CAST(least({BINS}, floor(-4 * log10(greatest(p_text, 1e-300)))) AS INT) AS bin
-  FROM tested
+  SELECT *, least(1.0, 3 * least({below("z1")}, 2 * {below("z2")}, 2 * {below("z3")})) AS p_random,
+    CAST(least({BINS}, floor(-4 * log10(greatest({below("z4")}, 1e-300)))) AS INT) AS bin
+  FROM deviating
 ), counts AS (
   SELECT stratum, bin, count(*) AS n FROM binned GROUP BY stratum, bin
 ), shares AS (
