@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,10 +137,10 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     state = longest_earlier(suffix_ranks(places, rows, scratch), scratch)
     if state is None:
         return places.select("d", "t", "i", F.lit(0).cast("long").alias("m")).limit(0)
-    found = places.select("p", "d", "t", "i").join(state.select("p", "m"), "p")
-    before = Window.partitionBy("d", "t").orderBy("i")
-    within = (F.lag("i").over(before) == F.col("i") - 1) & (F.lag("m").over(before) > F.col("m"))
-    return few(found.withColumn("within", within), rows).where("within is null or not within").select("d", "t", "i", "m")
+    # what stands at the place before, which is the same text's: between two texts there is a place that is no line's
+    before = state.select((F.col("p") + 1).alias("p"), F.col("m").alias("longer"))
+    maximal = state.select("p", "m").join(before, "p", "left").where("longer is null or longer <= m").select("p", "m")
+    return few(places.select("p", "d", "t", "i").join(maximal, "p").select("d", "t", "i", "m"), rows)
 
 
 def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
