@@ -1,6 +1,6 @@
 """Whether, where first and how often a 64-bit hash occurs in the corpus, without a row per hash.
 
-Documents are dealt to blocks by ranges of their id.  A block sorts its hashes, keeps each once and
+Documents are dealt to blocks, by ranges of their id where their order counts, else by a hash.  A block sorts its hashes, keeps each once and
 sends them to buckets as packed deltas (about 6 bytes a hash); a bucket merges what all blocks sent and
 answers each with a byte string, one code per hash in the same order.  So a hash that a third of all
 rows share costs one entry per block, the answer needs no keys, and the text is dealt out only once
@@ -11,7 +11,9 @@ n**2 / (B * 2**65) pairs, below one at 10**13 items in 10**7 buckets.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from inkwell.llm.words import forget
 #: Text bytes of a block and hashes of a bucket: some hundred MB of a worker's memory at most.
 BLOCK_BYTES = 8 << 20
 BUCKET_ITEMS = 2 << 20
+#: Ranges of ids that the driver bounds; a range is divided evenly if there are more blocks.
+MOST_RANGES = 1 << 16
 #: Bytes of text for each hash, about a word.
 ITEM_BYTES = 6
 
@@ -46,18 +50,65 @@ def ladder(value: Column, bounds: list) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), step)
 
 
-def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """doc_id, text (null: empty) and block, ascending with doc_id; the number of blocks; bytes of text."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and t, a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
+
+
+def hash_part(t: Column, parts: Column | int) -> Column:
+    """0 .. parts - 1, ascending with the hash."""
+    return F.least(F.floor((t.cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts) - 1 if isinstance(parts, int) else parts - 1).cast("long")
+
+
+def scattered(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """keyed() and block, by a hash of id and text, for what needs no order; bytes of text.
+
+    So neither one id nor rows without an id meet in one block; equal rows do.
+    """
     _, size = text_size(docs)
     n = max(1, -(-size // block_bytes))
-    bounds = sorted(set(docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    block = F.coalesce(ladder(F.col("doc_id").cast("double"), bounds), F.lit(0)) if bounds else F.lit(0)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), block.cast("int").alias("block")), len(bounds) + 1, size
+    return keyed(docs).withColumn("block", F.pmod(F.xxhash64("t", "doc_id"), F.lit(n)).cast("int")), size
+
+
+def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """keyed() and block, ascending with doc_id (null first), then t; bytes of text.
+
+    Bounds are quantiles of doc_id by bytes of text, MOST_RANGES at most; a range of several blocks is divided evenly by
+    id.  An id that is several quantiles, and null ids by their bytes, get blocks of their own, dealt by t.  Equal rows meet in one block.
+    """
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    row = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("size"))), F.lit(0)).alias("nulls"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
+    n = max(1, -(-row["size"] // block_bytes))
+    if n == 1:
+        return keyed(docs).withColumn("block", F.lit(0)), row["size"]
+    nulls = max(1, -(-row["nulls"] // block_bytes))
+    m = min(n, MOST_RANGES)
+    each = -(-n // m)
+    # a long text counts as often as it has units, so that blocks are even by bytes; rows of the others' mean size at least
+    unit = F.lit(max(block_bytes // 64, 1))
+    weighed = sized.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / unit).cast("int"))).alias("unit"))
+    bounds = weighed.stat.approxQuantile("doc_id", [i / m for i in range(1, m)], 0.1 / m) if row["a"] is not None else []
+    times = Counter(int(b) for b in bounds)
+    marks = sorted(times)
+    if not marks:
+        return keyed(docs).withColumn("block", F.when(F.col("doc_id").isNull(), hash_part(F.col("t"), nulls)).otherwise(nulls).cast("int")), row["size"]
+    own = [each * (times[b] - 1) for b in marks]  # blocks of the bound's id alone
+    first = [nulls, *(nulls + each * (k + 1) + sum_ for k, sum_ in enumerate(accumulate([0, *own[:-1]])))]
+    edges = [row["a"], *marks, row["z"]]
+    at = ladder(F.col("doc_id").cast("double"), marks)
+    of = lambda values: F.element_at(F.lit(values), F.col("at") + 1)
+    lone = of([0, *own])
+    low, high = (of([float(e) for e in x]) for x in (edges[:-1], edges[1:]))
+    share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * each
+    inside = lone + F.greatest(F.least(F.floor(share), F.lit(each - 1)), F.lit(0))
+    block = F.when(F.col("doc_id").isNull(), hash_part(F.col("t"), nulls)).otherwise(of(first) + F.when((lone > 0) & (F.col("doc_id") == of(edges[:-1])), hash_part(F.col("t"), lone)).otherwise(inside))
+    return keyed(docs).withColumn("at", F.coalesce(at, F.lit(0))).withColumn("block", block.cast("int")).drop("at"), row["size"]
 
 
 def in_order(rows: pa.Table) -> pa.Table:
-    """By doc_id, a null first; rows of one doc_id by their text."""
-    return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+    """By doc_id, a null first; rows of one doc_id by the hash of their text."""
+    return rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("t", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
 def ranked(hashes: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +124,7 @@ def bucket_of(second: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def send(block: int, hashes: np.ndarray, buckets: np.ndarray, counts: np.ndarray | None) -> pa.Table:
-    """Rows of SENT; hashes: sorted in each bucket, none twice; counts: how often each occurs in the block."""
+    """Rows of SENT; hashes: sorted in each bucket, none twice; counts: how often each occurs in the block, 255 for more, which is enough to rank by."""
     cuts = np.flatnonzero(np.concatenate([np.ones(min(len(buckets), 1), bool), buckets[1:] != buckets[:-1]]))
     rows: dict[str, list] = {name.split()[0]: [] for name in SENT.split(", ")}
     for a, b in zip(cuts, [*cuts[1:], len(hashes)], strict=True):
@@ -137,7 +188,7 @@ def how_common(rows: pa.Table) -> pa.Table:
 
 
 def answered(docs: DataFrame, size: int, sender: Callable, reducer: Callable, finish: Callable, schema: str) -> DataFrame:
-    """docs: of blocked(). sender(rows, block, buckets) makes SENT; finish(rows, codes, buckets) the result.
+    """docs: of blocked() or scattered(). sender(rows, block, buckets) makes SENT; finish(rows, codes, buckets) the result.
 
     codes: a block's answers by bucket, so in the order in which ranked() has its items.
     """
@@ -145,13 +196,13 @@ def answered(docs: DataFrame, size: int, sender: Callable, reducer: Callable, fi
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         forget()
-        return sender(in_order(rows.select(["doc_id", "text"])), key[0].as_py(), buckets)
+        return sender(in_order(rows.select(["doc_id", "text", "t"])), key[0].as_py(), buckets)
 
     def last(rows: pa.Table, answer: pa.Table) -> pa.Table:
         forget()
         answer = answer.take(pc.sort_indices(answer, sort_keys=[("bucket", "ascending")]))
         codes = np.frombuffer(b"".join(answer.column("codes").to_pylist()), np.uint8)
-        return finish(in_order(rows.select(["doc_id", "text"])), codes, buckets)
+        return finish(in_order(rows.select(["doc_id", "text", "t"])), codes, buckets)
 
     sent = docs.groupBy("block").applyInArrow(pack, SENT)
     answer = sent.groupBy("bucket").applyInArrow(reducer, ANSWER)

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.blocks import answered, blocked, bucket_of, how_common, ranked, send
+from inkwell.llm.blocks import answered, bucket_of, how_common, ranked, scattered, send
 from inkwell.llm.components import components
 from inkwell.llm.neardup import spanned
-from inkwell.llm.shared import few, saved, stored
+from inkwell.llm.shared import few, free, saved, stored, tasks
 from inkwell.llm.words import LOWER, ROLL, forget, mix, slices, span_hashes, text_buffers, window_hashes, word_bounds
 
 SHINGLE, PERCENT = 5, 80
@@ -26,7 +26,7 @@ STARS = 2
 #: DivideSkip: how much a probe of a long list costs against merging it.
 MU = 0.01
 
-SETS = "doc_id long, n long, s1 long, s2 long, shingles binary, prefix binary"
+SETS = "doc_id long, t long, n long, s1 long, s2 long, shingles binary, prefix binary, indexed int"
 
 
 def least_overlap(n: int | np.ndarray, percent: int):
@@ -34,6 +34,11 @@ def least_overlap(n: int | np.ndarray, percent: int):
     return -(-percent * n // 100)
 
 
+def overlap_of_equals(n: int, percent: int) -> int:
+    """How many it shares at least with any that has as many shingles or more."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 def shingle_pairs(rows: pa.Table, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, bucket and row of each distinct shingle of each row."""
     parts, base = [], 0
@@ -70,8 +75,10 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """SETS, one row per row of docs: n distinct shingles; for a document that can link, its set and prefix.
 
     A document links only if least_overlap() of its shingles occur elsewhere; all other documents are done.
-    shingles: the set as sorted 64-bit hashes; s1, s2: a hash of it.  prefix: those of its shingles that occur elsewhere and are among its
-    n - least_overlap + 1 rarest, in one order for all documents: linked documents have one in common at least.
+    t: a hash of the text.  shingles: the set as sorted 64-bit hashes; s1, s2: a hash of it.  prefix: those of its shingles that occur
+    elsewhere and are among its n - least_overlap + 1 rarest, in one order for all documents; the first indexed of them are among its
+    n - overlap_of_equals + 1 rarest.  The first shingle that two linked documents share is in both prefixes, and among the indexed of
+    the one with fewer shingles, as all others that they share follow it.
     """
 
     def sender(rows: pa.Table, block: int, buckets: int) -> pa.Table:
@@ -93,7 +100,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         sort = np.lexsort((h, level, row))
         h, level, row = h[sort], level[sort], row[sort]
         ends = np.searchsorted(row, np.arange(rows.num_rows), "right")
-        out: dict[str, list] = {"s1": [], "s2": [], "shingles": [], "prefix": []}
+        out: dict[str, list] = {"s1": [], "s2": [], "shingles": [], "prefix": [], "indexed": []}
         for i in range(rows.num_rows):
             if not linkable[i]:
                 for column in out.values():
@@ -106,11 +113,13 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             out["s1"].append(int.from_bytes(name[:8], "little", signed=True))
             out["s2"].append(int.from_bytes(name[8:], "little", signed=True))
             out["shingles"].append(whole)
-            out["prefix"].append(first[level[own][: len(first)] > 1].tobytes())
-        kinds = {"s1": pa.int64(), "s2": pa.int64(), "shingles": pa.binary(), "prefix": pa.binary()}
-        return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "n": pa.array(n, pa.int64()), **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
+            elsewhere = level[own][: len(first)] > 1
+            out["prefix"].append(first[elsewhere].tobytes())
+            out["indexed"].append(int(elsewhere[: n[i] - overlap_of_equals(int(n[i]), percent) + 1].sum()))
+        kinds = {"s1": pa.int64(), "s2": pa.int64(), "shingles": pa.binary(), "prefix": pa.binary(), "indexed": pa.int32()}
+        return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "t": rows.column("t").cast(pa.int64()), "n": pa.array(n, pa.int64()), **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
 
-    rows, _, size = blocked(docs)
+    rows, size = scattered(docs)
     return answered(rows, size, sender, how_common, finish, SETS)
 
 
@@ -185,7 +194,8 @@ def tiled(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tile, i, j = group.column("own").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
         return links_of(group, np.flatnonzero(tile == i), np.flatnonzero(tile == j), percent)
 
-    return saved(rows.groupBy("g", "i", "j").applyInArrow(search, "a long, b long"))
+    # so that pairs of tiles, whose sets are small for the time that they take, are not put together in few tasks
+    return saved(rows.repartition(tasks(rows.sparkSession), "g", "i", "j").groupBy("g", "i", "j").applyInArrow(search, "a long, b long"))
 
 
 def links_of(group: pa.Table, ask: np.ndarray, hold: np.ndarray, percent: int) -> pa.Table:
@@ -207,39 +217,40 @@ def links_of(group: pa.Table, ask: np.ndarray, hold: np.ndarray, percent: int) -
     return pa.table({"a": pa.array(v[moved], pa.int64()), "b": pa.array(to[moved], pa.int64())})
 
 
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id, one row per row of docs.
+def classes(docs: DataFrame, shingle: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """SETS and u, a number of each row; and s1, s2, doc_id and t for each set with an id: its class's document of smallest id, then t.
 
-    docs: doc_id long, text string; other columns are ignored.  A document's set: its distinct runs of shingle words,
-    A-Z lower-cased; with fewer words, the whole sequence as one.  Two documents link when
-    100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
-    A null, empty or blank text has an empty set and links with nothing.  Rows of one doc_id are one document with
-    each of their sets; a null doc_id links with nothing and has a null component.
+    by_id: the sets of one doc_id are one class as well.
 
-    Equal sets are one.  Two sets that link share a shingle of their prefixes, so the inverted lists of prefix
-    shingles hold every link.  First each list is searched for one of its documents: the one with most shingles that others
+    Equal sets are one.  Two sets that link share a shingle of their prefixes that one of them has indexed, so the inverted lists of
+    prefix shingles hold every link.  First each list is searched for one of its documents: the one with most shingles that others
     have, which is close to all copies made from it, and once more for any other; this joins nearly all of
-    a group of copies at a cost in proportion to it.  What is left are lists of several components; documents that such
-    lists connect are a family, and each is searched for in all of its family, tile by tile.
+    a group of copies at a cost in proportion to it.  What is left are lists of several components in which some document is indexed;
+    documents that such lists connect are a family, and each is searched for in all of its family, tile by tile.  Documents that share
+    no more than a frame of common text are in no such list, as common shingles come late in the order and so are indexed by none.
     """
-    sets = stored(shingle_sets(docs, shingle, percent), "shingles")
-    names = saved(sets.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("v")))
-    own = sets.where("s1 is not null").select(F.col("doc_id").alias("v"), "s1", "s2", "n", "shingles", "prefix")
-    own = own.join(names, ["v", "s1", "s2"], "left_semi")
+    sets = stored(shingle_sets(docs, shingle, percent).withColumn("u", F.monotonically_increasing_id()), "shingles")
+    filled = sets.where("s1 is not null and doc_id is not null")
+    names = saved(filled.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t", "u")).alias("least")).select("s1", "s2", "least.doc_id", "least.t", F.col("least.u").alias("v")))
+    own = filled.select(F.col("u").alias("v"), "shingles", "prefix", "indexed").join(names.select("v"), "v", "left_semi")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             if prefixes:
-                v = np.repeat(batch.column(0).to_numpy(), [len(p) for p in prefixes])
-                w = np.repeat([len(p) for p in prefixes], [len(p) for p in prefixes])
-                yield pa.record_batch([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int32())], names=["token", "v", "w"])
-
-    postings = own.select("v", "prefix").mapInArrow(lists, "token long, v long, w int")
-    common = postings.groupBy("token").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a <> z").select("token")
-    postings = saved(postings.join(common, "token"))
+                sizes = [len(p) for p in prefixes]
+                v, w, indexed = (np.repeat(x, sizes) for x in (batch.column(0).to_numpy(), sizes, batch.column(2).to_numpy()))
+                place = np.concatenate([np.arange(n) for n in sizes])
+                yield pa.record_batch([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int32()), pa.array(place < indexed)], names=["token", "v", "w", "indexed"])
+
+    postings = own.select("v", "prefix", "indexed").mapInArrow(lists, "token long, v long, w int, indexed boolean")
+    common = postings.groupBy("token").agg(F.min("v").alias("a"), F.max("v").alias("z"), F.max("indexed").alias("i")).where("a <> z and i").select("token")
+    postings = saved(postings.join(common, "token").select("token", "v", "w"))
     n = postings.count()
     links = parts = None
+    if by_id:
+        many = filled.join(names.select("s1", "s2", "v"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
+        links = saved(filled.join(many, "doc_id").join(names.select("s1", "s2", "v"), ["s1", "s2"]).select("a", F.col("v").alias("b")).distinct())
     for turn in range(STARS + 1):
         known = postings
         if parts is None:
@@ -259,13 +270,53 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
             found = tiled(members, own, percent)
         links = found if links is None else links.unionAll(found)
         parts = components(links)
-    classes = names.join(parts, names["v"] == parts["id"], "left").select("s1", "s2", F.coalesce("component", "v").alias("component"))
+    joined = names.join(parts, names["v"] == parts["id"], "left").select("s1", "s2", "doc_id", "t", F.coalesce("component", "v").alias("class"))
+    least = joined.groupBy("class").agg(F.min(F.struct("doc_id", "t")).alias("least"))
+    return sets, saved(joined.select("s1", "s2", "class").join(least, "class").select("s1", "s2", "least.doc_id", "least.t"))
+
+
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id, one row per row of docs.
+
+    docs: doc_id long, text string; other columns are ignored.  A document's set: its distinct runs of shingle words,
+    A-Z lower-cased; with fewer words, the whole sequence as one.  Two documents link when
+    100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
+    A null, empty or blank text has an empty set and links with nothing.  Rows of one doc_id are one document with
+    each of their sets; a null doc_id links with nothing and has a null component.  Texts of any length count whole; one task holds
+    one whole set.  An empty table gives an empty result.  How links are found: see classes().
+    """
+    sets, named = classes(docs, shingle, percent, by_id=True)
     # rows without a set to join, most of all, would meet in one task
     alone = sets.where("s1 is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
-    out = sets.where("s1 is not null and doc_id is not null").select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "n", "component")
+    out = sets.where("s1 is not null and doc_id is not null").select("doc_id", "n", "s1", "s2").join(named.select("s1", "s2", F.col("doc_id").alias("component")), ["s1", "s2"]).select("doc_id", "n", "component")
+    # a document without a set to join may have another row with one
+    if not alone.where("doc_id is not null").join(out.where("doc_id <> component").select("doc_id"), "doc_id", "left_semi").isEmpty():
+        least = out.groupBy("doc_id").agg(F.min("component").alias("least"))
+        alone = alone.join(least, "doc_id", "left").select("doc_id", "n", F.coalesce("least", "component").alias("component"))
     return out.unionAll(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of similar texts: that of smallest doc_id, and of those of one id the one whose text's hash is least.
+
+    Texts are similar as in similar_documents(), and group by what links reach, each row by its own text whatever other rows its
+    doc_id has; so a text goes only if the row that stays reaches it.  Of equal ids with equal texts one row stays, any of them.
+    Rows without an id or a word stay, as they link with nothing; all columns stay as they are, whatever their names.
+    """
+    sets, named = classes(docs, shingle, percent, by_id=False)
+    rows = sets.where("s1 is not null and doc_id is not null")
+    stay = named.select("s1", "s2", F.col("doc_id").alias("d"), F.col("t").alias("h"))
+    gone = rows.join(stay, ["s1", "s2"]).where("doc_id <> d or t <> h").select("doc_id", "t").distinct().withColumn("gone", F.lit(True))
+    again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "t").join(gone, ["doc_id", "t"], "left_anti").withColumn("gone", F.lit(False))
+    d, t, verdict = free(["d", "t", "gone"], docs.columns)
+    marks = saved(gone.unionAll(again)).toDF(d, t, verdict)
+    marked = docs.withColumns({d: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce("text", F.lit("")))}).join(marks, [d, t], "left")
+    once = marked.where(F.col(verdict).isNull()).select(*docs.columns)
+    if marks.where(~F.col(verdict)).isEmpty():
+        return once
+    return once.unionByName(marked.where(~F.col(verdict)).dropDuplicates([d, t]).select(*docs.columns))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents

@@ -67,6 +67,11 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for what takes longer than its bytes say; a number that is asked for is kept, where a default may be lowered to fit the bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the shared folder; a lost executor costs nothing of it."""
     checkpoint_dir(df.sparkSession)

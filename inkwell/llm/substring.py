@@ -44,8 +44,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     intervals of words.  Returns SCHEMA, one row per input row; kept: the other words, joined by one space.
 
     A null, empty or blank text has no words and nothing removed.  A text shorter than the window is kept.
-    A null doc_id counts as smallest; rows of one doc_id count in the order of their texts, each a
-    document of its own.  An empty table gives an empty result.
+    A text of any length is read whole, by one task.  A null doc_id counts as smallest; rows of one doc_id, equal ones too, count in
+    the order of a hash of their texts, each a document of its own.  An empty table gives an empty result.
     """
 
     def sender(rows: pa.Table, block: int, buckets: int) -> pa.Table:
@@ -92,5 +92,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             "kept": pa.array(kept, pa.binary()).cast(pa.string()),
         })
 
-    rows, _, size = blocked(docs)
+    rows, size = blocked(docs)
     return answered(rows, size, sender, seen_before, finish, SCHEMA)
