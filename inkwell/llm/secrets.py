@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,9 @@ NUMBERS = (22, 18, 12, 8, 7, 7, 7, 7, 6, 6)
 #: A string counts as random if no test of the battery rejects it at LEVEL (Bonferroni), and as no ordinary text at false-discovery rate RATE.
 LEVEL, RATE = 0.001, 0.01
 #: P-values are counted in bins of a quarter of a power of ten, up to this many.
-BINS = 80
+BINS = 48
+#: The chances of ordinary text are exact for strings of so many characters at most; and the fewest that a string has without its padding.
+EXACT, LEAST_BODY = 96, 16
 
 
 def let(value: Column, body) -> Column:
@@ -117,19 +122,58 @@ def chance_below(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
-def power_sums(share: float | None, size: int) -> tuple[float, float, float]:
-    """Sums of the second, third and fourth powers of the letters' chances in ordinary text: share as in English, the rest even over the alphabet."""
+def text_chances(share: float | None, size: int) -> list[float]:
+    """The letters' chances in ordinary text: share as in English, the rest even over the alphabet; None: digits of numbers."""
     given, share = (NUMBERS, 1.0) if share is None else (ENGLISH, share)
-    p = [share * x / sum(given) for x in given]
-    rest = max(size - len(p), 1)
-    return tuple(sum(x**j for x in p) + rest * ((1 - share) / rest) ** j for j in (2, 3, 4))
+    rest = size - len(given) if share < 1 else 0
+    return [share * x / sum(given) for x in given] + [(1 - share) / max(rest, 1)] * rest
+
+
+def power_sums(share: float | None, size: int) -> tuple[float, float, float]:
+    """Sums of the second, third and fourth powers of the chances."""
+    return tuple(sum(x**j for x in text_chances(share, size)) for j in (2, 3, 4))
+
+
+def exact_bins(chances: list[float]) -> list[int]:
+    """For each length from 0 to EXACT and each bin from 1 to BINS, one after another: the most pairs of equal letters that strings of
+    letters with these chances have with probability 10**(-bin / 4) at most, or less; -1 if none are that rare.
+
+    Letter by letter: ways[m, c] sums, over all counts of the letters so far with m in all and c pairs, the products of chance**count / count!.
+    """
+    most = int(EXACT * (EXACT - 1) / 2 * sum(x * x for x in chances)) + 1  # from the mean on nothing is rare
+    ways = np.zeros((EXACT + 1, most + 1))
+    ways[0, 0] = 1
+    for x in chances:
+        more, factor = np.zeros_like(ways), 1.0
+        for k in range(EXACT + 1):
+            own = k * (k - 1) // 2
+            if own > most:
+                break
+            more[k:, own:] += ways[: EXACT + 1 - k, : most + 1 - own] * factor
+            factor *= x / (k + 1)
+        ways = more
+    below = np.cumsum(ways * np.cumprod([1.0, *range(1, EXACT + 1)])[:, None], axis=1)
+    return [int(np.searchsorted(row, 10.0 ** (-b / 4), "right")) - 1 for row in below for b in range(1, BINS + 1)]
+
+
+@cache
+def rare_pairs() -> tuple[list[int], list[int]]:
+    """The tables of exact_bins() of all kinds of text, one after another, and each encoding's place there."""
+    kinds: dict[tuple, int] = {}
+    table: list[int] = []
+    for e in ENCODINGS:
+        kind = (e[3], None if e[3] in (None, 1.0) else len(e[2]))
+        if kind not in kinds:
+            kinds[kind] = len(table)
+            table += exact_bins(text_chances(e[3], len(e[2])))
+    return table, [kinds[e[3], None if e[3] in (None, 1.0) else len(e[2])] for e in ENCODINGS]
 
 
 def deviation(pairs: Column, n: Column, s2: Column, s3: Column, s4: Column) -> Column:
     """How many standard deviations the number of pairs of equal letters lies above its mean, as a normal variable.
 
     s2, s3, s4: sums of powers of the letters' chances, which give the number's first three moments for any length; the
-    third enters as in a gamma distribution (Wilson and Hilferty), so that short strings with few such pairs count right.
+    third enters as in a gamma distribution (Wilson and Hilferty), so that the tail above is right for short strings, too.
     """
     two = n * (n - 1) / 2
     three, four = 2 * two * (n - 2), 2 * two * (n - 2) * (n - 3)
@@ -159,14 +203,16 @@ def candidates(text: Column) -> Column:
 
 
 def tested(hit: Column) -> Column:
-    """struct<encoding, n, p_random, p_text> of a candidate.
+    """struct<encoding, n, p_random, bin> of a candidate, null if no encoding has all its characters or it is hardly more than padding.
 
     p_random: the least p-value of chi-squared uniformity, runs about the middle and serial correlation,
-    times three; p_text: the chance that ordinary text of this length is so evenly spread over the alphabet.
-    Chi-squared is taken by the pairs of equal letters, on which it depends linearly.
+    times three; bin: of the chance that ordinary text of this length has so few pairs of equal letters, on which chi-squared depends
+    linearly.  It is exact up to EXACT characters; beyond, it is the normal distribution's, which is larger than the exact one there.
     """
     body = F.rtrim(hit, F.lit("="))
     code = F.lit(None).cast("int")
+    table, places = rare_pairs()
+    rare = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded to one literal
     for i in reversed(range(len(ENCODINGS))):
         code = F.when(body.rlike(f"^{ENCODINGS[i][1]}+$"), F.lit(i)).otherwise(code)
     zero = F.lit(0.0)
@@ -175,7 +221,7 @@ def tested(hit: Column) -> Column:
     def with_code(c: Column) -> Column:
         letters = F.element_at(F.lit([e[2] for e in ENCODINGS]), c + 1)
         halves = F.element_at(F.lit(["0" * (len(e[2]) // 2) + "1" * (len(e[2]) // 2) for e in ENCODINGS]), c + 1)
-        sums = [F.element_at(F.lit([power_sums(e[3], len(e[2]))[j] for e in ENCODINGS]), c + 1) for j in range(3)]
+        sums = [F.element_at(F.lit([power_sums(e[3], len(e[2]))[j] for e in ENCODINGS]), c + 1) for j in range(2)]
         counts = F.transform(F.split(letters, ""), lambda ch: (F.length(body) - F.length(F.replace(body, ch, F.lit("")))).cast("double"))
         return let(
             F.struct(letters.alias("a"), F.length(letters).cast("double").alias("k"), F.length(body).cast("double").alias("n"), c.alias("c"), counts.alias("counts"), F.call_function("translate", body, letters, halves).alias("high"), *(s.alias(f"s{j + 2}") for j, s in enumerate(sums))),
@@ -198,11 +244,16 @@ def tested(hit: Column) -> Column:
         product = let(F.regexp_extract_all(body, F.lit(".{1,%d}" % CHUNK), F.lit(0)), pieces)
         own = F.aggregate(F.transform(x["counts"], lambda y, i: y * (i - middle) * (i - middle)), zero, plus)
         z_serial = F.when(own > 0, F.abs(product / own) * F.sqrt(n)).otherwise(9.0)
-        z_even = deviation(pairs, n, 1 / k, 1 / (k * k), 1 / (k * k * k))
+        z_even = deviation(pairs - 0.5, n, 1 / k, 1 / (k * k), 1 / (k * k * k))
+        two = n * (n - 1) / 2
+        z_text = (pairs + 0.5 - two * x["s2"]) / F.sqrt(two * (x["s2"] - x["s2"] * x["s2"]) + 2 * two * (n - 2) * (x["s3"] - x["s2"] * x["s2"]))
+        own_bins = F.slice(rare, F.element_at(F.lit(places), x["c"] + 1) + n.cast("int") * BINS + 1, F.lit(BINS))
+        exact = let(own_bins, lambda b: how_many(b, lambda most: most >= pairs))
+        text_bin = F.when(n <= EXACT, exact).otherwise(F.least(F.lit(BINS), F.floor(-4 * F.log10(F.greatest(chance_below(z_text), F.lit(1e-300)))).cast("int")))
         p_random = 3 * F.least(chance_below(-z_even), 2 * chance_below(-z_runs), 2 * chance_below(-z_serial))
-        return F.struct(x["c"].alias("encoding"), n.cast("int").alias("n"), F.least(F.lit(1.0), p_random).alias("p_random"), chance_below(deviation(pairs, n, x["s2"], x["s3"], x["s4"])).alias("p_text"))
+        return F.struct(x["c"].alias("encoding"), n.cast("int").alias("n"), F.least(F.lit(1.0), p_random).alias("p_random"), text_bin.alias("bin"))
 
-    return let(code, lambda c: F.when(c.isNotNull(), with_code(c)))
+    return let(code, lambda c: F.when(c.isNotNull() & (F.length(body) >= LEAST_BODY), with_code(c)))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
@@ -254,10 +305,7 @@ def scanned(docs: DataFrame, wide: bool) -> tuple[DataFrame, str, str]:
     def stratum(r: Column) -> Column:
         return r["t"]["encoding"] * 64 + F.floor(F.log2(r["t"]["n"])).cast("int")
 
-    def p_bin(r: Column) -> Column:
-        return F.least(F.lit(BINS), F.floor(-4 * F.log10(F.greatest(r["t"]["p_text"], F.lit(1e-300))))).cast("int")
-
-    counts = open_rows.groupBy(stratum(F.col("r")).alias("stratum"), p_bin(F.col("r")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = open_rows.groupBy(stratum(F.col("r")).alias("stratum"), F.col("r.t.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     bins = counts.groupBy("stratum").agg(F.sum("n").alias("m"), F.collect_list(F.struct("bin", "n")).alias("bins"))  # BINS + 1 entries at most
     share = lambda b: F.aggregate(F.filter("bins", lambda y: y["bin"] >= b), F.lit(0).cast("long"), lambda a, y: a + y["n"])
     fits = F.filter(F.transform("bins", lambda b: b["bin"]), lambda b: F.col("m") * F.pow(F.lit(10.0), -b / 4.0) <= RATE * share(b))
@@ -265,7 +313,7 @@ def scanned(docs: DataFrame, wide: bool) -> tuple[DataFrame, str, str]:
     # one row for each encoding and power of two of length, 64 * len(ENCODINGS) at most: a literal of the last plan
     limits = [F.struct(F.lit(r["stratum"]), F.lit(r["least"])) for r in least.collect()]
     table = F.map_from_entries(F.array(*limits)) if limits else F.expr("cast(map() as map<int,int>)")
-    passed = lambda r: (r["t"]["p_random"] >= LEVEL) & (p_bin(r) >= F.try_element_at(table, stratum(r)))
+    passed = lambda r: (r["t"]["p_random"] >= LEVEL) & (r["t"]["bin"] >= F.try_element_at(table, stratum(r)))
     random = F.transform(F.filter(outside, lambda r: F.coalesce(passed(r), F.lit(False))), lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
     return rows.withColumn(spans_, F.array_sort(F.concat(base, random))), base, spans_
 
@@ -313,9 +361,10 @@ def scan_sql() -> str:
         return f"""SELECT doc_id, {kind} AS kind, hits[i] AS hit, CAST(s + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS s, i < len(hits) AND gaps[i + 1] = '' AS next
         FROM (SELECT doc_id, s, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, s, string_split_regex(t, {quoted(pattern)}) AS gaps, regexp_extract_all(t, {quoted(pattern)}) AS hits FROM {source}))"""
 
+    rare, places = rare_pairs()
     keep = " OR ".join(f"(kind = {k} AND {ok})" for k, _, ok in kinds)
     code = "CASE " + " ".join(f"WHEN regexp_full_match(body, {quoted(e[1] + '+')}) THEN {i}" for i, e in enumerate(ENCODINGS)) + " END"
-    table = ", ".join(f"({i}, {quoted(e[2])}, CAST({len(e[2])} AS DOUBLE), {', '.join(f'CAST({x!r} AS DOUBLE)' for x in power_sums(e[3], len(e[2])))})" for i, e in enumerate(ENCODINGS))
+    table = ", ".join(f"({i}, {quoted(e[2])}, CAST({len(e[2])} AS DOUBLE), {', '.join(f'CAST({x!r} AS DOUBLE)' for x in power_sums(e[3], len(e[2])))}, {places[i]})" for i, e in enumerate(ENCODINGS))
     down = lambda n: f"list_transform(range(0, {n}), lambda i: CAST({n} - i AS DOUBLE))"
 
     def below(z: str) -> str:
@@ -330,7 +379,7 @@ def scan_sql() -> str:
         third = f"(n * (n - 1) / 2 * ({s2} - 3 * {s2} ** 2 + 2 * {s2} ** 3) + 3 * {three} * (1 - 2 * {s2}) * ({s3} - {s2} ** 2) + {three} * ({s3} - 3 * {s2} * {s3} + 2 * {s2} ** 3) + {four} * ({s4} - 3 * {s2} * {s3} + 2 * {s2} ** 3) + 3 * {four} * ({s4} - 2 * {s2} * {s3} + {s2} ** 3))"
         return f"{{'mean': n * (n - 1) / 2 * {s2}, 'sd': sqrt({variance}), 'skew': {third} / {variance} ** 1.5}}"
 
-    gamma = lambda m: f"6 / {m}.skew * (cbrt(greatest(1 + {m}.skew * (pairs - {m}.mean) / {m}.sd / 2, 1e-9)) - 1) + {m}.skew / 6"
+    gamma = lambda m: f"6 / {m}.skew * (cbrt(greatest(1 + {m}.skew * (pairs - 0.5 - {m}.mean) / {m}.sd / 2, 1e-9)) - 1) + {m}.skew / 6"
     names = ", ".join(quoted(k) for k in KINDS)
     return f"""
 WITH docs AS (
@@ -353,8 +402,10 @@ WITH docs AS (
 ), coded AS (
   SELECT *, {code} AS c FROM candidates
 ), valued AS (
-  SELECT doc_id, s, e, body, c, a, s2, s3, s4, k, CAST(length(body) AS DOUBLE) AS n, list_transform(string_split(body, ''), lambda ch: CAST(strpos(a, ch) - 1 AS DOUBLE)) AS v
-  FROM coded JOIN (VALUES {table}) AS enc(code, a, k, s2, s3, s4) ON c = code
+  SELECT doc_id, s, e, body, c, a, s2, s3, s4, place, k, CAST(length(body) AS DOUBLE) AS n, list_transform(string_split(body, ''), lambda ch: CAST(strpos(a, ch) - 1 AS DOUBLE)) AS v
+  FROM coded JOIN (VALUES {table}) AS enc(code, a, k, s2, s3, s4, place) ON c = code WHERE length(body) >= {LEAST_BODY}
+), rare AS (
+  SELECT CAST(string_split('{",".join(map(str, rare))}', ',') AS INT[]) AS most
 ), measured AS (
   SELECT *, list_sum(list_transform(string_split(a, ''), lambda ch: pow(length(body) - length(replace(body, ch, '')), 2) - (length(body) - length(replace(body, ch, ''))))) / 2 AS pairs,
     CAST(len(list_filter(v, lambda y: y > (k - 1) / 2)) AS DOUBLE) AS high,
@@ -367,11 +418,12 @@ WITH docs AS (
 ), deviating AS (
   SELECT doc_id, s, e, c * 64 + CAST(floor(log2(n)) AS INT) AS stratum, -({gamma("evenly")}) AS z1,
     -CASE WHEN even * (even - 1) > 0 THEN abs(runs - even - 1) / sqrt(even * (even - 1) / greatest(n - 1, 1.0)) ELSE 9.0 END AS z2,
-    -CASE WHEN own > 0 THEN abs(product / own) * sqrt(n) ELSE 9.0 END AS z3, {gamma("usual")} AS z4
-  FROM scored
+    -CASE WHEN own > 0 THEN abs(product / own) * sqrt(n) ELSE 9.0 END AS z3, (pairs + 0.5 - usual.mean) / usual.sd AS z4,
+    CASE WHEN n <= {EXACT} THEN len(list_filter(most[place + CAST(n AS INT) * {BINS} + 1:place + CAST(n AS INT) * {BINS} + {BINS}], lambda x: x >= pairs)) END AS exact
+  FROM scored, rare
 ), binned AS (
   SELECT *, least(1.0, 3 * least({below("z1")}, 2 * {below("z2")}, 2 * {below("z3")})) AS p_random,
-    CAST(least({BINS}, floor(-4 * log10(greatest({below("z4")}, 1e-300)))) AS INT) AS bin
+    coalesce(exact, CAST(least({BINS}, floor(-4 * log10(greatest({below("z4")}, 1e-300)))) AS INT)) AS bin
   FROM deviating
 ), counts AS (
   SELECT stratum, bin, count(*) AS n FROM binned GROUP BY stratum, bin
