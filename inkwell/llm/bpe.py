@@ -143,7 +143,8 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and ids (array<int>) of each whole text, every match of the pattern encoded by itself.
 
-    A null or empty text has no ids; other columns are ignored; rows stay one for one.
+    A null or empty text has no ids; other columns are ignored; rows stay one for one, repeated ones and those without an id too.  A text
+    of any length is encoded whole; one task holds its ids.  An empty table gives an empty result.
     """
     path, pattern = ranks or vocabulary_path(), pattern or split_pattern()
 
@@ -163,7 +164,7 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, ids and decoded (binary): the bytes of the ids, one after another.
 
-    Null ids count as none; an id without a token is an error.
+    Null ids count as none; an id without a token is an error; rows stay one for one; an empty table gives an empty result.
     """
     path = ranks or vocabulary_path()
 

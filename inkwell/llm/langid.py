@@ -8,14 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.words import forget, mix, powers, slices, span_hashes, text_buffers
 
-#: Most texts of one language that are learnt from, taken in the order of a hash of doc_id.
-MOST_TEXTS = 600
-#: Words of more bytes are summed over in logarithms, as their probabilities may be below what a double can hold.
+#: Most texts of one language that are learnt from, taken in the order of a hash of doc_id; and most languages, the most frequent.
+MOST_TEXTS, MOST_LANGUAGES = 600, 256
+#: Words of more bytes, or whose probabilities may be below what a double can hold, are summed over in logarithms.
 RUN = 32
 #: Words of one pass over a lattice, and their padded bytes if they are longer than RUN (a longer word comes alone).
 WORDS, CELLS = 16_384, 1 << 20
@@ -149,10 +149,16 @@ def log_forward(rows: np.ndarray, sizes: np.ndarray, vocab: Vocabulary, chances:
     return alpha[np.arange(len(rows)), sizes % span]
 
 
-def passes(sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """All strings by their sizes, in parts for one pass each; none has strings of RUN bytes at most and longer ones."""
+def plain_bytes(chances: np.ndarray) -> int:
+    """Of words of so many bytes at most, no sum can be too small for a double: it is at least the product of their bytes' chances."""
+    least = chances.min()
+    return RUN if least >= 1 else min(RUN, int(290 / -np.log10(least)))
+
+
+def passes(sizes: np.ndarray, plain: int = RUN) -> Iterator[np.ndarray]:
+    """All strings by their sizes, in parts for one pass each; none has strings of plain bytes at most and longer ones."""
     order = np.argsort(sizes, kind="stable")
-    short, at = int((sizes <= RUN).sum()), 0
+    short, at = int((sizes <= plain).sum()), 0
     while at < len(order):
         to = min(at + WORDS, short if at < short else len(order))
         if at >= short:
@@ -163,11 +169,11 @@ def passes(sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 def word_logs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocab: Vocabulary, chances: np.ndarray) -> np.ndarray:
     """Logarithm of the sum over all segmentations of each word of data: words x languages."""
-    logs = np.zeros((len(sizes), chances.shape[1]))
-    for some in passes(sizes):
+    logs, plain = np.zeros((len(sizes), chances.shape[1])), plain_bytes(chances)
+    for some in passes(sizes, plain):
         own, columns = sizes[some], np.arange(int(sizes[some].max()))
         rows = np.where(columns < own[:, None], data[np.minimum(starts[some, None] + columns, len(data) - 1)], 0)
-        if len(columns) > RUN:
+        if len(columns) > plain:
             logs[some] = log_forward(rows, own, vocab, chances)
         else:
             logs[some] = np.log(forward(rows, own, vocab, chances)[np.arange(len(some)), own])
@@ -190,6 +196,33 @@ def expected(width: np.ndarray, n: np.ndarray, edges: list[tuple[int, int, np.nd
     return seen
 
 
+def maximised(words: list[bytes], counts: list[int], vocab: Vocabulary, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """The pieces' chances after rounds of expectation maximisation over words that occur so often."""
+    chunks = []
+    for some in passes(np.array([len(w) for w in words], np.int64)):
+        rows, width = padded([words[w] for w in some])
+        chunks.append((rows, width, np.array([counts[w] for w in some], float), list(lattice(rows, width, vocab))))
+    now = start.copy()
+    for _ in range(rounds):
+        seen, plain = np.zeros(len(vocab.pieces)), plain_bytes(now)
+        for rows, width, n, edges in chunks:
+            if rows.shape[1] > plain:
+                seen += expected(width, n, edges, now)
+                continue
+            alpha, beta = np.zeros((len(rows), rows.shape[1] + 1)), np.zeros((len(rows), rows.shape[1] + 1))
+            alpha[:, 0] = 1
+            beta[np.arange(len(rows)), width] = 1
+            for end, m, where, piece in edges:
+                alpha[where, end] += alpha[where, end - m] * now[piece]
+            for end, m, where, piece in reversed(edges):
+                beta[where, end - m] += beta[where, end] * now[piece]
+            share = n / alpha[np.arange(len(rows)), width]
+            for end, m, where, piece in edges:
+                seen += np.bincount(piece, alpha[where, end - m] * now[piece] * beta[where, end] * share[where], len(seen))
+        now = (seen + PSEUDO) / (seen.sum() + PSEUDO * len(seen))
+    return now
+
+
 def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and distinct word of each word of the rows; where the distinct words start, and their sizes."""
     inside = LETTER[data]
@@ -216,19 +249,19 @@ def lowered(docs: DataFrame, *more: str) -> DataFrame:
 def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None, most_texts: int = MOST_TEXTS) -> Model:
     """Piece probabilities of each language by expectation maximisation over whole texts.
 
-    known: doc_id, lang; rows with a null in either don't count.  most_texts documents of each language at most,
-    in the order of a hash of doc_id.  Without any row the model knows no language.
+    known: doc_id, lang; rows with a null in either don't count, and of several languages of one doc_id the first by name does.
+    most_texts documents of each language at most, in the order of a hash of doc_id, and the MOST_LANGUAGES most frequent languages.  Spark
+    counts their words; the driver gets the distinct ones of this sample.  Without any row the model knows no language.
     """
     path = vocabulary_file or vocabulary_path()
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros(0))
-    chosen = None
-    for lang in languages:
-        some = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id")).limit(most_texts)
-        chosen = some if chosen is None else chosen.unionAll(some)
+    # the first of each language: Spark keeps most_texts rows of each in each task before it shuffles
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.where(F.col("lang").isin(languages)).withColumn("place", place).where(F.col("place") <= most_texts).select("doc_id", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,30 +285,7 @@ def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None,
         if not own.num_rows:
             chances[:, k] = start
             continue
-        words = sorted(zip(own.column("word").to_pylist(), own.column("n").to_pylist(), strict=True), key=lambda x: len(x[0]))
-        chunks = []
-        for some in passes(np.array([len(w) for w, _ in words], np.int64)):
-            rows, width = padded([words[w][0] for w in some])
-            chunks.append((rows, width, np.array([words[w][1] for w in some], float), list(lattice(rows, width, vocab))))
-        now = start.copy()
-        for _ in range(ROUNDS):
-            seen = np.zeros(len(vocab.pieces))
-            for rows, width, n, edges in chunks:
-                if rows.shape[1] > RUN:
-                    seen += expected(width, n, edges, now)
-                    continue
-                alpha, beta = np.zeros((len(rows), rows.shape[1] + 1)), np.zeros((len(rows), rows.shape[1] + 1))
-                alpha[:, 0] = 1
-                beta[np.arange(len(rows)), width] = 1
-                for end, m, where, piece in edges:
-                    alpha[where, end] += alpha[where, end - m] * now[piece]
-                for end, m, where, piece in reversed(edges):
-                    beta[where, end - m] += beta[where, end] * now[piece]
-                share = n / alpha[np.arange(len(rows)), width]
-                for end, m, where, piece in edges:
-                    seen += np.bincount(piece, alpha[where, end - m] * now[piece] * beta[where, end] * share[where], len(seen))
-            now = (seen + PSEUDO) / (seen.sum() + PSEUDO * len(seen))
-        chances[:, k] = now
+        chances[:, k] = maximised(own.column("word").to_pylist(), own.column("n").to_pylist(), vocab, start)
     total = sum(sizes.values())
     return Model(languages, chances, np.array([sizes[x] / total for x in languages]))
 
@@ -284,7 +294,8 @@ def predict(docs: DataFrame, model: Model, vocabulary_file: str | None = None) -
     """doc_id, lang_pred and score (the language's posterior, 0 to 1) of each whole text.
 
     A text's probability is the product over its words (runs of letters, lower-cased) of the forward sum
-    over all segmentations.  A null text, one without a letter, or a model without languages gives und and 0.
+    over all segmentations.  A null text, one without a letter, or a model without languages gives und and 0.  Of equal posteriors the
+    first language by name is taken.  A text of any length is read whole, by one task; rows stay one for one; an empty table gives an empty result.
     """
     path = vocabulary_file or vocabulary_path()
     languages, chances, priors = model.languages, model.chances, model.priors

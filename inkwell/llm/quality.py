@@ -85,7 +85,8 @@ def judge(docs: DataFrame, host: str = "source", most_failures: float = MOST_FAI
     """The columns of document_counts(), then host_rate and kept (not base_failed, and the host not rejected).
 
     docs: doc_id, text and the host's column; other columns are ignored.  A null text is empty and fails; a null
-    host has no rate and rejects nothing; rows stay one for one.  Rates are sums by host, taken before
+    host has no rate and rejects nothing; rows stay one for one, repeated ones too, each counting for its host.  A rate equal to
+    most_failures does not reject.  A text of any length counts whole; an empty table gives an empty result.  Rates are sums by host, taken before
     the shuffle; documents meet them in a join on the host, whose hot keys adaptive execution may split.
     """
     counted = saved(document_counts(docs, host))

@@ -100,6 +100,13 @@ def test_pieces_and_packing(spark, docs, empty):
     assert packing.pack(packing.token_pieces(empty)).count() == 0
 
 
+def test_packing_keeps_columns_of_its_names(spark):
+    given = spark.createDataFrame([(1, 0, 5, "a", "b", "c"), (1, 0, 5, "a", "b", "c"), (None, 0, 64, "d", "e", "f")], "doc_id long, piece int, length long, sequence_id string, OFFSET string, _block string")
+    got = packing.pack(given, max_tokens=64)
+    assert got.columns == [*given.columns, "sequence_id_", "offset_"]
+    assert sorted((tuple(r)[:6], r["offset_"]) for r in got.collect() if r["doc_id"]) == [((1, 0, 5, "a", "b", "c"), 0), ((1, 0, 5, "a", "b", "c"), 5)]
+
+
 def test_sum_of_squares_is_near_the_bound():
     sizes = np.sort(np.random.default_rng(7).integers(1, 2048, 3000))[::-1]
     bins, offsets, used = packing.sum_of_squares(sizes, 2048)
@@ -185,6 +192,101 @@ def test_padding_counts_as_before(spark):
     assert got == {0: [(0, 24)], 1: [], 2: [], 3: [(0, 35)], 4: [(0, 30), (31, 62)], 5: [(6, 30)], 6: [(0, 25), (26, 51), (1, 51)]}
 
 
+def test_normal_tail_has_six_digits(spark):
+    import math
+
+    places = [-36.0, -20.0, -8.0, -6.0, -5.0, -4.0, -2.0, -0.3, 0.0, 1.0, 3.0, 9.0]
+    got = spark.createDataFrame([(z,) for z in places], "z double").select("z", secrets.chance_below(F.col("z")).alias("p")).collect()
+    for r in got:
+        assert r["p"] == pytest.approx(math.erfc(-r["z"] / 2**0.5) / 2, rel=1e-6)
+
+
+def test_moments_of_equal_pairs(spark):
+    """deviation() against the number's moments over all strings of a small alphabet."""
+    from itertools import product
+
+    chances, n = [0.5, 0.3, 0.2], 5
+    pairs, weights = zip(*[(sum(a == b for k, a in enumerate(x) for b in x[:k]), np.prod([chances[c] for c in x])) for x in product(range(3), repeat=n)], strict=True)
+    pairs, weights = np.array(pairs), np.array(weights)
+    mean = weights @ pairs
+    sd = (weights @ (pairs - mean) ** 2) ** 0.5
+    skew = weights @ (pairs - mean) ** 3 / sd**3
+    sums = [F.lit(sum(p**j for p in chances)) for j in (2, 3, 4)]
+    got = spark.createDataFrame([(float(x), float(n)) for x in range(11)], "x double, n double").select("x", secrets.deviation(F.col("x"), F.col("n"), *sums).alias("z")).collect()
+    for r in got:
+        assert r["z"] == pytest.approx(6 / skew * (np.cbrt(max(1 + skew * (r["x"] - mean) / sd / 2, 1e-9)) - 1) + skew / 6)
+
+
+def test_rare_texts_are_counted_exactly(spark):
+    """The table of rare numbers of pairs against all strings of a small alphabet; bins of simulated text and numbers of both kinds of length."""
+    from itertools import product
+
+    chances = [0.5, 0.3, 0.2]
+    table = np.array(secrets.exact_bins(chances)).reshape(secrets.EXACT + 1, secrets.BINS)
+    for n in (2, 5, 9):
+        pairs, weights = zip(*[(sum(x.count(c) * (x.count(c) - 1) // 2 for c in range(3)), np.prod([chances[c] for c in x])) for x in product(range(3), repeat=n)], strict=True)
+        total = np.cumsum(np.bincount(pairs, weights))
+        assert table[n].tolist() == [int((total <= 10 ** (-b / 4) * (1 + 1e-12)).sum()) - 1 for b in range(1, secrets.BINS + 1)]
+    rng, rows = np.random.default_rng(8), []
+    for given, letters, sizes in ((secrets.ENGLISH, secrets.LOWER, (24, 60, 140)), (secrets.NUMBERS, secrets.DIGITS, (24, 60, 140))):
+        rows += ["".join(x) for n in sizes for x in rng.choice(list(letters), (8000, n), p=np.array(given) / sum(given))]
+    got = spark.createDataFrame([(x,) for x in rows], "x string").repartition(8).select(F.length("x").alias("n"), secrets.tested(F.col("x")).alias("t")).select("n", "t.encoding", "t.bin").toPandas()
+    assert set(got.encoding) == {0, 4}
+    for (_, n), own in got.groupby(["encoding", "n"]).bin:
+        for b in (2, 4, 8, 12):  # no more than there should be, and not far fewer where the count is exact
+            due = 10 ** (-b / 4) * len(own)
+            assert (own >= b).sum() <= due + 4 * due**0.5 and (n > secrets.EXACT or b > 8 or (own >= b).sum() >= 0.4 * due)
+
+
+def test_hardly_more_than_padding_is_no_candidate(spark):
+    odd = ["a" + "=" * 23, "=" * 30, "k" * 15 + "=" * 9, "zz" + "=" * 40]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()
+    assert [list(r["spans"]) for r in got] == [[]] * 4
+
+
+def test_few_ordinary_strings_count_as_random(spark):
+    """The false-discovery rate among what is found, with ordinary text run together, paths and names beside random keys."""
+    import base64
+
+    rng = np.random.default_rng(12)
+    pool = [w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() for w in re.findall("[a-z]{3,}", r["text"] or "")]
+    run_together = lambda k: "".join(rng.choice(pool, k))
+    ordinary = [run_together(rng.integers(5, 14)) for _ in range(600)] + ["/".join(rng.choice(pool, rng.integers(6, 12))) for _ in range(600)] + ["".join(w.capitalize() for w in rng.choice(pool, rng.integers(5, 12))) for _ in range(600)]
+    keys = [base64.b64encode(rng.bytes(n)).decode() for n in (24, 48, 60) for _ in range(120)]
+    rows = [(k, f"x {t} y") for k, t in enumerate(ordinary + keys)]
+    hits = {r["doc_id"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if any(s["kind"] == 3 for s in r["spans"])}
+    false, true = sum(k < len(ordinary) for k in hits), sum(k >= len(ordinary) for k in hits)
+    assert true >= 0.9 * len(keys) and false <= 0.02 * max(true, 1)
+
+
+def test_many_hits_in_one_text(spark):
+    """Places and masks of tens of thousands of hits in one text, whose cost goes with their number."""
+    text = "".join(f"é token={'a' * (6 + k % 5)} 😀" + ("0123456789abcdef" * 2 + " " if k % 3 == 0 else "") for k in range(30_000)) + "x" * 3000
+    given = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = by_id(secrets.scan(given))
+    want = python_base(text)
+    assert [tuple(s) for s in got[1]["base"]] == want and [tuple(s) for s in got[1]["spans"]] == want
+    left, at = [], 0
+    for start, _, end in want:
+        if start >= at:
+            left += [text[at:start], "[secret]"]
+        at = max(at, end)
+    assert by_id(secrets.mask_secrets(given))[1]["text"] == "".join(left) + text[at:]
+
+
+def test_masks_of_overlapping_and_long_spans(spark):
+    long = "token=" + "ab1" * 1500
+    rows = [(1, f"a {long} b"), (2, "x" * 1020 + " secret=abcdef z"), (3, "token=" + "0123456789abcdef" * 300 + " " + "AKIA" + "B" * 2000), (4, "é" * 1023 + "token:abcdef"), (5, "token=aaaaaa" * 90)]
+    got = by_id(secrets.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["text"] for i in range(1, 5)] == ["a [secret] b", "x" * 1020 + " [secret] z", "[secret] [secret]", "é" * 1023 + "[secret]"]
+
+
+def test_masks_keep_columns_of_any_name(spark):
+    given = spark.createDataFrame([(1, "token=abcdef", "a", "b", "c")], "doc_id long, text string, base string, RUNS string, spans string")
+    assert [tuple(r) for r in secrets.mask_secrets(given).collect()] == [(1, "[secret]", "a", "b", "c")]
+    assert secrets.mask_secrets(given.limit(0)).columns == given.columns
+
+
 def test_masks(docs):
     got = [(r["doc_id"], r["text"]) for r in secrets.mask_secrets(docs).collect()]
     assert sorted(got, key=str) == sorted([(i, {12: '[secret]" x', 13: "PASSWORD:'abc' [secret] [secret] é [secret]"}.get(i, t)) for i, t in texts()], key=str)
@@ -380,6 +482,62 @@ def test_toxicity(spark, docs, empty):
     assert {r["score"] >= 0.5 for r in toxicity.score(docs, nothing).collect()} == {False}
 
 
+def test_risk_and_its_gradient():
+    """The corrected risk against its definition, summed text by text, and its gradient against differences, on both sides of zero."""
+    rng = np.random.default_rng(6)
+    toxic, other = (rng.random((7, 4)) < 0.8).astype(float), (rng.random((11, 4)) < 0.3).astype(float)
+    loss = lambda x, w, b, sign: 1 / (1 + np.exp(sign * (sum(a * c for a, c in zip(x, w, strict=True)) + b)))
+    signs = set()
+    for prior, w, b in ((0.1, rng.normal(size=4), -1.0), (0.9, rng.normal(size=4), 0.5), (0.9, np.array([2.0, 3, 2, 3]), -5.0), (0.5, rng.normal(size=4), 2.0)):
+
+        def parts(v, prior=prior):
+            up, down = (sum(loss(x, v[:4], v[4], sign) for x in toxic) / len(toxic) for sign in (1, -1))
+            return prior * up, sum(loss(x, v[:4], v[4], -1) for x in other) / len(other) - prior * down
+
+        at = np.append(w, b)
+        positive, clean, up, away = toxicity.risk(w, b, toxic, other, prior)
+        signs.add(bool(clean < 0))
+        assert (positive, clean) == pytest.approx(parts(at))
+        for k in range(5):
+            step = np.eye(5)[k] * 1e-5
+            ends = [parts(at + step), parts(at - step)]
+            assert (up[k], away[k]) == pytest.approx([(ends[0][j] - ends[1][j]) / 2e-5 for j in (0, 1)], abs=1e-8)
+    assert signs == {True, False}
+
+
+def test_fit_keeps_the_clean_part_from_turning_negative():
+    """Texts of which a fifth is toxic, by a word each: the risk falls, and where the clean part would turn negative the steps bring it back."""
+    rng = np.random.default_rng(3)
+    kind = rng.random(2000) < 0.2
+    x = (rng.random((2000, 6)) < np.where(kind[:, None], [0.9, 0.8, 0.7, 0.2, 0.2, 0.2], [0.02, 0.05, 0.1, 0.2, 0.2, 0.2])).astype(float)
+    toxic, start = x[kind][:60], np.array([1.0, 1, 1, -1, 1, -1])
+    w, b = toxicity.fit(toxic, x, start, 0.2)
+    value = lambda w, b: toxicity.risk(w, b, toxic, x, 0.2)[0] + max(0, toxicity.risk(w, b, toxic, x, 0.2)[1])
+    assert value(w, b) < 0.5 * value(3 * start, -2.0) and toxicity.risk(w, b, toxic, x, 0.2)[1] > -0.02
+    said = x @ w + b > 0
+    assert said[kind].mean() > 0.85 and said[~kind].mean() < 0.05
+
+
+def test_telling_buckets(spark):
+    """Against counts and the formula in Python."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(300):
+        p, u = int(k % 3 == 0), int(k % 3 > 0 or k % 2)
+        held = np.flatnonzero(rng.random(40) < np.where(np.arange(40) < 8, 0.1 + 0.6 * p, 0.3))
+        rows.append((held.astype("<u4").tobytes(), p, u))
+    np_, nu = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    got = {r["bucket"]: r["sign"] for r in toxicity.telling(spark.createDataFrame([(bytearray(a), b, c) for a, b, c in rows], "words binary, p int, u int"), np_, nu).collect()}
+    count = lambda k, j: sum(r[j] for r in rows if k in np.frombuffer(r[0], "<u4"))
+    want = {}
+    for k in range(40):
+        p, u = count(k, 1), count(k, 2)
+        both, apart = (p + u) / (np_ + nu), p / np_ - u / nu
+        if p + u >= 5 and abs(apart) / (both * (1 - both) * (1 / np_ + 1 / nu)) ** 0.5 > 4:
+            want[k] = np.sign(apart)
+    assert got == want and len(want) >= 8
+
+
 # op8
 
 
@@ -439,10 +597,15 @@ def test_divide_skip():
             assert sorted(index.search(q, percent).tolist()) == want
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(10, 40)] + [(100, 7), (7, 100), (5, 5), (None, 3), (200, 201), (201, 202), (200, 202)]
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_components(spark, monkeypatch, rows):
+    from inkwell.llm import components as module
+
+    monkeypatch.setattr(module, "ROWS_A_TASK", rows)
+    monkeypatch.setattr(module, "HUBS", 8)
+    links = [(i, i + 1) for i in range(10, 40)] + [(100, 7), (7, 100), (5, 5), (None, 3), (200, 201), (201, 202), (200, 202)] + [(300, k) for k in range(301, 340)] + [(299, 339)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 10 for i in range(10, 41)}, 100: 7, 7: 7, 200: 200, 201: 200, 202: 200}
+    assert got == {**{i: 10 for i in range(10, 41)}, 100: 7, 7: 7, 200: 200, 201: 200, 202: 200, **{k: 299 for k in range(299, 340)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -476,6 +639,29 @@ def test_embedding_near_dedup(spark, monkeypatch):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_with_repeated_ids_and_other_columns(spark):
+    rows = [(1, [1.0, 0.0], 0, "a"), (1, [1.0, 0.0], 0, "b"), (2, [1.0, 0.01], 0, "c"), (None, [1.0, 0.0], 0, "d"), (3, [0.0, 1.0], 0, "e"), (1, [0.0, 1.0], 0, "f"), (4, [1.0, 0.0], None, "g")]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, unit string")
+    got = Counter(tuple(r) for r in neardup.near_duplicates(given.withColumnsRenamed({"unit": "rep"})).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, True), (3, 1, 1, False), (1, 1, 1, True), (4, 0, 4, True)])
+
+
+def test_embeddings_along_several_axes(spark, monkeypatch):
+    """Vectors that several axes spread over many cells."""
+    monkeypatch.setattr(neardup, "TILE", 8)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(250, 4))
+    x = np.vstack([x, x[:60] + rng.normal(size=(60, 4)) * 0.05])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame([(i, [float(y) for y in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"), 0.99).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.99
+    np.fill_diagonal(link, False)
+    root = np.arange(len(x))
+    while (new := np.minimum(root, np.where(link, root, len(x)).min(axis=1))).tolist() != root.tolist():
+        root = new
+    assert got == {i: (int(link[i].sum()), int(root[i])) for i in range(len(x))}
+
+
 # op10
 
 
@@ -537,9 +723,99 @@ def test_long_words_are_summed_whole():
         assert np.isclose(seen[i], (at[0] - at[1]) / 2e-5, rtol=1e-4, atol=1e-8)
 
 
+def brute_forward(s, chance, longest):
+    """Logarithm of the sum over all segmentations, by exact fractions."""
+    from fractions import Fraction
+
+    out = [Fraction(1)]
+    for end in range(1, len(s) + 1):
+        out.append(sum(out[end - n] * Fraction(chance[s[end - n : end]]) for n in range(1, min(end, longest) + 1) if s[end - n : end] in chance))
+    return float(np.log(out[-1].numerator / 2**out[-1].numerator.bit_length()) + (out[-1].numerator.bit_length() - out[-1].denominator.bit_length()) * np.log(2) - np.log(out[-1].denominator / 2**out[-1].denominator.bit_length()))
+
+
+def test_expectation_maximisation_against_all_segmentations(monkeypatch):
+    vocab = langid.Vocabulary(sorted({b"ab", b"ba", b"aba", "é".encode(), *(bytes([x]) for x in range(256))}))
+    words, counts = [b"abab", b"ba", "éab".encode(), b"a" * 40], [3, 2, 1, 2]
+    now = start = np.full(len(vocab.pieces), 1 / len(vocab.pieces))
+
+    def segmentations(s):
+        return [[]] if not s else [[s[:n], *rest] for n in range(1, len(s) + 1) if s[:n] in vocab.pieces for rest in segmentations(s[n:])]
+
+    for _ in range(2):
+        chance, seen = dict(zip(vocab.pieces, now, strict=True)), Counter()
+        for word, n in zip(words, counts, strict=True):
+            ways = [(x, np.prod([chance[p] for p in x])) for x in segmentations(word)]
+            for x, p in ways:
+                for piece in x:
+                    seen[piece] += n * p / sum(q for _, q in ways)
+        now = np.array([seen[p] + langid.PSEUDO for p in vocab.pieces])
+        now /= now.sum()
+    assert np.allclose(langid.maximised(words, counts, vocab, start, 2), now)
+    monkeypatch.setattr(langid, "RUN", 1)  # all in logarithms
+    assert np.allclose(langid.maximised(words, counts, vocab, start, 2), now)
+
+
+def test_predictions_against_all_segmentations(spark):
+    """Posteriors of texts with words of hundreds of bytes, in scripts with and without spaces, under chances as small as 1e-11."""
+    path = langid.vocabulary_path()
+    vocab = langid.vocabulary(path)
+    rng = np.random.default_rng(21)
+    chances = np.exp(rng.uniform(np.log(1e-11), np.log(1e-4), (len(vocab.pieces), 3)))
+    model = langid.Model(["aa", "bb", "cc"], chances, np.array([0.5, 0.3, 0.2]))
+    given = [(1, "Ein Haus am See"), (2, "x" * 200 + " und " + "internationalization" * 12), (3, "今天天气很好我们一起去公园散步吧" * 5), (4, "12 34"), (5, None), (6, "Été à la plage, naïve " * 3), (7, "")]
+    got = by_id(langid.predict(spark.createDataFrame(given, "doc_id long, text string"), model))
+    for i, text in given:
+        found = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").lower().encode())
+        if not found:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        logs = np.log(model.priors)
+        for k in range(3):
+            chance = dict(zip(vocab.pieces, chances[:, k].tolist(), strict=True))
+            logs[k] += sum(brute_forward(w, chance, vocab.longest) for w in found)
+        assert got[i]["lang_pred"] == model.languages[logs.argmax()]
+        assert got[i]["score"] == pytest.approx(1 / np.exp(logs - logs.max()).sum(), rel=1e-6)
+
+
+def test_small_chances_do_not_underflow():
+    """Chances after training on 10**9 pieces: sums stay finite where products leave the range of doubles."""
+    vocab = langid.Vocabulary([bytes([x]) for x in range(256)])
+    chances = np.full((256, 1), 0.02 / 1e9)
+    data, offsets = langid.text_buffers(langid.pa.array(["z" * n for n in (1, 20, 31, 32, 33, 400)]))
+    _, word, starts, sizes = langid.distinct_words(data, offsets)
+    assert np.allclose(langid.word_logs(data, starts, sizes, vocab, chances)[:, 0], sizes * np.log(2e-11))
+    assert np.isfinite(langid.maximised([b"z" * 30, b"q" * 50], [1, 1], vocab, np.full(256, 1e-12))).all()
+
+
 # pipeline
 
 
+def test_near_copies_keep_each_text_once(spark):
+    """Rows that share a doc_id fall or stay by their own texts; nothing goes of which no near copy stays."""
+    a, b = PASSAGE, " ".join(f"other{i}" for i in range(60))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b + " x", "x"), (4, "short", "x"), (4, "short", "x"), (5, None, "x"), (5, None, "y"), (None, a, "x"), (6, "alone here", "x")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    got = corpus_pipeline.near_copies(spark, given, SF)
+    assert got.columns == given.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter([rows[0], rows[2], rows[4], rows[6], rows[7], rows[8], rows[9]])
+    assert corpus_pipeline.near_copies(spark, given.limit(0), SF).count() == 0
+
+
+def test_pipeline_stages_on_clashing_names_and_no_rows(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "base", "runs", "spans", "n_lines", "n_removed", "sequence_id", "offset", "_block", "d", "t", "gone", "block", "at"]
+    rows = [(k, f"a line of text\nown line {k} token=abcdef{k}", "en", "s", 1, *[f"v{j}" for j in range(13)]) for k in range(4)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names[5:]))
+    for at in (given, given.limit(0)):
+        n = at.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, SF)
+            assert at.columns == names
+        got = at.collect()
+        assert len(got) == n and {tuple(r)[5:] for r in got} == ({rows[0][5:]} if n else set())
+        assert all(r["n_chars"] == len(r["text"]) and "token" not in r["text"] for r in got)
+        assert corpus_pipeline.STAGES[-1][1](spark, at, SF).count() == n
+
+
 def test_pipeline(spark):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near copies", "secret scan", "packing"]
