@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from inkwell.llm.shared import free
 from inkwell.llm.words import kept
 
 MAX_TOKENS = 2048
@@ -115,7 +117,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, max_tokens: int
 
     docs: doc_id, text; other columns are ignored.  Returns PIECES: piece counts from 0, start is the
     number of the document's ids before it, ids are unsigned little-endian 32-bit integers.
-    A null or empty text is the end id alone.  Rows that share a doc_id, or have none, each give their pieces.
+    A null or empty text is the end id alone.  Rows that share a doc_id, or have none, each give their pieces.  A text of any length
+    is encoded whole; one task holds its ids.  An empty table gives an empty result.
     """
     path = tokenizer or tokenizer_path()
     tail = np.array([end], "<u4").tobytes()
@@ -183,25 +186,23 @@ def pack(pieces: DataFrame, items: int | None = None, max_tokens: int = MAX_TOKE
     pieces: doc_id, piece, length, and any other columns, which stay.  items: about how many pieces are
     shorter than max_tokens (counted if not given); blocks of about block_pieces, dealt by a hash of
     doc_id and piece, are packed apart, the longest piece first, by sum_of_squares().  Returns
-    the columns of pieces, then sequence_id and offset, both long.
-    An empty table gives an empty result; a repeated row is one more piece; null ids are allowed.
+    the columns of pieces, then sequence_id and offset, both long, each with underscores behind it where pieces has the name already.
+    An empty table gives an empty result; a repeated row is one more piece; null ids are allowed.  Equal lengths come in the order
+    of doc_id and piece.
     """
     if items is None:
         items = pieces.where(F.col("length") < max_tokens).count()
     blocks = max(1, -(-items // block_pieces))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    clash = {"sequence_id", "offset", "_block"} & set(pieces.columns)
-    if clash:
-        raise ValueError(f"pieces already has {sorted(clash)}")
+    block, to, at = free(["_block", "sequence_id", "offset"], pieces.columns)
+    schema = T.StructType([*pieces.schema.fields, T.StructField(to, T.LongType()), T.StructField(at, T.LongType())])
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns(["_block"])
+        rows = rows.drop_columns([block])
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
         bins, offsets, _ = sum_of_squares(rows.column("length").to_numpy(), max_tokens)
-        return rows.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 40), pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        return rows.append_column(to, pa.array(bins + (key[0].as_py() << 40), pa.int64())).append_column(at, pa.array(offsets, pa.int64()))
 
-    block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("long")
-    return pieces.withColumn("_block", block).groupBy("_block").applyInArrow(run, schema)
+    return pieces.withColumn(block, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("long")).groupBy(block).applyInArrow(run, schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
