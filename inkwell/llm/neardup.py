@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.components import components
-from inkwell.llm.shared import saved
+from inkwell.llm.shared import saved, tasks
 
 THRESHOLD = 0.98
-#: Vectors of a tile, axes that are accumulated between two bounds, and leading axes by which vectors are dealt to cells.
-TILE, STEP, AXES = 2048, 8, 2
+#: Vectors of a tile, axes that are accumulated between two bounds, and most leading axes by which vectors are dealt to cells.
+TILE, STEP, AXES = 2048, 8, 4
 #: Room for rounding in bounds; the final comparison is exact.
 ROUNDING = 1e-9
 #: Groups of partial sums that the driver gets.
@@ -44,8 +45,8 @@ def unit_vectors(vectors: DataFrame, label: str) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), F.col(label).cast("string").alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(run, UNITS)
 
 
-def axes(units: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension the principal axes, as columns, the widest first: from sums over all vectors, PARTS rows of them."""
+def axes(units: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the principal axes, as columns, the widest first, and the vectors' spread along each: from sums over all vectors, PARTS rows of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -63,12 +64,13 @@ def axes(units: DataFrame) -> dict[int, np.ndarray]:
         return pa.table({"dim": rows.column("dim")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     partial = units.select("dim", "unit").mapInArrow(run, "dim int, part int, sums binary")
-    out: dict[int, np.ndarray] = {}
+    out: dict = {}
     for row in partial.groupBy("dim", "part").applyInArrow(add, "dim int, sums binary").collect():
         out[row["dim"]] = out.get(row["dim"], 0) + np.frombuffer(row["sums"]).reshape(row["dim"] + 1, -1)
     for d, s in out.items():
         mean = s[0, 1:] / s[0, 0]
-        out[d] = np.linalg.eigh(s[1:, 1:] / s[0, 0] - np.outer(mean, mean))[1][:, ::-1].copy()
+        variance, turned = np.linalg.eigh(s[1:, 1:] / s[0, 0] - np.outer(mean, mean))
+        out[d] = turned[:, ::-1].copy(), np.sqrt(np.maximum(variance[::-1], 0))
     return out
 
 
@@ -125,43 +127,51 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, label: str
     n_links: vectors linked directly; component_id: the smallest vec_id that links reach; kept: vec_id = component_id.
     Vectors that are null, empty, zero, of another dimension, or hold a null or what is not finite link with nothing.
 
+    A null label or vec_id links nothing.  A row that repeats a vec_id is another vector of this id: its links count, and rows of one
+    vec_id with different vectors may have different results.  A cosine of just the threshold links.  An empty table gives an empty result.
+
     Equal unit vectors are taken together and counted.  On unit vectors a cosine of c means a distance of
     sqrt(2 - 2c) at most, along each principal axis as well, so a vector meets only its cell of that width along
-    AXES leading axes and the cells beside it.  Crowded cells are cut into tiles, and each pair of tiles is a task
+    the leading axes and the cells beside it.  As many axes count as spread the vectors over more than a cell, one at least and
+    AXES at most: an axis along which all lie close tells none apart and only adds copies.  Crowded cells are cut into tiles, and each pair of tiles is a task
     of its own, which returns a count per vector and links that span what is connected there, never all pairs.
     """
     units = unit_vectors(vectors, label).withColumn("key", F.md5("unit"))
-    reps = saved(units.where("unit is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")))
-    turn = axes(reps)
+    reps = saved(units.where("unit is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")).withColumn("rep", F.monotonically_increasing_id()))
+    found = axes(reps)
+    turn = {d: turned for d, (turned, _) in found.items()}
     width = np.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
+    used = {d: max(1, int((spread[:AXES] > width).sum())) for d, (_, spread) in found.items()}
+    cells = [f"c{k}" for k in range(max(used.values(), default=1))]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            cells = np.zeros((batch.num_rows, AXES), np.int64)
+            at = np.zeros((batch.num_rows, len(cells)), np.int64)
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
                 x = np.frombuffer(b"".join(batch.column("unit").take(pa.array(own)).to_pylist())).reshape(-1, d)
-                y = np.floor(x @ turn[d][:, :AXES] / width).astype(np.int64)
-                cells[own[:, None], np.arange(y.shape[1])] = y
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cells[:, k], pa.int64()) for k in range(AXES))], names=[*batch.schema.names, "x", "y"])
+                y = np.floor(x @ turn[d][:, : used[d]] / width).astype(np.int64)
+                at[own[:, None], np.arange(y.shape[1])] = y
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(at[:, k], pa.int64()) for k in range(len(cells)))], names=[*batch.schema.names, *cells])
 
-    placed = reps.select("label", "dim", "rep", "n", "unit").mapInArrow(place, "label string, dim int, rep long, n long, unit binary, x long, y long")
+    placed = reps.select("label", "dim", "rep", "n", "unit").mapInArrow(place, "label string, dim int, rep long, n long, unit binary, " + ", ".join(f"{c} long" for c in cells))
     placed = saved(placed)
-    cell = ["label", "dim", "x", "y"]
+    cell = ["label", "dim", *cells]
     tiles = placed.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    # a cell's own vectors, and as guests those of the four cells before it: each pair of neighbouring cells meets once
-    near = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))]))
-    dealt = placed.select("*", near.alias("d")).select("label", "dim", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), ((F.col("d.dx") != 0) | (F.col("d.dy") != 0)).alias("guest"), "rep", "n", "unit")
+    # a cell's own vectors, and as guests those of the cells before it: each pair of neighbouring cells meets once
+    after = [steps for steps in product((-1, 0, 1), repeat=len(cells)) if steps >= (0,) * len(cells)]
+    near = F.explode(F.array(*[F.struct(*(F.lit(x).alias(c) for c, x in zip(cells, steps, strict=True)), F.lit(any(steps)).alias("guest")) for steps in after]))
+    dealt = placed.select("*", near.alias("by")).select("label", "dim", *((F.col(c) + F.col(f"by.{c}")).alias(c) for c in cells), "by.guest", "rep", "n", "unit")
     dealt = dealt.join(tiles, cell).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.when(F.col("guest"), F.struct(t.alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.least(t, F.col("own")).alias("i"), F.greatest(t, F.col("own")).alias("j"))))
     # guests of one home tile come in slices of their own, and with it each time
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("label", "dim", "x", "y", "pair.i", "pair.j", "guest", "own", "rep", "n", "unit")
+    dealt = dealt.withColumn("pair", F.explode(pair)).select(*cell, "pair.i", "pair.j", "guest", "own", "rep", "n", "unit")
     guests = dealt.where("guest")
-    slices_ = guests.groupBy("label", "dim", "x", "y", "i").agg(F.ceil(F.count(F.lit(1)) / (4 * TILE)).cast("int").alias("slices"))
-    guests = guests.join(slices_, ["label", "dim", "x", "y", "i"]).withColumn("j", -1 - F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")).drop("slices")
+    slices_ = guests.groupBy(*cell, "i").agg(F.ceil(F.count(F.lit(1)) / (4 * TILE)).cast("int").alias("slices"))
+    guests = guests.join(slices_, [*cell, "i"]).withColumn("j", -1 - F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")).drop("slices")
     home = dealt.where("not guest")
-    host = home.where("i = own and j = own").join(slices_, ["label", "dim", "x", "y", "i"]).withColumn("j", F.explode(F.sequence(F.lit(-1), -F.col("slices"), F.lit(-1)))).drop("slices")
+    host = home.where("i = own and j = own").join(slices_, [*cell, "i"]).withColumn("j", F.explode(F.sequence(F.lit(-1), -F.col("slices"), F.lit(-1)))).drop("slices")
     order = home.columns
     blocks = home.unionByName(guests.select(order)).unionByName(host.select(order))
 
@@ -189,11 +199,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, label: str
         hit = np.flatnonzero(links)
         return pa.table({"rep": rep[hit], "links": links[hit].astype(np.int64), "to": to[hit]})
 
-    met = saved(blocks.groupBy("label", "dim", "x", "y", "i", "j").applyInArrow(compare, "rep long, links long, to long"))
+    met = saved(blocks.repartition(tasks(blocks.sparkSession), *cell, "i", "j").groupBy(*cell, "i", "j").applyInArrow(compare, "rep long, links long, to long"))
     parts = components(met, "rep", "to").select(F.col("id").alias("rep"), "component")
     linked = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = reps.select("label", "dim", "key", "rep", "n").join(linked, "rep", "left").join(parts, "rep", "left")
-    classes = classes.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    least = saved(reps.select("rep", "vec_id").join(parts, "rep").groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    joined = reps.select("rep", F.col("vec_id").alias("own"), "label", "dim", "key", "n").join(linked, "rep", "left").join(parts.join(least, "component").drop("component"), "rep", "left")
+    classes = joined.select("label", "dim", "key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "own").alias("component_id"))
     # rows that cannot link would meet in one task
     alone = units.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = units.where("key is not null").select("vec_id", "label", "dim", "key").join(classes, ["label", "dim", "key"]).select("vec_id", "n_links", "component_id")
