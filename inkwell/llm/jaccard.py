@@ -271,7 +271,7 @@ def classes(docs: DataFrame, shingle: int, percent: int, by_id: bool) -> tuple[D
         links = found if links is None else links.unionAll(found)
         parts = components(links)
     joined = names.join(parts, names["v"] == parts["id"], "left").select("s1", "s2", "doc_id", "t", F.coalesce("component", "v").alias("class"))
-    least = joined.groupBy("class").agg(F.min(F.struct("doc_id", "t")).alias("least"))
+    least = saved(joined.groupBy("class").agg(F.min(F.struct("doc_id", "t")).alias("least")))  # so that a hot class can be split in the join
     return sets, saved(joined.select("s1", "s2", "class").join(least, "class").select("s1", "s2", "least.doc_id", "least.t"))
 
 

@@ -29,11 +29,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders that operators have made in the shared folder and not deleted, as the DataFrames that they return read them.
+MADE: list[str] = []
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path in the shared folder."""
+    MADE.append(f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Folders that nothing reads any more."""
+    for name in list(folders):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.remove(name)
+
+
 class Scratch:
     """Tables that the steps of one operator write in the shared folder and read again; drop() deletes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.path, self.tables = spark, f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}", 0
+        self.spark, self.path, self.tables = spark, folder(spark, what), 0
 
     def store(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """df written and read again, in as many files as rows need if they are known; a lost executor costs nothing of it."""
@@ -43,8 +61,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, [self.path])
 
 
 def free(names: Iterable[str], taken: Iterable[str]) -> list[str]:
@@ -80,7 +97,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet under the shared folder and read again; for wide rows, which it compresses."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
