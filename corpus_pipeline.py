@@ -2,13 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of
 documents, but for the last, which returns the packed pieces.  n_chars follows the text where a stage changes it.
-Null and empty texts pass through the first four stages as they are; no stage fails on an empty table.
+Null and empty texts pass through the first four stages as they are; no stage fails on an empty table, on repeated rows or ids,
+or on columns of any names besides.  Rows that share a doc_id are judged each by its own text.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +33,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of repeated lines; a document of which no line is left goes, as all of it stands elsewhere."""
     out = lines.remove_repeated_lines(docs)
-    return with_text(docs, out.where("n_removed = 0 or n_removed < n_lines"))
+    n_lines, n_removed = (out[c] for c in out.columns[len(docs.columns) :][:2])
+    return with_text(docs, out.where((n_removed == 0) | (n_removed < n_lines)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, at five words and 0.8; rows without an id stay."""
-    groups = jaccard.similar_documents(docs)
-    drop = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """The text with the smallest id of each group of near copies, at five words and 0.8; rows without an id stay."""
+    return jaccard.without_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet in the shared folder and read again."""
-    docs = shared.table(spark, sf_dir, "documents")
-    folder = f"{shared.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what each returns is written as Parquet in the shared folder and read again; what its operator kept there goes."""
+    docs, results = shared.table(spark, sf_dir, "documents"), shared.folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
+        before = len(shared.MADE)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}")
+            docs.write.parquet(f"{results}/{k}")
+            shared.delete(spark, shared.MADE[before:])
+            docs = spark.read.schema(docs.schema).parquet(f"{results}/{k}")
     return docs
