@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import bold_marked, natural_key, sibling_name
 
+#: Formats an annotation of its number and text.
+Entry = Callable[[Column, Column], Column]
 
-def export_plain(annotations: DataFrame, by: Sequence[str] = ("path",), order: Sequence[str] = ("page", "idx"), text: str = "contents") -> DataFrame:
-    """by and text: the contents of each file's annotations, a line each, in their order; null contents are an empty line."""
-    return joined(annotations, by, order, F.coalesce(text, F.lit("")))
 
+def export_plain(annotations: DataFrame, by: Sequence[str] = ("path",), order: Sequence[str] = ("page", "idx"), text: str = "contents", entry: Entry | None = None, header: Column | None = None) -> DataFrame:
+    """by and text: the contents of each file's annotations, a line each, in their order; null contents are an empty line.
 
-def export_bold(annotations: DataFrame, by: Sequence[str] = ("path",), order: Sequence[str] = ("page", "idx")) -> DataFrame:
+    entry(number, text) formats each, numbered from 1, and header is what stands before the first, as for styles.numbered_text().
+    """
+    return joined(annotations, by, order, F.coalesce(text, F.lit("")), entry, header)
+
+
+def export_bold(annotations: DataFrame, by: Sequence[str] = ("path",), order: Sequence[str] = ("page", "idx"), entry: Entry | None = None, header: Column | None = None) -> DataFrame:
     """As export_plain(), bold parts in brackets; an annotation without runs gives its contents."""
-    return joined(annotations, by, order, F.coalesce(bold_marked(F.col("runs")), "contents", F.lit("")))
+    return joined(annotations, by, order, F.coalesce(bold_marked(F.col("runs")), "contents", F.lit("")), entry, header)
 
 
 def export_info(annotations: DataFrame, by: Sequence[str] = ("path",), order: Sequence[str] = ("page", "idx"), author: str = "author", subject: str | None = "subject", text: str = "contents") -> DataFrame:
@@ -27,9 +33,11 @@ def export_info(annotations: DataFrame, by: Sequence[str] = ("path",), order: Se
     return joined(ranked, by, ["_n"], F.concat_ws("\t", *fields))
 
 
-def joined(rows: DataFrame, by: Sequence[str], order: Sequence[str], text: Column) -> DataFrame:
+def joined(rows: DataFrame, by: Sequence[str], order: Sequence[str], text: Column, entry: Entry | None = None, header: Column | None = None) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(*order, text.alias("_t"))))
-    return rows.groupBy(*by).agg(F.array_join(F.transform(parts, lambda r: r["_t"]), "\n").alias("text"))
+    lines = F.transform(parts, lambda r, k: entry(k + 1, r["_t"])) if entry else F.transform(parts, lambda r: r["_t"])
+    out = rows.groupBy(*by).agg(F.array_join(lines, "\n").alias("text"))
+    return out if header is None else out.withColumn("text", F.concat(header, F.lit("\n"), F.col("text")))
 
 
 def with_output_name(exports: DataFrame) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import bold_marked_markup, natural_key, sibling_name
 from inkwell.operators import exports, styles
+from inkwell.sources import pdf, pdf_file
 
-RUN = r"<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)"
-BODY = ("p", "b", "h1")
+#: A tag of any kind, or the text's beginning, and the text up to the next tag; of the tag its name, led by a slash if it closes.
+RUN, TAG = r"(^|<[^>]*>)([^<]+)", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)"
+BODY = ("p", "b", "h1", "/b", "/a")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +22,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages as glyphs: a tag is the font, the text up to the next tag a run, the tag's length the size."""
+    """pages as glyphs: a tag is the font, the text up to the next tag a run, the tag's length the size; all text is in a run."""
     runs = F.posexplode(F.regexp_extract_all("html", F.lit(RUN), F.lit(0))).alias("ord", "run")
-    tag, text = F.regexp_extract("run", RUN, 1), F.regexp_extract("run", RUN, 2)
+    tag, text = F.regexp_extract(F.regexp_extract("run", RUN, 1), TAG, 1), F.regexp_extract("run", RUN, 2)
     return table(spark, sf_dir, "pages").select("page_id", runs).select("page_id", "ord", tag.alias("font"), F.length(tag).cast("double").alias("size"), text.alias("text"))
 
 
+PASSWORD = "open"
+
+
+def files(spark: SparkSession, sf_dir: str, locked: bool = False) -> DataFrame:
+    """path and content: conversations as PDF files, each turn a page with its text, a line for each of its lines, and a note of role, turn and text."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pages = [[(line, "Body" if k else "Head", 10.0 if k else 12.0) for k, line in enumerate(t["text"].split("\n")) if line] for t in own]
+                objects = pdf_file.text_file(pages, [[(t["role"] or "", f"turn {t['turn']}", t["text"])] for t in own])
+                content = pdf_file.encrypted(objects, 1, PASSWORD, "owner", name.encode()) if locked else pdf_file.file_of(objects, 1)
+                yield pa.record_batch([pa.array([name]), pa.array([content], pa.binary())], names=["path", "content"])
+
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))  # of one conversation
+    return grouped.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".pdf")).alias("path"), "turns").mapInArrow(run, "path string, content binary")
+
+
+def conv_of(path: str = "path"):
+    return F.regexp_extract(path, r"c(\d+)", 1).cast("long").alias("conv_id")
+
+
+def locked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a password, read by it: the characters of each page, and how many are of the first line's size."""
+    glyphs_ = pdf.glyphs(files(spark, sf_dir, locked=True), password=PASSWORD)
+    large = glyphs_.groupBy("path", "page").agg(F.count(F.when(F.col("size") == 12, 1)).alias("n_head"))
+    return styles.plain_text(glyphs_).join(large, ["path", "page"]).select(conv_of(), "page", "text", "n_head")
+
+
+def annotation_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files' notes with author and subject."""
+    return exports.export_info(pdf.annotations(files(spark, sf_dir))).select(conv_of(), "text")
+
+
+def annotation_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that say font and size, put into the files and read from them again."""
+    given = files(spark, sf_dir)
+    labels = styles.style_labels(pdf.glyphs(given)).select("path", "page", "x", "y", F.lit("style").alias("author"), F.col("font").alias("subject"), "label")
+    return pdf.annotations(pdf.annotate(given, labels)).where("author = 'style'").select(conv_of(), "page", "subject", "contents")
+
+
+def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of a tenth of the conversations' numbers merged in natural order: what each page of the merged file says."""
+    tenth = F.regexp_extract("path", r"(\d)\.pdf$", 1)
+    merged = pdf.merge(files(spark, sf_dir), by=tenth).select(F.col("by").alias("path"), "content")
+    return styles.plain_text(pdf.glyphs(merged)).select(F.col("path").alias("digit"), "page", "text")
+
+
+def scan_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the files in the folder of the tables, as a scan of a folder finds them."""
+    return pdf.scan(spark, sf_dir, pattern="*.parquet").select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
+
+
 def style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs(spark, sf_dir)
 
@@ -110,16 +167,17 @@ def natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, natural_names)
+    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, natural_names, locked_text, annotation_info, annotation_styles, merged_pages, scan_folder)
 }
 
 RUNS = r"""WITH raw AS (
-  SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)') AS rs FROM pages
+  SELECT page_id, regexp_extract_all(html, '(^|<[^>]*>)([^<]+)') AS rs FROM pages
 ), cut AS (
   SELECT page_id, unnest(range(len(rs))) AS ord, unnest(rs) AS run FROM raw
+), named AS (
+  SELECT page_id, CAST(ord AS INT) AS ord, regexp_extract(regexp_extract(run, '(^|<[^>]*>)([^<]+)', 1), '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1) AS font, regexp_extract(run, '(^|<[^>]*>)([^<]+)', 2) AS text FROM cut
 ), glyphs AS (
-  SELECT page_id, CAST(ord AS INT) AS ord, regexp_extract(run, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)', 1) AS font,
-    CAST(length(regexp_extract(run, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)', 1)) AS DOUBLE) AS size, regexp_extract(run, '<([a-zA-Z][a-zA-Z0-9]*)[^>]*>([^<]+)', 2) AS text FROM cut
+  SELECT page_id, ord, font, CAST(length(font) AS DOUBLE) AS size, text FROM named
 )
 """
 TOP = """, totals AS (
@@ -136,9 +194,9 @@ SQL: dict[str, str] = {
     "style_runs": RUNS + "SELECT page_id, ord, font, size, text FROM glyphs",
     "dominant_style": RUNS + TOP + "SELECT page_id, font, size, n_chars FROM top",
     "dominant_filter": RUNS + TOP + "SELECT g.page_id, ord, g.font, g.size, text FROM glyphs g JOIN top t ON g.page_id = t.page_id WHERE g.size >= t.size",
-    "style_filter_plain": RUNS + ", kept AS (SELECT page_id, string_agg(text, chr(10) ORDER BY ord) AS text FROM glyphs WHERE font IN ('p', 'b', 'h1') GROUP BY page_id) SELECT p.page_id, coalesce(text, '') AS text FROM (SELECT DISTINCT page_id FROM pages) p LEFT JOIN kept USING (page_id)",
+    "style_filter_plain": RUNS + ", kept AS (SELECT page_id, string_agg(text, chr(10) ORDER BY ord) AS text FROM glyphs WHERE font IN ('p', 'b', 'h1', '/b', '/a') GROUP BY page_id) SELECT p.page_id, coalesce(text, '') AS text FROM (SELECT DISTINCT page_id FROM pages) p LEFT JOIN kept USING (page_id)",
     "size_filter_plain": RUNS + "SELECT page_id, string_agg(text, ' ' ORDER BY ord) AS text FROM glyphs WHERE size >= 2 AND font NOT IN ('script', 'style') GROUP BY page_id",
-    "numbered_export": RUNS + ", kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM glyphs WHERE font IN ('p', 'b', 'h1')) SELECT page_id, 'page ' || page_id || chr(10) || string_agg('[' || n || ']' || chr(10) || text, chr(10) ORDER BY n) AS text FROM kept GROUP BY page_id",
+    "numbered_export": RUNS + ", kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM glyphs WHERE font IN ('p', 'b', 'h1', '/b', '/a')) SELECT page_id, 'page ' || page_id || chr(10) || string_agg('[' || n || ']' || chr(10) || text, chr(10) ORDER BY n) AS text FROM kept GROUP BY page_id",
     "style_label": RUNS + "SELECT page_id, ord, font, size, CAST(length(text) AS DOUBLE) AS x, CAST(ord AS DOUBLE) AS y, font || ' ' || CAST(size AS VARCHAR) AS label FROM glyphs",
     "bold_wrap": r"SELECT page_id, regexp_replace(html, '<b>([^<]+)', '【\1】', 'g') AS text FROM pages",
     "bold_runs": RUNS + "SELECT page_id, string_agg(CASE WHEN font = 'b' THEN '【' || text || '】' ELSE text END, '' ORDER BY ord) AS text FROM glyphs GROUP BY page_id",
@@ -147,5 +205,10 @@ SQL: dict[str, str] = {
     "output_names": "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url || '.txt' END AS out FROM pages",
     "merge_order": f"SELECT lang, source, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY {KEY.format('source')}, source, lang, doc_id) AS INT) AS position FROM documents",
     "merge_concat": f"WITH d AS (SELECT *, right(source, 1) AS part, {KEY.format('source')} AS k FROM documents), m AS (SELECT lang, part, string_agg(coalesce(text, ''), chr(10) ORDER BY k, source, doc_id) AS text FROM d GROUP BY lang, part) SELECT lang, part, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM m",
+    "locked_text": "WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page, coalesce(text, '') AS text FROM conversations) SELECT conv_id, page, replace(text, chr(10), '') AS text, CAST(length(string_split(text, chr(10))[1]) AS BIGINT) AS n_head FROM t WHERE replace(text, chr(10), '') <> ''",
+    "annotation_info": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, string_agg(concat_ws(chr(9), CAST(k AS VARCHAR), coalesce(role, ''), 'turn ' || turn, coalesce(text, '')), chr(10) ORDER BY k) AS text FROM n GROUP BY conv_id",
+    "annotation_styles": "WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), s AS (SELECT conv_id, page, 'Head' AS subject, 'Head 12.0' AS contents FROM t WHERE ls[1] <> '' UNION ALL SELECT conv_id, page, 'Body', 'Body 10.0' FROM t WHERE len(list_filter(ls[2:], lambda x: x <> '')) > 0) SELECT * FROM s",
+    "merged_pages": "WITH t AS (SELECT right(CAST(conv_id AS VARCHAR), 1) AS digit, CAST(row_number() OVER (PARTITION BY right(CAST(conv_id AS VARCHAR), 1) ORDER BY conv_id, turn) AS INT) AS page, replace(coalesce(text, ''), chr(10), '') AS text FROM conversations) SELECT * FROM t WHERE text <> ''",
+    "scan_folder": "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name",
     "natural_names": f"SELECT doc_id, {KEY.format('(' + NAME + ')')} AS key FROM documents",
 }

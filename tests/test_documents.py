@@ -65,6 +65,8 @@ def test_exports(annotations):
     of = lambda df: {r["path"]: r["text"] for r in df.collect()}
     assert of(exports.export_plain(annotations)) == {"b.PDF": "xy\na b c\nno runs", "c": ""}
     assert of(exports.export_bold(annotations)) == {"b.PDF": "【x】【y】\na【b】c\nno runs", "c": ""}
+    entry = lambda n, t: F.concat(F.lit("["), n.cast("string"), F.lit("]\n"), t)
+    assert of(exports.export_bold(annotations, entry=entry, header=F.col("path"))) == {"b.PDF": "b.PDF\n[1]\n【x】【y】\n[2]\na【b】c\n[3]\nno runs", "c": "c\n[1]\n"}
     assert of(exports.export_info(annotations)) == {"b.PDF": "1\ts\txy\n2\tann\tF1 12.0\ta b c\n3\tbob\tno runs", "c": "1\t"}
     assert {r["path"]: r["out"] for r in exports.with_output_name(exports.export_plain(annotations)).collect()} == {"b.PDF": "b.txt", "c": None}
 

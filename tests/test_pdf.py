@@ -123,3 +123,91 @@ def test_files_that_are_none(spark, folder):
 def test_scan_reads_no_content_for_names(spark, folder):
     plan = pdf.scan(spark, folder).where("length > 10").select("path")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[1] and "GreaterThan(length,10)" in plan
+
+
+def strong(password, owner, revision):
+    """A file encrypted with AES of 256 bits."""
+    key, objects = bytes(range(32)), {
+        1: {"Type": Name("Catalog"), "Pages": Ref(2)}, 2: {"Type": Name("Pages"), "Kids": [Ref(3)], "Count": 1},
+        3: {"Type": Name("Page"), "Contents": Ref(4), "Resources": {"Font": {"F1": {}}}, "Annots": [{"Subtype": Name("Text"), "Contents": sealed(b"a note", bytes(range(32)))}]}, 4: Stream({}, sealed(b"BT /F1 8 Tf (key) Tj ET", bytes(range(32)))),
+    }
+    hashed = lambda p, salt, more=b"": pdf_file.strong_hash(p.encode(), salt, more, revision)
+    u = hashed(password, b"validate") + b"validate" + b"key salt"
+    o = hashed(owner, b"VALIDATE", u) + b"VALIDATE" + b"KEY SALT"
+    ue, oe = (pdf_file.aes.encrypt(h, bytes(16), key) for h in (hashed(password, b"key salt"), hashed(owner, b"KEY SALT", u)))
+    objects[9] = {"Filter": Name("Standard"), "V": 5, "R": revision, "Length": 256, "P": -4, "O": o, "U": u, "OE": oe, "UE": ue, "CF": {"StdCF": {"CFM": Name("AESV3")}}, "StmF": Name("StdCF"), "StrF": Name("StdCF")}
+    return pdf_file.file_of(objects, 1, {"Encrypt": Ref(9)})
+
+
+def sealed(data, key):
+    return bytes(16) + pdf_file.aes.encrypt(key, bytes(16), pdf_file.aes.padded(data))
+
+
+@pytest.mark.parametrize("revision", [5, 6])
+@pytest.mark.parametrize("given", ["öpen", "owner"])
+def test_strong_passwords(revision, given):
+    own = pdf_file.Pdf(strong("öpen", "owner", revision), given)
+    page = own.pages()[0][1]
+    assert [g[0] for g in pdf_file.page_glyphs(own, page)] == list("key") and pdf_file.page_annotations(own, page)[0][2] == "a note"
+    with pytest.raises(pdf_file.PdfError, match="wrong password"):
+        pdf_file.Pdf(strong("öpen", "owner", revision), "else")
+
+
+def test_written_passwords():
+    objects = pdf_file.text_file([[("漢字 😀", "Main", 12.0), ("b", "Kana", 5.0)]], [[("me", "of it", "said 😀\nmore")]])
+    data = pdf_file.encrypted(objects, 1, "user", "owner", b"salt")
+    assert b"\x6f\x22" not in data
+    for given in ("user", "owner"):
+        own = pdf_file.Pdf(data, given)
+        page = own.pages()[0][1]
+        assert [g[:3] for g in pdf_file.page_glyphs(own, page)] == [*((c, "Main", 12.0) for c in "漢字 😀"), ("b", "Kana", 5.0)]
+        assert pdf_file.page_annotations(own, page) == [("me", "of it", "said 😀\nmore", [("said 😀\nmore", False)])]
+    with pytest.raises(pdf_file.PdfError, match="wrong password"):
+        pdf_file.Pdf(data, "")
+
+
+def test_aes_vectors():
+    """The published examples of the standard, for keys of 16 and 32 bytes."""
+    text = bytes.fromhex("00112233445566778899aabbccddeeff")
+    for n, want in ((16, "69c4e0d86a7b0430d8cdb78070b4c55a"), (32, "8ea2b7ca516745bfeafc49904b496089")):
+        assert pdf_file.aes.encrypt(bytes(range(n)), bytes(16), text).hex() == want
+        assert pdf_file.aes.decrypt(bytes(range(n)), text, pdf_file.aes.encrypt(bytes(range(n)), text, text * 9)) == text * 9
+
+
+def packed_codes(data, early):
+    """LZW as files have it."""
+    table, out, width, last = {bytes([b]): b for b in range(256)}, [(256, 9)], 9, b""
+    for b in data:
+        if last + bytes([b]) in table:
+            last += bytes([b])
+            continue
+        out.append((table[last], width))
+        table[last + bytes([b])] = len(table) + 2
+        width = max(9, min(12, (len(table) + 1 + early).bit_length()))
+        if len(table) > 3900:
+            out.append((256, width))
+            table, width = {bytes([b]): b for b in range(256)}, 9
+        last = bytes([b])
+    out.append((table[last], width))
+    width = max(9, min(12, (len(table) + 2 + early).bit_length()))
+    bits = "".join(f"{c:0{w}b}" for c, w in [*out, (257, width)])
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_filters():
+    import random
+
+    rng = random.Random(2)
+    assert pdf_file.unpacked_codes(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), 1) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    data = bytes(rng.choice(b"abcd") for _ in range(30_000)) + rng.randbytes(9000)
+    for early in (0, 1):
+        assert pdf_file.unpacked_codes(packed_codes(data, early), early) == data
+    assert pdf_file.unpacked_runs(b"\x02abc\xfex\x00y\x80zz") == b"abcxxxy"
+    own = pdf_file.Pdf(made(b"").replace(b"/FlateDecode", b"/RunLengthDecode"))
+    assert own.decoded(Stream({"Filter": [Name("AHx"), Name("RL")]}, b"0261626380>")) == b"abc"
+
+
+def test_named_encodings_and_unknown_codes():
+    for name, raw, want in (("90ms-RKSJ-H", "あａ1ｱ漢".encode("cp932"), "あａ1ｱ漢"), ("UniJIS-UTF16-V", "漢😀".encode("utf-16-be"), "漢😀"), ("EUC-H", "漢字".encode("euc_jp"), "漢字"), ("GBK-EUC-H", "汉a".encode("gbk"), "汉a"), ("Identity-H", b"\0\1\0\2", "\ufffd\ufffd")):
+        font = pdf_file.font_of(pdf_file.Pdf(made(b"")), {"Subtype": Name("Type0"), "Encoding": Name(name), "DescendantFonts": [{}]})
+        assert "".join(font.text(c) for c in font.codes(raw)) == want
