@@ -42,8 +42,9 @@ class Encoder:
     word goes through the whole tokenizer.
     """
 
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
     ODD = re.compile("[^\x21-\x7e\xa1-ɏ]")
+    EDGE = b"\xff" * 4  #: in no row of ids, as each has two zero bytes
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -80,16 +81,14 @@ class Encoder:
     def learn(self, words: list[bytes]) -> None:
         if len(self.parts) > CACHE:
             self.parts.clear()
-        split, other = [], []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if self.ODD.search(text):
-                other.append((word, text))
-            else:
-                split.append((word, self.SPLIT.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))))
-        self.learn_parts(list({p for _, parts in split for p in parts if p not in self.parts}))
-        for word, parts in split:
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+        odd = self.ODD.search
+        pairs = list(zip(words, b"\n".join(words).decode("utf-8", "replace").split("\n"), strict=True))  # no word has white space
+        other, plain = [x for x in pairs if odd(x[1])], [x for x in pairs if not odd(x[1])]
+        # all at once, parted by newlines; no character of these is lower-cased by what stands beside it
+        parts = self.SPLIT.findall(unicodedata.normalize("NFC", "\n".join([t for _, t in plain])).lower())
+        self.learn_parts(list(set(parts).difference(self.parts, "\n")))
+        self.parts["\n"] = self.EDGE
+        self.words.update(zip([w for w, _ in plain], b"".join(map(self.parts.__getitem__, parts)).split(self.EDGE), strict=False))
         for (word, _), found in zip(other, self.whole.encode_batch_fast([t for _, t in other], add_special_tokens=False), strict=True):
             self.words[word] = np.array(found.ids, "<u4").tobytes()
 
