@@ -79,22 +79,22 @@ def ranked(keyed: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
     return scratch.store(keyed.join(ranks, ["a", "b"]).select("p", "rank", "f"), rows)
 
 
-def suffix_ranks(places: DataFrame, rows: int, scratch: Scratch) -> list[DataFrame]:
-    """For each k as long as there are any: p, rank, f of the suffixes whose first 2**k lines stand elsewhere as well.
+def suffix_ranks(places: DataFrame, rows: int, scratch: Scratch) -> list[tuple[DataFrame, int]]:
+    """For each k as long as there are any: p, rank, f of the suffixes whose first 2**k lines stand elsewhere as well, and their number.
 
     Prefix doubling: the rank of 2n lines is that of a pair, the ranks of n lines here and n lines on.  Suffixes with one
     rank are an interval of the suffix array with a common prefix; a suffix with no such neighbour is settled and takes no further part.
     """
-    levels, n = [ranked(places.select("p", F.col("rank").alias("a"), F.lit(0).alias("b")), rows, scratch)], 1
-    while rows := levels[-1].count():
-        now = levels[-1]
+    levels, now, n = [], ranked(places.select("p", F.col("rank").alias("a"), F.lit(0).alias("b")), rows, scratch), 1
+    while rows := now.count():
+        levels.append((now, rows))
         ahead = now.select((F.col("p") - n).alias("p"), F.col("rank").alias("b"))
-        levels.append(ranked(now.select("p", F.col("rank").alias("a")).join(ahead, "p"), rows, scratch))
+        now = ranked(now.select("p", F.col("rank").alias("a")).join(ahead, "p"), rows, scratch)
         n *= 2
-    return levels[:-1]
+    return levels
 
 
-def longest_earlier(levels: list[DataFrame], scratch: Scratch) -> DataFrame | None:
+def longest_earlier(levels: list[tuple[DataFrame, int]], scratch: Scratch) -> DataFrame | None:
     """p, m, f: the m first lines of the suffix at p, and no more, stand at f < p already; f is the first such place.
 
     From the longest prefixes down.  (f, m) names an interval of the suffix array: the suffixes with the m lines
@@ -104,12 +104,12 @@ def longest_earlier(levels: list[DataFrame], scratch: Scratch) -> DataFrame | No
     """
     state = None
     for k in reversed(range(len(levels))):
-        level = levels[k]
+        level, rows = levels[k]
         new = level.where("p > f").select("p", F.lit(1 << k).cast("long").alias("m"), "f")
         if state is None:
-            state = scratch.store(new)
+            state = scratch.store(new, rows)
             continue
-        rows = state.count() + level.count()
+        rows += levels[k + 1][1]  # what state has are suffixes of the level above
         heads = state.select(F.col("f").alias("p"), "m", "f").distinct()
         both = state.unionByName(heads).withColumn("q", F.col("p") + F.col("m"))
         met = both.join(level.select(F.col("p").alias("q"), "rank"), "q", "left")
