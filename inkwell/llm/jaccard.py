@@ -9,7 +9,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.blocks import answered, bucket_of, how_common, ranked, scattered, send
@@ -21,6 +21,8 @@ from inkwell.llm.words import LOWER, ROLL, forget, mix, slices, span_hashes, tex
 SHINGLE, PERCENT = 5, 80
 #: Documents of an index, and of a tile of a family: each document of n goes to n / TILE pairs of tiles.
 INDEX, TILE = 256, 1024
+#: Shingles of an index or a tile, so that long documents come in smaller ones.
+MOST_SHINGLES = 4 << 20
 #: Rounds in which each inverted list is searched for one of its documents only.
 STARS = 2
 #: DivideSkip: how much a probe of a long list costs against merging it.
@@ -166,9 +168,14 @@ class Index:
         return alive[100 * count >= percent * (len(query) + self.sizes[alive] - count)]
 
 
+def portions(most: int) -> Column:
+    """Into how many indexes or tiles the documents of a group go."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / MOST_SHINGLES)).cast("int")
+
+
 def starred(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of linked documents among pairs (g, v): g is searched for among its v, INDEX of them at a time."""
-    parts = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / INDEX).cast("int").alias("parts"))
+    """a, b of linked documents among pairs (g, v; n: shingles of v): g is searched for among its v, INDEX of them at a time."""
+    parts = pairs.groupBy("g").agg(portions(INDEX).alias("parts"))
     held = pairs.join(parts, "g").select("g", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"), "v", F.lit(False).alias("asks"))
     asked = parts.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("g").alias("v"), F.lit(True).alias("asks"))
     rows = held.unionAll(asked).join(sets.select("v", "shingles"), "v")
@@ -181,12 +188,12 @@ def starred(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def tiled(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of links that span what is connected in families (g, v, c), between different components c.
+    """a, b of links that span what is connected in families (g, v, c; n: shingles of v), between different components c.
 
     A family is cut into tiles of TILE documents; each pair of tiles is a task, in which the documents
     of one are searched for in an index of the other's.
     """
-    tiles = families.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiles = families.groupBy("g").agg(portions(TILE).alias("tiles"))
     own = families.join(tiles, "g").withColumn("own", F.pmod(F.xxhash64("v"), "tiles").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = own.select("g", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "own", "v", "c").join(sets.select("v", "shingles"), "v")
 
@@ -232,21 +239,21 @@ def classes(docs: DataFrame, shingle: int, percent: int, by_id: bool) -> tuple[D
     sets = stored(shingle_sets(docs, shingle, percent).withColumn("u", F.monotonically_increasing_id()), "shingles")
     filled = sets.where("s1 is not null and doc_id is not null")
     names = saved(filled.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t", "u")).alias("least")).select("s1", "s2", "least.doc_id", "least.t", F.col("least.u").alias("v")))
-    own = filled.select(F.col("u").alias("v"), "shingles", "prefix", "indexed").join(names.select("v"), "v", "left_semi")
+    own = filled.select(F.col("u").alias("v"), "n", "shingles", "prefix", "indexed").join(names.select("v"), "v", "left_semi")
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prefixes = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
             if prefixes:
                 sizes = [len(p) for p in prefixes]
-                v, w, indexed = (np.repeat(x, sizes) for x in (batch.column(0).to_numpy(), sizes, batch.column(2).to_numpy()))
-                place = np.concatenate([np.arange(n) for n in sizes])
-                yield pa.record_batch([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int32()), pa.array(place < indexed)], names=["token", "v", "w", "indexed"])
+                v, w, indexed, n = (np.repeat(x, sizes) for x in (batch.column(0).to_numpy(), sizes, batch.column(2).to_numpy(), batch.column(3).to_numpy()))
+                place = np.concatenate([np.arange(x) for x in sizes])
+                yield pa.record_batch([pa.array(np.concatenate(prefixes), pa.int64()), pa.array(v, pa.int64()), pa.array(w, pa.int32()), pa.array(place < indexed), pa.array(n, pa.int64())], names=["token", "v", "w", "indexed", "n"])
 
-    postings = own.select("v", "prefix", "indexed").mapInArrow(lists, "token long, v long, w int, indexed boolean")
+    postings = own.select("v", "prefix", "indexed", "n").mapInArrow(lists, "token long, v long, w int, indexed boolean, n long")
     common = postings.groupBy("token").agg(F.min("v").alias("a"), F.max("v").alias("z"), F.max("indexed").alias("i")).where("a <> z and i").select("token")
-    postings = saved(postings.join(common, "token").select("token", "v", "w"))
-    n = postings.count()
+    postings = saved(postings.join(common, "token").select("token", "v", "w", "n"))
+    rows = postings.count()
     links = parts = None
     if by_id:
         many = filled.join(names.select("s1", "s2", "v"), ["s1", "s2"]).groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
@@ -256,17 +263,17 @@ def classes(docs: DataFrame, shingle: int, percent: int, by_id: bool) -> tuple[D
         if parts is None:
             known = known.withColumn("c", F.col("v"))
         else:
-            known = known.join(parts, known["v"] == parts["id"], "left").select("token", "v", "w", F.coalesce("component", "v").alias("c"))
-        known = saved(few(known, n))
+            known = known.join(parts, known["v"] == parts["id"], "left").select("token", "v", "w", "n", F.coalesce("component", "v").alias("c"))
+        known = saved(few(known, rows))
         weight = F.struct(F.col("w") if turn == 0 else F.lit(0), F.xxhash64("v", F.lit(turn)), "v", "c")
         mixed = known.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("z"), F.max(weight).alias("star")).where("a <> z")
         met = known.join(mixed.select("token", F.col("star.v").alias("g"), F.col("star.c").alias("gc")), "token")
         if turn < STARS:
-            found = starred(saved(few(few(met, n).where("c <> gc").select("g", "v").distinct(), n)), own, percent)
+            found = starred(saved(few(few(met, rows).where("c <> gc").select("g", "v", "n").distinct(), rows)), own, percent)
         else:
-            met = saved(few(few(met, n).select("g", "v", "c").distinct(), n))
+            met = saved(few(few(met, rows).select("g", "v", "c", "n").distinct(), rows))
             family = components(met, "g", "v").withColumnRenamed("component", "g")
-            members = saved(few(few(met.select("v", "c").distinct(), n).join(family, F.col("v") == F.col("id")).select("g", "v", "c"), n))
+            members = saved(few(few(met.select("v", "c", "n").distinct(), rows).join(family, F.col("v") == F.col("id")).select("g", "v", "c", "n"), rows))
             found = tiled(members, own, percent)
         links = found if links is None else links.unionAll(found)
         parts = components(links)
