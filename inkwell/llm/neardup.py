@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +30,20 @@ def unit_vectors(vectors: DataFrame, label: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, dims, units = [], [], [], []
-            for v, id_, lab in zip(batch.column(2), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                usable = lab is not None and id_ is not None and v.is_valid and not v.values.null_count and len(v.values)
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if usable else np.zeros(1)
-                top = np.abs(x).max()
-                usable = np.isfinite(top) and top > 0
-                x = x / top if usable else x
-                ids.append(id_)
-                labels.append(lab)
-                dims.append(len(x))
-                units.append((x / np.sqrt(x @ x)).tobytes() if usable else None)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "label", "dim", "unit"])
+            lists = batch.column(2)
+            usable = lists.is_valid().to_numpy(zero_copy_only=False) & batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            dims = np.where(usable, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0)
+            units: list[bytes | None] = [None] * batch.num_rows
+            for d in np.unique(dims[dims > 0]).tolist():
+                own = np.flatnonzero(dims == d)
+                x = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)  # a null is NaN
+                top = np.abs(x).max(axis=1)
+                good = np.isfinite(top) & (top > 0)
+                x = x[good] / top[good, None]
+                x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+                for i, row in zip(own[good].tolist(), x, strict=True):
+                    units[i] = row.tobytes()
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "label", "dim", "unit"])
 
     return vectors.select(F.col("vec_id").cast("long"), F.col(label).cast("string").alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(run, UNITS)
 

@@ -337,6 +337,30 @@ def test_substring_dedup_over_many_blocks(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(brute_substring(spark, rows, 5), key=str)
 
 
+def test_blocks_are_even_by_bytes(spark):
+    """Whether all rows have one id or none, or a few long texts stand among short ones; and blocks ascend with the id."""
+    from inkwell.llm import blocks
+
+    tables = {
+        "one id": [(7, f"{k:05d} " * 20) for k in range(300)],
+        "no id": [(None, f"{k:05d} " * 20) for k in range(300)],
+        "half one id": [(7 if k % 2 else k, f"{k:05d} " * 20) for k in range(600)],
+        "long texts": [(k, "long " * 1600) if k % 100 == 7 else (k, "s") for k in range(2000)],
+        "far ids": [((1 << 62) - (k << 50), f"{k:05d} " * 20) for k in range(300)] + [(-(1 << 62), "x")],
+    }
+    for name, rows in tables.items():
+        given, size = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t) for _, t in rows)
+        for dealt, _ in (blocks.blocked(given, 4000), blocks.scattered(given, 4000)):
+            got = dealt.collect()
+            assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(rows, key=str)
+            sizes = Counter()
+            for r in got:
+                sizes[r["block"]] += len(r["text"])
+            assert len(sizes) >= size / 4000 / 2 and max(sizes.values()) <= 3 * max(4000, len(max(rows, key=lambda r: len(r[1]))[1])), (name, sizes)
+        places = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["t"], r["block"]) for r in blocks.blocked(given, 4000)[0].collect())
+        assert [p[3] for p in places] == sorted(p[3] for p in places), name
+
+
 # op4
 
 
