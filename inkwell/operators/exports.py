@@ -59,3 +59,14 @@ def merge_text(files: DataFrame, by: Sequence[str], name: str, ties: Sequence[st
     keyed = files.withColumn("_k", natural_key(F.col(name)))
     parts = F.array_sort(F.collect_list(F.struct("_k", name, *ties, F.coalesce(text, F.lit("")).alias("_t"))))
     return keyed.groupBy(*by).agg(F.array_join(F.transform(parts, lambda r: r["_t"]), separator).alias("text"))
+
+
+def merge_pieces(files: DataFrame, by: Sequence[str], name: str, ties: Sequence[str], text: str, separator: str = "\n") -> DataFrame:
+    """files with position, from 1, and start: where each text stands if its group's are one after another, as in merge_text().
+
+    A row for each file, so that a merged text may be longer than a value can be; what orders a group sorts its rows, on disk if need be.
+    """
+    window = Window.partitionBy(*by).orderBy(natural_key(F.col(name)), name, *ties)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce(text, F.lit(""))).cast("long") + len(separator)
+    return files.withColumns({"position": F.row_number().over(window), "start": F.coalesce(F.sum(size).over(before), F.lit(0))})

@@ -159,6 +159,12 @@ def merge_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "part", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
 
 
+def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As merge_concat, piece by piece: where each document stands in its language's and part's text."""
+    docs = table(spark, sf_dir, "documents").withColumn("part", F.substring("source", -1, 1))
+    return exports.merge_pieces(docs, ["lang", "part"], "source", ["doc_id"], "text").select("lang", "part", "doc_id", "position", "start")
+
+
 def natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of names whose digits are also full-width and lead with zeros."""
     name = F.concat("source", F.lit("第０"), F.translate(F.col("doc_id").cast("string"), "0123456789", "０１２３４５６７８９"), F.lit("話"))
@@ -167,7 +173,7 @@ def natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, natural_names, locked_text, annotation_info, annotation_styles, merged_pages, scan_folder)
+    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, merge_pieces, natural_names, locked_text, annotation_info, annotation_styles, merged_pages, scan_folder)
 }
 
 RUNS = r"""WITH raw AS (
@@ -205,6 +211,7 @@ SQL: dict[str, str] = {
     "output_names": "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url || '.txt' END AS out FROM pages",
     "merge_order": f"SELECT lang, source, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY {KEY.format('source')}, source, lang, doc_id) AS INT) AS position FROM documents",
     "merge_concat": f"WITH d AS (SELECT *, right(source, 1) AS part, {KEY.format('source')} AS k FROM documents), m AS (SELECT lang, part, string_agg(coalesce(text, ''), chr(10) ORDER BY k, source, doc_id) AS text FROM d GROUP BY lang, part) SELECT lang, part, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM m",
+    "merge_pieces": f"WITH d AS (SELECT *, right(source, 1) AS part, {KEY.format('source')} AS k FROM documents) SELECT lang, part, doc_id, CAST(row_number() OVER w AS INT) AS position, CAST(coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY lang, part ORDER BY k, source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d WINDOW w AS (PARTITION BY lang, part ORDER BY k, source, doc_id)",
     "locked_text": "WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page, coalesce(text, '') AS text FROM conversations) SELECT conv_id, page, replace(text, chr(10), '') AS text, CAST(length(string_split(text, chr(10))[1]) AS BIGINT) AS n_head FROM t WHERE replace(text, chr(10), '') <> ''",
     "annotation_info": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, string_agg(concat_ws(chr(9), CAST(k AS VARCHAR), coalesce(role, ''), 'turn ' || turn, coalesce(text, '')), chr(10) ORDER BY k) AS text FROM n GROUP BY conv_id",
     "annotation_styles": "WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), s AS (SELECT conv_id, page, 'Head' AS subject, 'Head 12.0' AS contents FROM t WHERE ls[1] <> '' UNION ALL SELECT conv_id, page, 'Body', 'Body 10.0' FROM t WHERE len(list_filter(ls[2:], lambda x: x <> '')) > 0) SELECT * FROM s",
