@@ -113,13 +113,17 @@ ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807
 
 def chance_below(z: Column) -> Column:
     """The normal distribution function, right to six digits in the far tail below as well."""
-    x = F.abs(z) / F.lit(2.0**0.5)
-    t = 1 / (1 + x / 2)
-    terms = F.lit(ERFC[-1])
-    for c in reversed(ERFC[:-1]):
-        terms = F.lit(c) + t * terms
-    tail = t * F.exp(terms - x * x) / 2
-    return F.when(z < 0, tail).otherwise(1 - tail)
+
+    def of(v: Column) -> Column:
+        def tail(t: Column) -> Column:
+            terms = F.lit(ERFC[-1])
+            for c in reversed(ERFC[:-1]):
+                terms = F.lit(c) + t * terms
+            return t * F.exp(terms - v * v / 2) / 2
+
+        return let(let(1 / (1 + F.abs(v) / F.lit(8.0**0.5)), tail), lambda p: F.when(v < 0, p).otherwise(1 - p))
+
+    return let(z, of)
 
 
 def text_chances(share: float | None, size: int) -> list[float]:
@@ -175,21 +179,23 @@ def deviation(pairs: Column, n: Column, s2: Column, s3: Column, s4: Column) -> C
     s2, s3, s4: sums of powers of the letters' chances, which give the number's first three moments for any length; the
     third enters as in a gamma distribution (Wilson and Hilferty), so that the tail above is right for short strings, too.
     """
-    two = n * (n - 1) / 2
-    three, four = 2 * two * (n - 2), 2 * two * (n - 2) * (n - 3)
-    variance = two * (s2 - s2 * s2) + three * (s3 - s2 * s2)
-    third = (
-        two * (s2 - 3 * s2 * s2 + 2 * s2 * s2 * s2)
-        + three * (3 * (1 - 2 * s2) * (s3 - s2 * s2) + s3 - 3 * s2 * s3 + 2 * s2 * s2 * s2)
-        + four * (4 * s4 - 9 * s2 * s3 + 5 * s2 * s2 * s2)
-    )
 
-    def corrected(x: Column) -> Column:
-        skew = x["third"] / (x["sd"] * x["sd"] * x["sd"])
-        inside = F.greatest(1 + skew * (pairs - two * s2) / x["sd"] / 2, F.lit(1e-9))
-        return 6 / skew * (F.cbrt(inside) - 1) + skew / 6
+    def moments(x: Column) -> Column:
+        n, s2, s3, s4 = (x[c] for c in ("n", "s2", "s3", "s4"))
+        two, s22 = n * (n - 1) / 2, s2 * s2
+        three, four = n * (n - 1) * (n - 2), n * (n - 1) * (n - 2) * (n - 3)
+        variance = two * (s2 - s22) + three * (s3 - s22)
+        third = (
+            two * (s2 - 3 * s22 + 2 * s2 * s22)
+            + three * (3 * (1 - 2 * s2) * (s3 - s22) + s3 - 3 * s2 * s3 + 2 * s2 * s22)
+            + four * (4 * s4 - 9 * s2 * s3 + 5 * s2 * s22)
+        )
+        return let(F.struct(((x["pairs"] - two * s2) / F.sqrt(variance)).alias("z"), (third / F.pow(variance, F.lit(1.5))).alias("skew")), corrected)
+
+    def corrected(y: Column) -> Column:
+        return 6 / y["skew"] * (F.cbrt(F.greatest(1 + y["skew"] * y["z"] / 2, F.lit(1e-9))) - 1) + y["skew"] / 6
 
-    return let(F.struct(F.sqrt(variance).alias("sd"), third.alias("third")), corrected)
+    return let(F.struct(pairs.alias("pairs"), n.alias("n"), s2.alias("s2"), s3.alias("s3"), s4.alias("s4")), moments)
 
 
 def candidates(text: Column) -> Column:
@@ -229,27 +235,29 @@ def tested(hit: Column) -> Column:
         )
 
     def measured(x: Column) -> Column:
-        n, k = x["n"], x["k"]
-        middle = (k - 1) / 2
+        n, middle = x["n"], (x["k"] - 1) / 2
         pairs = F.aggregate(F.transform(x["counts"], lambda y: y * (y - 1) / 2), zero, plus)
         high = F.length(F.replace(x["high"], F.lit("0"), F.lit(""))).cast("double")
         changes = [(n - F.length(F.replace(x["high"], F.lit(two), F.lit("")))) / 2 for two in ("01", "10")]
-        even = 2 * high * (n - high) / n
-        spread = even * (even - 1) / F.greatest(n - 1, F.lit(1.0))
-        z_runs = F.when(spread > 0, F.abs(changes[0] + changes[1] - even) / F.sqrt(spread)).otherwise(9.0)
         # serial products piece by piece, each with the first letter of the next, so that a long string is never an array of letters
         value = lambda ch: F.instr(x["a"], ch) - 1 - middle
         neighbours = lambda v: F.aggregate(F.zip_with(v, F.slice(v, 2, CHUNK + 1), lambda a, b: F.coalesce(a * b, zero)), zero, plus)
         pieces = lambda ps: F.aggregate(F.transform(ps, lambda p, j: let(F.transform(F.split(F.concat(p, F.coalesce(F.substring(F.get(ps, j + 1), 1, 1), F.lit(""))), ""), value), neighbours)), zero, plus)
         product = let(F.regexp_extract_all(body, F.lit(".{1,%d}" % CHUNK), F.lit(0)), pieces)
         own = F.aggregate(F.transform(x["counts"], lambda y, i: y * (i - middle) * (i - middle)), zero, plus)
-        z_serial = F.when(own > 0, F.abs(product / own) * F.sqrt(n)).otherwise(9.0)
-        z_even = deviation(pairs - 0.5, n, 1 / k, 1 / (k * k), 1 / (k * k * k))
-        two = n * (n - 1) / 2
-        z_text = (pairs + 0.5 - two * x["s2"]) / F.sqrt(two * (x["s2"] - x["s2"] * x["s2"]) + 2 * two * (n - 2) * (x["s3"] - x["s2"] * x["s2"]))
-        own_bins = F.slice(rare, F.element_at(F.lit(places), x["c"] + 1) + n.cast("int") * BINS + 1, F.lit(BINS))
-        exact = let(own_bins, lambda b: how_many(b, lambda most: most >= pairs))
-        text_bin = F.when(n <= EXACT, exact).otherwise(F.least(F.lit(BINS), F.floor(-4 * F.log10(F.greatest(chance_below(z_text), F.lit(1e-300)))).cast("int")))
+        own_bins = F.slice(rare, F.element_at(F.lit(places), x["c"] + 1) + F.least(n, F.lit(float(EXACT))).cast("int") * BINS + 1, F.lit(BINS))
+        return let(F.struct(x["c"].alias("c"), n.alias("n"), x["k"].alias("k"), x["s2"].alias("s2"), x["s3"].alias("s3"), pairs.alias("pairs"), (2 * high * (n - high) / n).alias("even"), (changes[0] + changes[1]).alias("changes"), product.alias("product"), own.alias("own"), own_bins.alias("bins")), judged)
+
+    def judged(x: Column) -> Column:
+        n, k, even = x["n"], x["k"], x["even"]
+        spread = even * (even - 1) / F.greatest(n - 1, F.lit(1.0))
+        z_runs = F.when(spread > 0, F.abs(x["changes"] - even) / F.sqrt(spread)).otherwise(9.0)
+        z_serial = F.when(x["own"] > 0, F.abs(x["product"] / x["own"]) * F.sqrt(n)).otherwise(9.0)
+        z_even = deviation(x["pairs"] - 0.5, n, 1 / k, 1 / (k * k), 1 / (k * k * k))
+        two, s22 = n * (n - 1) / 2, x["s2"] * x["s2"]
+        z_text = (x["pairs"] + 0.5 - two * x["s2"]) / F.sqrt(two * (x["s2"] - s22) + 2 * two * (n - 2) * (x["s3"] - s22))
+        usual = F.least(F.lit(BINS), F.floor(-4 * F.log10(F.greatest(chance_below(z_text), F.lit(1e-300)))).cast("int"))
+        text_bin = F.when(n <= EXACT, how_many(x["bins"], lambda most: most >= x["pairs"])).otherwise(usual)
         p_random = 3 * F.least(chance_below(-z_even), 2 * chance_below(-z_runs), 2 * chance_below(-z_serial))
         return F.struct(x["c"].alias("encoding"), n.cast("int").alias("n"), F.least(F.lit(1.0), p_random).alias("p_random"), text_bin.alias("bin"))
 
