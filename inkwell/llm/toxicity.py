@@ -173,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
             held = [np.flatnonzero(np.isin(buckets, np.frombuffer(x, "<u4"))).astype("<u2").tobytes() for x in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(held, pa.binary()), batch.column(1), batch.column(2)], names=["held", "p", "u"])
 
-    rows = sets.select("words", "p", "u").mapInArrow(columns, "held binary, p int, u int").orderBy("held", "p", "u").collect()
-    toxic, unlabelled = (presence([r["held"] for r in rows if r[kind]], len(features)) for kind in ("p", "u"))
+    rows = sets.select("words", "p", "u").mapInArrow(columns, "held binary, p int, u int").collect()
+    toxic, unlabelled = (presence(sorted(r["held"] for r in rows if r[kind]), len(features)) for kind in ("p", "u"))
     w, b = fit(toxic, unlabelled, np.array([r["sign"] for r in features]), prior)
     weights[buckets] = w
     return Model(weights, b)
