@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.shared import Scratch, few, free
+from inkwell.llm.shared import Scratch, free
 from inkwell.llm.words import BASES, forget, slices, span_hashes, text_buffers, word_bounds
 
 #: Fewest words of a run of lines that is deleted.  One: each repeated line goes, however short it is.
@@ -140,7 +140,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # what stands at the place before, which is the same text's: between two texts there is a place that is no line's
     before = state.select((F.col("p") + 1).alias("p"), F.col("m").alias("longer"))
     maximal = state.select("p", "m").join(before, "p", "left").where("longer is null or longer <= m").select("p", "m")
-    return few(places.select("p", "d", "t", "i").join(maximal, "p").select("d", "t", "i", "m"), rows)
+    return places.select("p", "d", "t", "i").join(maximal, "p").select("d", "t", "i", "m")
 
 
 def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
