@@ -305,7 +305,11 @@ def scanned(docs: DataFrame, wide: bool) -> tuple[DataFrame, str, str]:
     tests = F.transform(candidates(text), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), tested(h["hit"]).alias("t")))
     rows = docs.select("*", base_spans(text).alias(base), tests.alias(runs))
     rows = stored(rows, "spans") if wide else saved(rows.drop("text"))
-    kinds = F.array(*[F.filter(base, lambda b, k=k: b["kind"] == k) for k in range(3)])
+
+    def of_kind(k: int) -> Column:
+        return F.filter(base, lambda b: b["kind"] == k)
+
+    kinds = F.array(*map(of_kind, range(3)))
     apart = let(kinds, lambda ks: F.filter(runs, lambda r: r["t"].isNotNull() & ~(meets(r, ks[0]) | meets(r, ks[1]) | meets(r, ks[2]))))
     outside = F.when(F.size(runs) > 0, apart).otherwise(F.col(runs))
     open_rows = rows.where(F.size(runs) > 0).select(F.explode(outside).alias("r"))

@@ -274,6 +274,17 @@ def test_many_hits_in_one_text(spark):
     assert by_id(secrets.mask_secrets(given))[1]["text"] == "".join(left) + text[at:]
 
 
+def test_candidates_within_base_spans_are_left_out(spark):
+    """Whatever the kinds of the base spans, their order and their number in the text."""
+    rng = np.random.default_rng(17)
+    key = lambda: rng.bytes(20).hex()
+    made = [lambda: f'token = "{key()}"', key, lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGH2345"), 24)), lambda: "x secret: abcdefgh", lambda: "words"]
+    rows = [(i, " ".join(made[k]() for k in rng.integers(0, 5, rng.integers(1, 30)))) for i in range(120)]
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        base = [(s["start"], s["end"]) for s in r["base"]]
+        assert not [s for s in r["spans"] if s["kind"] == 3 and any(a < s["end"] and s["start"] < b for a, b in base)]
+
+
 def test_masks_of_overlapping_and_long_spans(spark):
     long = "token=" + "ab1" * 1500
     rows = [(1, f"a {long} b"), (2, "x" * 1020 + " secret=abcdef z"), (3, "token=" + "0123456789abcdef" * 300 + " " + "AKIA" + "B" * 2000), (4, "é" * 1023 + "token:abcdef"), (5, "token=aaaaaa" * 90)]
