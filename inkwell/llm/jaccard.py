@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.blocks import answered, bucket_of, how_common, ranked, scattered, send
 from inkwell.llm.components import components
 from inkwell.llm.neardup import spanned
-from inkwell.llm.shared import few, free, saved, stored, tasks
+from inkwell.llm.shared import few, free, quoted, saved, stored, tasks
 from inkwell.llm.words import LOWER, ROLL, forget, mix, slices, span_hashes, text_buffers, window_hashes, word_bounds
 
 SHINGLE, PERCENT = 5, 80
@@ -318,10 +318,10 @@ def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     d, t, verdict = free(["d", "t", "gone"], docs.columns)
     marks = saved(gone.unionAll(again)).toDF(d, t, verdict)
     marked = docs.withColumns({d: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce("text", F.lit("")))}).join(marks, [d, t], "left")
-    once = marked.where(F.col(verdict).isNull()).select(*docs.columns)
+    once = marked.where(F.col(verdict).isNull()).select(*quoted(docs.columns))
     if marks.where(~F.col(verdict)).isEmpty():
         return once
-    return once.unionByName(marked.where(~F.col(verdict)).dropDuplicates([d, t]).select(*docs.columns))
+    return once.unionByName(marked.where(~F.col(verdict)).dropDuplicates([d, t]).select(*quoted(docs.columns)))
 
 
 JACCARD_SQL = r"""

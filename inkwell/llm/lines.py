@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.shared import Scratch, free
+from inkwell.llm.shared import Scratch, free, numbered, quoted
 from inkwell.llm.words import BASES, forget, slices, span_hashes, text_buffers, word_bounds
 
 #: Fewest words of a run of lines that is deleted.  One: each repeated line goes, however short it is.
@@ -169,14 +169,14 @@ def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Da
     names = free(["n_lines", "n_removed", "n_runs", "longest_run"], docs.columns)
     d, t, own, copy = free(["d", "t", "cuts", "copy"], docs.columns)
     keys = key_of(docs)
-    joined = docs.withColumns({d: keys[0], t: keys[1]}).join(marks.toDF(d, t, own, copy), [d, t], "left").select(*docs.columns, own, copy)
+    joined = docs.withColumns({d: keys[0], t: keys[1]}).join(marks.toDF(d, t, own, copy), [d, t], "left").select(*quoted(docs.columns), own, copy)
     at, width, all_names = docs.columns.index("text"), len(docs.columns), [*docs.columns, *names]
     blank = bytes(range(9, 14)) + b" "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, f"c{at}"):
                 texts, is_copy = part.column(at).cast(pa.binary()).to_pylist(), part.column(width + 1).to_pylist()
                 counts: list[list[int]] = [[], [], [], []]
                 for k, (text, runs) in enumerate(zip(texts, part.column(width), strict=True)):
@@ -203,7 +203,7 @@ def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Da
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=all_names)
 
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    return numbered(joined).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 LINES_SQL = r"""

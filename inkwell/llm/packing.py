@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.shared import free
+from inkwell.llm.shared import free, numbered
 from inkwell.llm.words import kept
 
 MAX_TOKENS = 2048
@@ -193,15 +193,16 @@ def pack(pieces: DataFrame, items: int | None = None, max_tokens: int = MAX_TOKE
         items = pieces.where(F.col("length") < max_tokens).count()
     blocks = max(1, -(-items // block_pieces))
     block, to, at = free(["_block", "sequence_id", "offset"], pieces.columns)
+    given, last = pieces.columns, f"c{len(pieces.columns)}"
     schema = T.StructType([*pieces.schema.fields, T.StructField(to, T.LongType()), T.StructField(at, T.LongType())])
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.drop_columns([block])
+        rows = rows.drop_columns([last]).rename_columns(given)
         rows = rows.take(pc.sort_indices(rows, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]))
         bins, offsets, _ = sum_of_squares(rows.column("length").to_numpy(), max_tokens)
         return rows.append_column(to, pa.array(bins + (key[0].as_py() << 40), pa.int64())).append_column(at, pa.array(offsets, pa.int64()))
 
-    return pieces.withColumn(block, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("long")).groupBy(block).applyInArrow(run, schema)
+    return numbered(pieces.withColumn(block, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("long"))).groupBy(last).applyInArrow(run, schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

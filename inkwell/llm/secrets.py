@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import free, saved, stored
+from inkwell.llm.shared import free, quoted, saved, stored
 
 #: The base patterns, in the order in which kinds are listed; group 2 of an assignment is its value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -272,7 +272,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     rows, _, spans_ = scanned(docs, wide=True)
-    return rows.withColumn("text", masked(F.col("text"), F.col(spans_))).select(*docs.columns)
+    return rows.withColumn("text", masked(F.col("text"), F.col(spans_))).select(*quoted(docs.columns))
 
 
 def scan(docs: DataFrame) -> DataFrame:

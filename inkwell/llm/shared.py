@@ -75,6 +75,16 @@ def free(names: Iterable[str], taken: Iterable[str]) -> list[str]:
     return out
 
 
+def quoted(names: Iterable[str]) -> list[str]:
+    """Names as Spark reads them whatever characters they hold, a full stop too."""
+    return ["`" + x.replace("`", "``") + "`" for x in names]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: what goes to Arrow is sought by name, which a full stop or a backtick in it would break."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 #: Narrow rows that one task takes of a table whose size has been counted.
 ROWS_A_TASK = 200_000
 

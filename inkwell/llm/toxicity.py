@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import saved
+from inkwell.llm.shared import numbered, saved
 from inkwell.llm.words import LOWER, forget, slices, span_hashes, text_buffers
 
 #: Buckets of hashed features; bounds what a model can hold.
@@ -215,12 +215,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def below(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows of docs, all columns whatever their names, whose text scores below the threshold; cases as for score()."""
-    of = scorer(model)
+    of, given, at = scorer(model), docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for part in slices(batch, "text"):
-                yield part.filter(pa.array(of(part.column("text")) < threshold))
+            for part in slices(batch, f"c{at}"):
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(of(part.column(at)) < threshold)).columns, names=given)
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)

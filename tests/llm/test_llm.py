@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from inkwell.llm import bpe, jaccard, langid, lines, neardup, packing, quality, queries, secrets, substring, toxicity
+from inkwell.llm import bpe, jaccard, langid, lines, neardup, packing, quality, queries, secrets, shared, substring, toxicity
 from inkwell.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -837,9 +837,9 @@ def test_near_copies_keep_each_text_once(spark):
 
 
 def test_pipeline_stages_on_clashing_names_and_no_rows(spark):
-    names = ["doc_id", "text", "lang", "source", "n_chars", "base", "runs", "spans", "n_lines", "n_removed", "sequence_id", "offset", "_block", "d", "t", "gone", "block", "at"]
-    rows = [(k, f"a line of text\nown line {k} token=abcdef{k}", "en", "s", 1, *[f"v{j}" for j in range(13)]) for k in range(4)]
-    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names[5:]))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "base", "runs", "spans", "n_lines", "n_removed", "sequence_id", "offset", "_block", "d", "t", "gone", "block", "at", "a.b", "c`d"]
+    rows = [(k, f"a line of text\nown line {k} token=abcdef{k}", "en", "s", 1, *[f"v{j}" for j in range(15)]) for k in range(4)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in shared.quoted(names[5:])))
     for at in (given, given.limit(0)):
         n = at.count()
         for _, stage in corpus_pipeline.STAGES[:-1]:
