@@ -21,7 +21,7 @@ def with_text(docs: DataFrame, out: DataFrame) -> DataFrame:
     """The columns of docs, n_chars as long as the text."""
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*shared.quoted(docs.columns))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
