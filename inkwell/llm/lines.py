@@ -73,24 +73,27 @@ def in_a_row(texts: DataFrame) -> DataFrame:
 
 
 def ranked(keyed: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
-    """p, rank, f from p, a, b: what stands at two places at least; ranks have the order of a and b, f is the first place of each."""
-    some = keyed.groupBy("a", "b").agg(F.min("p").alias("f"), F.max("p").alias("z")).where("f < z")
-    ranks = scratch.store(some.orderBy("a", "b").select("a", "b", "f", F.monotonically_increasing_id().alias("rank")), rows)
-    return scratch.store(keyed.join(ranks, ["a", "b"]).select("p", "rank", "f"), rows)
+    """p, rank, f, n from p, a, b, n: what stands at two places at least; ranks have the order of a and b, f is the first place of each.
+
+    n, the number of lines that a rank tells apart, is a column, so that all levels are one plan for Spark, whose code is compiled once.
+    """
+    some = keyed.groupBy("a", "b").agg(F.min("p").alias("f"), F.max("p").alias("z"), F.max("n").alias("n")).where("f < z")
+    ranks = scratch.store(some.orderBy("a", "b").select("a", "b", "f", "n", F.monotonically_increasing_id().alias("rank")), rows)
+    return scratch.store(keyed.select("p", "a", "b").join(ranks, ["a", "b"]).select("p", "rank", "f", "n"), rows)
 
 
 def suffix_ranks(places: DataFrame, rows: int, scratch: Scratch) -> list[tuple[DataFrame, int]]:
-    """For each k as long as there are any: p, rank, f of the suffixes whose first 2**k lines stand elsewhere as well, and their number.
+    """For each k as long as there are any: p, rank, f, n of the suffixes whose first n = 2**k lines stand elsewhere as well, and their number.
 
     Prefix doubling: the rank of 2n lines is that of a pair, the ranks of n lines here and n lines on.  Suffixes with one
     rank are an interval of the suffix array with a common prefix; a suffix with no such neighbour is settled and takes no further part.
     """
-    levels, now, n = [], ranked(places.select("p", F.col("rank").alias("a"), F.lit(0).alias("b")), rows, scratch), 1
+    zero, one = (F.lit(x).cast("long") for x in (0, 1))
+    levels, now = [], ranked(places.select("p", F.col("rank").alias("a"), zero.alias("b"), one.alias("n")), rows, scratch)
     while rows := now.count():
         levels.append((now, rows))
-        ahead = now.select((F.col("p") - n).alias("p"), F.col("rank").alias("b"))
-        now = ranked(now.select("p", F.col("rank").alias("a")).join(ahead, "p"), rows, scratch)
-        n *= 2
+        ahead = now.select((F.col("p") - F.col("n")).alias("p"), F.col("rank").alias("b"))
+        now = ranked(now.select("p", F.col("rank").alias("a"), (F.col("n") + F.col("n")).alias("n")).join(ahead, "p"), rows, scratch)
     return levels
 
 
@@ -99,25 +102,24 @@ def longest_earlier(levels: list[tuple[DataFrame, int]], scratch: Scratch) -> Da
 
     From the longest prefixes down.  (f, m) names an interval of the suffix array: the suffixes with the m lines
     that begin at f, the first of them.  In each step the suffixes of an interval, and f for it, are told apart by the rank
-    of their next 2**k lines: those that are not the first of theirs move on to a longer common prefix.  The others stay,
+    of their next n lines: those that are not the first of theirs move on to a longer common prefix.  The others stay,
     and need nothing of those that moved but f, so that each suffix is in one interval at a time.
     """
-    state = None
-    for k in reversed(range(len(levels))):
-        level, rows = levels[k]
-        new = level.where("p > f").select("p", F.lit(1 << k).cast("long").alias("m"), "f")
+    state, above = None, 0
+    for level, rows in reversed(levels):
+        new = level.where("p > f").select("p", F.col("n").alias("m"), "f")
+        both_rows, above = rows + above, rows  # what state has are suffixes of the level above
         if state is None:
             state = scratch.store(new, rows)
             continue
-        rows += levels[k + 1][1]  # what state has are suffixes of the level above
         heads = state.select(F.col("f").alias("p"), "m", "f").distinct()
         both = state.unionByName(heads).withColumn("q", F.col("p") + F.col("m"))
-        met = both.join(level.select(F.col("p").alias("q"), "rank"), "q", "left")
+        met = both.join(level.select(F.col("p").alias("q"), "rank", "n"), "q", "left")
         heirs = met.where("rank is not null").groupBy("f", "m", "rank").agg(F.min("p").alias("a"), F.max("p").alias("z")).where("a < z")
-        heirs = scratch.store(heirs.select("f", "m", "rank", "a"), rows)
+        heirs = scratch.store(heirs.select("f", "m", "rank", "a"), both_rows)
         on = F.col("a") < F.col("p")
-        moved = met.where("p > f").join(heirs, ["f", "m", "rank"], "left").select("p", F.when(on, F.col("m") + (1 << k)).otherwise(F.col("m")).alias("m"), F.when(on, F.col("a")).otherwise(F.col("f")).alias("f"))
-        state = scratch.store(moved.unionByName(new.join(state.select("p"), "p", "left_anti")), rows)
+        moved = met.where("p > f").join(heirs, ["f", "m", "rank"], "left").select("p", F.when(on, F.col("m") + F.col("n")).otherwise(F.col("m")).alias("m"), F.when(on, F.col("a")).otherwise(F.col("f")).alias("f"))
+        state = scratch.store(moved.unionByName(new.join(state.select("p"), "p", "left_anti")), both_rows)
     return state
 
 
