@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import langid
+from inkwell.llm import codes, langid
 from inkwell.llm.bpe import decode, encode
 from inkwell.llm.jaccard import JACCARD_SQL, similar_documents
 from inkwell.llm.lines import LINES_SQL, remove_repeated_lines
@@ -76,6 +76,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return out.drop("label").withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
 SUBSTRING_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 SQL: dict[str, str] = {
@@ -115,4 +121,5 @@ SQL: dict[str, str] = {
     "op6_line_dedup": LINES_SQL,
     "op8_jaccard_join": JACCARD_SQL,
     "op9_embedding_near_dedup": NEAR_SQL,
+    "op12_vector_codes": codes.codes_sql(),
 }
