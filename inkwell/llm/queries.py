@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import codes, langid
+from inkwell.llm import codes, langid, merkle
 from inkwell.llm.bpe import decode, encode
 from inkwell.llm.jaccard import JACCARD_SQL, similar_documents
 from inkwell.llm.lines import LINES_SQL, remove_repeated_lines
@@ -81,6 +81,16 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("label").withColumn("codebooks_sha256", F.lit(codes.digest(books)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = [F.col(c) for c in merkle.FIELDS]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    other = F.when(F.coalesce(tampered, F.lit(False)), merkle.leaf(*first, merkle.lower_ascii(F.col("text"))))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "lang", merkle.leaf(*first, F.col("text")).alias("leaf"), other.alias("tampered"))
+    out = merkle.manifest(leaves)
+    ended = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return ended.select("doc_id", "leaf", "subroot", "root", merkle.sha(merkle.siblings(F.col("proof"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 SUBSTRING_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -112,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
     "op12_vector_codes": op12_vector_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -122,4 +133,5 @@ SQL: dict[str, str] = {
     "op8_jaccard_join": JACCARD_SQL,
     "op9_embedding_near_dedup": NEAR_SQL,
     "op12_vector_codes": codes.codes_sql(),
+    "op13_merkle_manifest": merkle.manifest_sql(),
 }
