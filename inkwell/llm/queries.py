@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import codes, langid, merkle
+from inkwell.llm import codes, langid, merkle, pitmanyor
 from inkwell.llm.bpe import decode, encode
 from inkwell.llm.jaccard import JACCARD_SQL, similar_documents
 from inkwell.llm.lines import LINES_SQL, remove_repeated_lines
@@ -76,6 +76,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), pitmanyor.held_out(F.col("doc_id"))
+    model = pitmanyor.train(docs.where(~out))
+    return pitmanyor.score(docs, model).withColumns({"held_out": out, "train_tokens": F.lit(model.n_tokens).cast("long")})
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = codes.compress(table(spark, sf_dir, "embeddings"))
     return out.drop("label").withColumn("codebooks_sha256", F.lit(codes.digest(books)))
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_pitman_yor": op11_pitman_yor,
     "op12_vector_codes": op12_vector_codes,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
