@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import bold_marked_markup, natural_key, sibling_name
 from inkwell.operators import exports, styles
+from inkwell.plans import typeset
 from inkwell.sources import pdf, pdf_file
 
 #: A tag of any kind, or the text's beginning, and the text up to the next tag; of the tag its name, led by a slash if it closes.
@@ -219,3 +220,7 @@ SQL: dict[str, str] = {
     "scan_folder": "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name",
     "natural_names": f"SELECT doc_id, {KEY.format('(' + NAME + ')')} AS key FROM documents",
 }
+
+for _queries, _sql in ((typeset.QUERIES, typeset.SQL),):
+    QUERIES |= _queries
+    SQL |= _sql
