@@ -37,3 +37,16 @@ def bold_marked_markup(markup: Column) -> Column:
 def sibling_name(path: Column, extension: str = ".txt") -> Column:
     """path with the extension in place of .pdf; null if it does not end in .pdf, so that no input is ever written over."""
     return F.when(path.rlike(r"(?i)\.pdf$"), F.regexp_replace(path, r"(?i)\.pdf$", extension))
+
+
+def bold_merged(runs: Column) -> Column:
+    """As bold_marked(), with one pair of brackets around bold runs that touch; runs without text part nothing.  Null runs give null."""
+    said = F.transform(runs, lambda r: F.struct(F.coalesce(r["text"], F.lit("")).alias("text"), F.coalesce(r["bold"], F.lit(False)).alias("bold")))
+    full = F.filter(said, lambda r: r["text"] != "")
+
+    def marked(r: Column, i: Column) -> Column:
+        before, after = F.get(full, i - 1)["bold"], F.get(full, i + 1)["bold"]
+        opens, closes = r["bold"] & ~F.coalesce(before, F.lit(False)), r["bold"] & ~F.coalesce(after, F.lit(False))
+        return F.concat(F.when(opens, OPEN).otherwise(""), r["text"], F.when(closes, CLOSE).otherwise(""))
+
+    return F.array_join(F.transform(full, marked), "")

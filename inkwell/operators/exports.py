@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import bold_marked, natural_key, sibling_name
+from inkwell.operators.order import positions
 
 #: Formats an annotation of its number and text.
 Entry = Callable[[Column, Column], Column]
@@ -46,12 +47,13 @@ def with_output_name(exports: DataFrame) -> DataFrame:
 
 
 def merge_order(files: DataFrame, name: str = "path", by: Sequence[str] = ()) -> DataFrame:
-    """files with position, from 1, in the natural order of their names.
+    """files with position, from 1, in the natural order of their names; a column named position is written over.
 
-    by: folders, or whatever is merged apart.  Without it all files get one order, which one task makes; files of one merge are few.
+    by: folders, or whatever is merged apart.  Without it all files get one order.  Either way ranges of the order are tasks of their own (see
+    order.positions()).  Names that tie follow the other columns.  An empty table gives an empty result.
     """
-    window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(natural_key(F.col(name)), *dict.fromkeys([name, *files.columns]))
-    return files.withColumn("position", F.row_number().over(window))
+    columns = [c for c in files.columns if c != "position"]
+    return positions(files, by, [natural_key(F.col(name)), *map(F.col, dict.fromkeys([name, *columns]))])
 
 
 def merge_text(files: DataFrame, by: Sequence[str], name: str, ties: Sequence[str], text: str, separator: str = "\n") -> DataFrame:
@@ -61,12 +63,12 @@ def merge_text(files: DataFrame, by: Sequence[str], name: str, ties: Sequence[st
     return keyed.groupBy(*by).agg(F.array_join(F.transform(parts, lambda r: r["_t"]), separator).alias("text"))
 
 
-def merge_pieces(files: DataFrame, by: Sequence[str], name: str, ties: Sequence[str], text: str, separator: str = "\n") -> DataFrame:
-    """files with position, from 1, and start: where each text stands if its group's are one after another, as in merge_text().
+def merge_pieces(files: DataFrame, by: Sequence[str], name: str, ties: Sequence[str], text: str | None = None, separator: str = "\n", length: Column | None = None) -> DataFrame:
+    """files with position, from 1, and start: where each text stands if its group's are one after another, as in merge_text(); columns of these names are written over.
 
-    A row for each file, so that a merged text may be longer than a value can be; what orders a group sorts its rows, on disk if need be.
+    text: their column, or length its characters, where the texts themselves need not come along.
+    A row for each file, so that a merged text may be longer than a value can be; ranges of a group's order are tasks of their own (see
+    order.positions()).  A null text is empty.  Rows that tie in name and ties follow each other in any order.  An empty table gives an empty result.
     """
-    window = Window.partitionBy(*by).orderBy(natural_key(F.col(name)), name, *ties)
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length(F.coalesce(text, F.lit(""))).cast("long") + len(separator)
-    return files.withColumns({"position": F.row_number().over(window), "start": F.coalesce(F.sum(size).over(before), F.lit(0))})
+    size = F.coalesce(F.length(text) if length is None else length, F.lit(0)).cast("long") + len(separator)
+    return positions(files, by, [natural_key(F.col(name)), F.col(name), *map(F.col, ties)], size)

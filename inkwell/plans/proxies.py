@@ -162,8 +162,8 @@ def merge_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As merge_concat, piece by piece: where each document stands in its language's and part's text."""
-    docs = table(spark, sf_dir, "documents").withColumn("part", F.substring("source", -1, 1))
-    return exports.merge_pieces(docs, ["lang", "part"], "source", ["doc_id"], "text").select("lang", "part", "doc_id", "position", "start")
+    docs = table(spark, sf_dir, "documents").select("lang", F.substring("source", -1, 1).alias("part"), "source", "doc_id", F.length("text").alias("length"))
+    return exports.merge_pieces(docs, ["lang", "part"], "source", ["doc_id"], length=F.col("length")).select("lang", "part", "doc_id", "position", "start")
 
 
 def natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:

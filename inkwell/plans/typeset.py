@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import layout, styles
+from inkwell.operators import anchors, layout, marks, styles
+from inkwell.sources.stored import stored
 
 PAGE = ("conv_id", "page")
 BLANK = r"[\x20\x09-\x0D]+"
@@ -49,6 +50,11 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(kana)
 
 
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """glyphs() as a table, for what reads them several times."""
+    return stored(glyphs(spark, sf_dir), "glyphs")
+
+
 def text_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = styles.keep_styles(glyphs(spark, sf_dir), drop_fonts=["Kana"])
     return layout.reading_order(kept, PAGE, F.col("down"))
@@ -77,20 +83,49 @@ def text_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kana_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word that each reading belongs to."""
-    placed = glyphs(spark, sf_dir)
+    placed = table(spark, sf_dir)
     found = layout.base_of_small(placed.where("font = 'Kana'"), placed.where("font <> 'Kana'"), "ord", PAGE)
     return found.select(*PAGE, "ord", "base", "distance")
 
 
 def kana_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text with each reading in brackets behind its word."""
-    placed = glyphs(spark, sf_dir).withColumn("stream", F.col("ord"))
+    placed = table(spark, sf_dir).withColumn("stream", F.col("ord"))
     kana, text = placed.where("font = 'Kana'"), placed.where("font <> 'Kana'")
     read = layout.with_readings(text, layout.base_of_small(kana, text, "stream", PAGE), "stream", PAGE)
     return layout.reading_text(layout.reading_order(read, PAGE, F.col("down")), PAGE, word=" ")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (column_text, run_notes, size_thresholds, text_by_threshold, kana_bases, kana_readings)}
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A note at every seventh word of a page, a little off its upper right corner."""
+    return words(spark, sf_dir).where("k % 7 = 2").selectExpr("conv_id", "page", "k as idx", "x1 + k % 3 - 1 as x", "top - 0.5 as y", "concat('note ', k) as contents")
+
+
+def note_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each note with the font and size of the word whose corner is nearest."""
+    corners = glyphs(spark, sf_dir).where("font <> 'Kana'").selectExpr("conv_id", "page", "x1 as x", "top as y", "font", "size", "ord as word")
+    return anchors.note_styles(notes(spark, sf_dir), corners, PAGE, ["font", "size", "word"], reach=4.0)
+
+
+def notes_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes of each conversation, led by the style of the run that they stand at."""
+    runs = layout.style_runs(text_in_order(spark, sf_dir), PAGE, distance=4.0)
+    at_runs = runs.selectExpr("conv_id", "page", "run as idx", "x", "y", "concat('run ', run) as contents")
+    return anchors.export_styled(at_runs, runs, ["conv_id"], ["page", "idx"], PAGE)
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose words are marked bold by tags that nest, touch, stay open, close twice or hold nothing."""
+    cut = turns(spark, sf_dir).select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), BLANK).alias("w"))
+    mark = "case k % 13 when 2 then concat('<b>', w) when 3 then concat(w, '<i><b>x</b></i>') when 5 then concat(w, '</b>') when 6 then concat('<b>', w, '</b>') when 8 then concat('</b>', w) when 9 then concat('<b></b>', w) when 11 then concat('<b>', w) else w end"
+    return cut.selectExpr("conv_id", "turn", f"array_join(transform(w, (w, k) -> {mark}), '') as html")
+
+
+def nested_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks.bold_text(marked(spark, sf_dir), ["conv_id", "turn"], "html")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (column_text, run_notes, size_thresholds, text_by_threshold, kana_bases, kana_readings, note_fonts, notes_export, nested_bold)}
 
 WORDS = r"""WITH cut AS (
   SELECT conv_id, turn AS page, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM conversations
@@ -129,4 +164,35 @@ SELECT conv_id, page, run, font, size, string_agg(text, ' ' ORDER BY k) AS text,
     "text_by_threshold": WORDS + "SELECT conv_id, page, count(*) AS n_glyphs, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(size) AS least FROM sizes JOIN thresholds USING (conv_id) WHERE best IS NULL OR size >= -best.less GROUP BY conv_id, page",
     "kana_bases": WORDS + "SELECT conv_id, page, CAST(ord + 200000 AS INT) AS ord, ord AS base, CAST(3 AS DOUBLE) AS distance FROM words WHERE k % 11 = 5",
     "kana_readings": WORDS + "SELECT conv_id, page, string_agg(sep || text || CASE WHEN k % 11 = 5 THEN '《' || left(text, 2) || '》' ELSE '' END, '' ORDER BY k) AS text FROM words GROUP BY conv_id, page",
+    "note_fonts": WORDS + "SELECT conv_id, page, CAST(k AS INT) AS idx, x1 + k % 3 - 1 AS x, top - 0.5 AS y, 'note ' || k AS contents, font, size, ord AS word FROM words WHERE k % 7 = 2",
+    "notes_export": WORDS + """, boxes AS (
+  SELECT *, CASE WHEN k = 0 THEN 0 WHEN page % 2 = 1 THEN x1 - 10 ELSE x1 - 52 END AS x0, CASE WHEN k = 0 THEN 16 WHEN page % 2 = 1 THEN top + 52 ELSE top + 10 END AS bottom FROM words
+), marked AS (
+  SELECT *, CAST(k = 0 OR (font, size) <> lag((font, size)) OVER w OR greatest(x0 - lag(x1) OVER w, lag(x0) OVER w - x1, top - lag(bottom) OVER w, lag(top) OVER w - bottom) > 4 AS INT) AS new
+  FROM boxes WINDOW w AS (PARTITION BY conv_id, page ORDER BY k)
+), numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY conv_id, page ORDER BY k) AS run FROM marked
+), runs AS (
+  SELECT conv_id, page, run, any_value(font) AS font, any_value(size) AS size FROM numbered GROUP BY conv_id, page, run
+)
+SELECT conv_id, string_agg(font || chr(9) || CAST(size AS VARCHAR) || chr(9) || 'run ' || run, chr(10) ORDER BY page, run) AS text FROM runs GROUP BY conv_id""",
+    "nested_bold": r"""WITH cut AS (
+  SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') AS ws FROM conversations
+), each AS (
+  SELECT conv_id, turn, unnest(range(len(ws))) AS k, unnest(ws) AS w FROM cut
+), tokens AS (
+  SELECT conv_id, turn, k, unnest(CASE k % 13 WHEN 2 THEN ['+', w] WHEN 3 THEN [w, '+', 'x', '-'] WHEN 5 THEN [w, '-'] WHEN 6 THEN ['+', w, '-'] WHEN 8 THEN ['-', w] WHEN 9 THEN ['+', '-', w] WHEN 11 THEN ['+', w] ELSE [w] END) AS t,
+    unnest(CASE k % 13 WHEN 2 THEN [1, 0] WHEN 3 THEN [0, 1, 0, -1] WHEN 5 THEN [0, -1] WHEN 6 THEN [1, 0, -1] WHEN 8 THEN [-1, 0] WHEN 9 THEN [1, -1, 0] WHEN 11 THEN [1, 0] ELSE [0] END) AS step,
+    unnest(range(4)[1:len(CASE k % 13 WHEN 2 THEN [1, 0] WHEN 3 THEN [0, 1, 0, -1] WHEN 5 THEN [0, -1] WHEN 6 THEN [1, 0, -1] WHEN 8 THEN [-1, 0] WHEN 9 THEN [1, -1, 0] WHEN 11 THEN [1, 0] ELSE [0] END)]) AS j
+  FROM each
+), sums AS (
+  SELECT *, sum(step) OVER (PARTITION BY conv_id, turn ORDER BY k, j) AS d FROM tokens
+), deep AS (
+  SELECT *, d - least(min(d) OVER (PARTITION BY conv_id, turn ORDER BY k, j), 0) > 0 AS bold FROM sums
+), texts AS (
+  SELECT *, coalesce(lag(bold) OVER w, false) AS was, coalesce(lead(bold) OVER w, false) AS then_ FROM deep WHERE step = 0 AND t <> '' WINDOW w AS (PARTITION BY conv_id, turn ORDER BY k, j)
+), said AS (
+  SELECT conv_id, turn, string_agg(CASE WHEN bold AND NOT was THEN '【' ELSE '' END || t || CASE WHEN bold AND NOT then_ THEN '】' ELSE '' END, '' ORDER BY k, j) AS text FROM texts GROUP BY conv_id, turn
+)
+SELECT DISTINCT c.conv_id, c.turn, coalesce(said.text, '') AS text FROM conversations c LEFT JOIN said ON said.conv_id = c.conv_id AND said.turn = c.turn""",
 }
