@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from inkwell.functions.text import bold_marked_markup, natural_key, sibling_name
 from inkwell.operators import exports, styles
 from inkwell.plans import typeset
-from inkwell.sources import pdf, pdf_file
+from inkwell.sources import pdf, pdf_file, texts
+from inkwell.sources.stored import shared_folder
 
 #: A tag of any kind, or the text's beginning, and the text up to the next tag; of the tag its name, led by a slash if it closes.
 RUN, TAG = r"(^|<[^>]*>)([^<]+)", r"^<(/?[a-zA-Z][a-zA-Z0-9]*)"
@@ -172,11 +174,23 @@ def natural_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", natural_key(name).alias("key"))
 
 
+def exported_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's text written to a file of its own and read again: length in bytes and digest of those that the listing does not rule out."""
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    out = exports.export_plain(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "text")
+    texts.write_texts(out.withColumn("out", F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".txt"))), folder)
+    read = texts.read_texts(spark, folder).where("length >= 400 and name like 'c%'")
+    return read.select(F.regexp_extract("name", r"c(\d+)", 1).cast("long").alias("conv_id"), "length", F.md5("text").alias("md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, merge_pieces, natural_names, locked_text, annotation_info, annotation_styles, merged_pages, scan_folder)
+    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, merge_pieces, natural_names, annotation_info, exported_texts)
 }
 
+#: Tested as the others, but not registered: they try the reading and writing of PDF files, of which the driver's tables have none.
+FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (locked_text, annotation_styles, merged_pages, scan_folder)}
+
 RUNS = r"""WITH raw AS (
   SELECT page_id, regexp_extract_all(html, '(^|<[^>]*>)([^<]+)') AS rs FROM pages
 ), cut AS (
@@ -217,10 +231,11 @@ SQL: dict[str, str] = {
     "annotation_info": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, string_agg(concat_ws(chr(9), CAST(k AS VARCHAR), coalesce(role, ''), 'turn ' || turn, coalesce(text, '')), chr(10) ORDER BY k) AS text FROM n GROUP BY conv_id",
     "annotation_styles": "WITH t AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations), s AS (SELECT conv_id, page, 'Head' AS subject, 'Head 12.0' AS contents FROM t WHERE ls[1] <> '' UNION ALL SELECT conv_id, page, 'Body', 'Body 10.0' FROM t WHERE len(list_filter(ls[2:], lambda x: x <> '')) > 0) SELECT * FROM s",
     "merged_pages": "WITH t AS (SELECT right(CAST(conv_id AS VARCHAR), 1) AS digit, CAST(row_number() OVER (PARTITION BY right(CAST(conv_id AS VARCHAR), 1) ORDER BY conv_id, turn) AS INT) AS page, replace(coalesce(text, ''), chr(10), '') AS text FROM conversations) SELECT * FROM t WHERE text <> ''",
+    "exported_texts": "WITH t AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(octet_length(encode(text)) AS BIGINT) AS length, md5(text) AS md5 FROM t WHERE octet_length(encode(text)) >= 400",
     "scan_folder": "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name",
     "natural_names": f"SELECT doc_id, {KEY.format('(' + NAME + ')')} AS key FROM documents",
 }
 
-for _queries, _sql in ((typeset.QUERIES, typeset.SQL),):
-    QUERIES |= _queries
-    SQL |= _sql
+FILE_SQL = {name: SQL.pop(name) for name in FILE_QUERIES}
+QUERIES |= typeset.QUERIES
+SQL |= typeset.SQL

@@ -1,4 +1,4 @@
-"""PDF files as DataFrames: scan, decode, annotate, merge, and the texts written beside them."""
+"""PDF files as DataFrames: scan, decode, annotate, merge."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from inkwell.schema import ANNOTATIONS, GLYPHS
 from inkwell.sources import pdf_file
 
 
-
 def scan(spark: SparkSession, path: str, pattern: str = "*.{pdf,PDF}", recursive: bool = False) -> DataFrame:
     """path, modificationTime, length and content of a PDF file or of all PDFs of a folder.
 
@@ -43,7 +42,12 @@ def decoded(files: DataFrame, rows_of: Callable, schema, password: str, errors:
                     raise pdf_file.PdfError(f"{path}: {error}") from error
                 yield pa.RecordBatch.from_pylist([dict(zip(kinds, r, strict=True)) for r in rows], schema=to_arrow(schema))
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return dealt(files.select("path", "content")).mapInArrow(run, schema)
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """files in as many partitions as shuffles have: what a file costs is not its bytes, by which small partitions are put together."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def to_arrow(schema) -> pa.Schema:
@@ -105,29 +109,3 @@ def merge(files: DataFrame, by: Column | None = None, password: str = "") -> Dat
         return pa.table({"by": rows.column("by")[:1].cast(pa.string()), "content": pa.array([content], pa.binary())})
 
     return ordered.select("by", "position", "content").groupBy("by").applyInArrow(run, "by string, content binary")
-
-
-def write_texts(exports: DataFrame, text: str = "text", out: str = "out") -> DataFrame:
-    """Writes each text to its own file (UTF-8) where out names it; path, out and bytes of what was written.
-
-    For folders that all executors share, mounted as such: out is a path of the file system, or file:// and one.  A null out is
-    left alone, so that no input is written over.  A task that runs again writes the same bytes.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import urllib.parse
-
-        for batch in batches:
-            done = []
-            for path, to, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                place = urllib.parse.unquote(urllib.parse.urlparse(to).path) if to.startswith("file:") else to
-                data = (body or "").encode()
-                part = f"{place}.{os.getpid()}.part"
-                with open(part, "wb") as file:
-                    file.write(data)
-                os.replace(part, place)
-                done.append((path, to, len(data)))
-            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["path", "out", "bytes"])
-
-    return exports.where(F.col(out).isNotNull()).select("path", F.col(out).alias("out"), F.col(text).alias("text")).mapInArrow(run, "path string, out string, bytes long")

@@ -86,12 +86,12 @@ def test_natural_order(spark):
     assert rows.select(natural_key(F.col("path"))).where("path is null").first()[0] is None
 
 
-@pytest.mark.parametrize("name", list(proxies.QUERIES))
+@pytest.mark.parametrize("name", [*proxies.QUERIES, *proxies.FILE_QUERIES])
 def test_proxy_equals_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    got, want = proxies.QUERIES[name](spark, SF).toPandas(), con.execute(proxies.SQL[name]).df()
+    got, want = (proxies.QUERIES | proxies.FILE_QUERIES)[name](spark, SF).toPandas(), con.execute((proxies.SQL | proxies.FILE_SQL)[name]).df()
     assert len(got) and sorted(got.columns) == sorted(want.columns)
     got, want = (x[sorted(x.columns)].astype(str).sort_values(sorted(x.columns)).reset_index(drop=True) for x in (got, want))
     assert got.equals(want)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import exports, styles
-from inkwell.sources import pdf, pdf_file
+from inkwell.sources import pdf, pdf_file, texts
 from inkwell.sources.pdf_file import Name, Ref, Stream
 
 RICH = '<?xml version="1.0"?><body><p style="font-size:10pt">plain <span style="font-weight:bold">bold</span> end</p><p><b>two</b></p></body>'
@@ -53,8 +53,8 @@ def test_annotations(spark, folder):
     assert [(r["author"], r["subject"], r["contents"]) for r in rows] == [("ann", "F1 12", "plain bold end\ntwo"), (None, None, "café")]
     out = exports.with_output_name(exports.export_bold(notes))
     assert out.first()["text"] == "plain 【bold】 end\n【two】\ncafé"
-    wrote = pdf.write_texts(out).collect()
-    assert [r["out"].endswith("/p2.txt") for r in wrote] == [True]
+    assert [r["out"].endswith("/p2.txt") for r in out.collect()] == [True]
+    texts.write_texts(out, folder)
     with open(f"{folder}/p2.txt", encoding="utf-8") as file:
         assert file.read() == out.first()["text"]
 
