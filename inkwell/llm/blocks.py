@@ -11,8 +11,7 @@ n**2 / (B * 2**65) pairs, below one at 10**13 items in 10**7 buckets.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -21,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import text_size
+from inkwell.llm.shared import tasks, text_size
 from inkwell.llm.words import forget
 
 #: Text bytes of a block and hashes of a bucket: some hundred MB of a worker's memory at most.
 BLOCK_BYTES = 8 << 20
 BUCKET_ITEMS = 2 << 20
-#: Ranges of ids that the driver bounds; a range is divided evenly if there are more blocks.
+#: Ranges of ids whose bounds the driver gets, about; a range is divided evenly if there are more blocks.
 MOST_RANGES = 1 << 16
 #: Bytes of text for each hash, about a word.
 ITEM_BYTES = 6
@@ -36,12 +35,16 @@ SENT = "bucket int, block int, n int, width int, first long, packed binary, coun
 ANSWER = "block int, bucket int, codes binary"
 
 
-def ladder(value: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are <= value: a binary search as one expression."""
+#: Bytes that a row counts as besides its text.
+ROW_BYTES = 64
+
+
+def ladder(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are <= value, all of them long: a binary search as one expression."""
     if not bounds:
         return F.lit(0)
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    table = F.lit([float(b) for b in bounds])
+    table = F.lit(bounds).cast("array<long>")
 
     def step(at: Column, by: Column) -> Column:
         to = at + by
@@ -71,39 +74,68 @@ def scattered(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
     return keyed(docs).withColumn("block", F.pmod(F.xxhash64("t", "doc_id"), F.lit(n)).cast("int")), size
 
 
+def range_edges(sized: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
+    """Ids, ascending, at which ranges of about block_bytes begin, and for an id of more bytes than that how many; from sized: doc_id, size, not null.
+
+    Ids are added up, dealt by ranges and sorted; each task cuts its own where the bytes are full, so the driver gets a row for each range.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = -1
+        for batch in batches:
+            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            large = np.append(np.flatnonzero(sizes > block_bytes), len(ids))
+            out: list[tuple[int, int]] = []
+            i = 0
+            while i < len(ids):
+                if sizes[i] > block_bytes:
+                    out.append((int(ids[i]), int(sizes[i])))
+                    i, room = i + 1, -1
+                    continue
+                if room < sizes[i]:
+                    out.append((int(ids[i]), 0))
+                    room = block_bytes
+                j = min(int(np.searchsorted(total, total[i] + room, "right")) - 1, int(large[np.searchsorted(large, i)]))
+                room -= int(total[j] - total[i])
+                i = j
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["edge", "size"])
+
+    ids = sized.groupBy("doc_id").agg(F.sum("size").alias("size"))
+    ranges = ids.repartitionByRange(tasks(sized.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "edge long, size long").toArrow()
+    return sorted(zip(ranges.column("edge").to_pylist(), ranges.column("size").to_pylist(), strict=True))
+
+
 def blocked(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """keyed() and block, ascending with doc_id (null first), then t; bytes of text.
 
-    Bounds are quantiles of doc_id by bytes of text, MOST_RANGES at most; a range of several blocks is divided evenly by
-    id.  An id that is several quantiles, and null ids by their bytes, get blocks of their own, dealt by t.  Equal rows meet in one block.
+    Ranges of doc_id have about block_bytes each, up to MOST_RANGES of them; beyond, a range is divided evenly by id.  An id
+    that has more, and null ids by their bytes, get blocks of their own, dealt by t.  Equal rows meet in one block.  Ids are compared as integers.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    row = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("size"))), F.lit(0)).alias("nulls"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
-    n = max(1, -(-row["size"] // block_bytes))
-    if n == 1:
+    weight = F.col("size") + ROW_BYTES
+    row = sized.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum(weight), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), weight)), F.lit(0)).alias("nulls"), F.max("doc_id").alias("z")).first()
+    if row["all"] <= block_bytes:
         return keyed(docs).withColumn("block", F.lit(0)), row["size"]
     nulls = max(1, -(-row["nulls"] // block_bytes))
-    m = min(n, MOST_RANGES)
-    each = -(-n // m)
-    # a long text counts as often as it has units, so that blocks are even by bytes; rows of the others' mean size at least
-    unit = F.lit(max(block_bytes // 64, 1))
-    weighed = sized.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / unit).cast("int"))).alias("unit"))
-    bounds = weighed.stat.approxQuantile("doc_id", [i / m for i in range(1, m)], 0.1 / m) if row["a"] is not None else []
-    times = Counter(int(b) for b in bounds)
-    marks = sorted(times)
-    if not marks:
-        return keyed(docs).withColumn("block", F.when(F.col("doc_id").isNull(), hash_part(F.col("t"), nulls)).otherwise(nulls).cast("int")), row["size"]
-    own = [each * (times[b] - 1) for b in marks]  # blocks of the bound's id alone
-    first = [nulls, *(nulls + each * (k + 1) + sum_ for k, sum_ in enumerate(accumulate([0, *own[:-1]])))]
-    edges = [row["a"], *marks, row["z"]]
-    at = ladder(F.col("doc_id").cast("double"), marks)
-    of = lambda values: F.element_at(F.lit(values), F.col("at") + 1)
-    lone = of([0, *own])
-    low, high = (of([float(e) for e in x]) for x in (edges[:-1], edges[1:]))
-    share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * each
-    inside = lone + F.greatest(F.least(F.floor(share), F.lit(each - 1)), F.lit(0))
-    block = F.when(F.col("doc_id").isNull(), hash_part(F.col("t"), nulls)).otherwise(of(first) + F.when((lone > 0) & (F.col("doc_id") == of(edges[:-1])), hash_part(F.col("t"), lone)).otherwise(inside))
-    return keyed(docs).withColumn("at", F.coalesce(at, F.lit(0))).withColumn("block", block.cast("int")).drop("at"), row["size"]
+    null_block = hash_part(F.col("t"), nulls)
+    if row["z"] is None:
+        return keyed(docs).withColumn("block", null_block.cast("int")), row["size"]
+    each = -(-row["all"] // (block_bytes * MOST_RANGES))
+    found = range_edges(sized.where("doc_id is not null").select("doc_id", weight.alias("size")), block_bytes * each)
+    edges = [edge for edge, _ in found]
+    own = [-(-size // block_bytes) for _, size in found]  # blocks of the edge's id alone
+    first = [nulls, *(nulls + k for k in accumulate(max(n, each) for n in own))][: len(own)]
+    of = lambda values: F.element_at(F.lit(values), F.col("at"))
+    block = of(first)
+    if any(own):
+        block = block + F.when(of(own) > 0, hash_part(F.col("t"), F.greatest(of(own), F.lit(1)))).otherwise(0)
+    if each > 1:  # doubles, which keep the order of ids, if not all differences
+        low, high = (of([float(e) for e in x]) for x in (edges, [*edges[1:], row["z"]]))
+        share = F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * each)
+        block = block + F.when(of(own) > 0, 0).otherwise(F.greatest(F.least(share, F.lit(each - 1)), F.lit(0)))
+    at = F.coalesce(ladder(F.col("doc_id"), edges), F.lit(1))
+    return keyed(docs).withColumn("at", F.greatest(at, F.lit(1))).withColumn("block", F.when(F.col("doc_id").isNull(), null_block).otherwise(block).cast("int")).drop("at"), row["size"]
 
 
 def in_order(rows: pa.Table) -> pa.Table:

@@ -107,6 +107,13 @@ def test_packing_keeps_columns_of_its_names(spark):
     assert sorted((tuple(r)[:6], r["offset_"]) for r in got.collect() if r["doc_id"]) == [((1, 0, 5, "a", "b", "c"), 0), ((1, 0, 5, "a", "b", "c"), 5)]
 
 
+def test_blocks_of_pieces_are_even_whatever_ids_there_are(spark):
+    for rows in ([(None, 0, k % 90 + 1) for k in range(4000)], [(5, 0, 3)] * 4000, [(k, 0, 9) for k in range(4000)]):
+        given = spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(3)
+        got = packing.pack(given, items=4000, max_tokens=100, block_pieces=500).select((F.col("sequence_id") / 2**40).cast("long").alias("b")).groupBy("b").count().collect()
+        assert len(got) == 8 and max(r["count"] for r in got) < 700 and sum(r["count"] for r in got) == 4000
+
+
 def test_sum_of_squares_is_near_the_bound():
     sizes = np.sort(np.random.default_rng(7).integers(1, 2048, 3000))[::-1]
     bins, offsets, used = packing.sum_of_squares(sizes, 2048)
@@ -326,6 +333,24 @@ def brute_substring(spark, rows, window):
     return out
 
 
+def test_one_long_run_costs_its_length(spark):
+    """Base64 with slashes and pluses, or mixed with the other alphabet: twice the length takes about twice the time."""
+    import time
+
+    rng = np.random.default_rng(5)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz+-/_"):
+        took = []
+        for size in (20_000, 400_000, 800_000):  # the first compiles
+            text = "".join(rng.choice(list(alphabet), size))
+            df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+            began = time.time()
+            assert secrets.scan(df).select("spans").count() == 1
+            spans = secrets.scan(df).first()["spans"]
+            assert len(spans) >= 1
+            took.append(time.time() - began)
+        assert took[2] <= 2.5 * took[1] + 2, took
+
+
 @pytest.mark.parametrize("window", [2, 20])
 def test_substring_dedup(spark, docs, empty, window):
     got = substring.remove_repeats(docs, window)
@@ -348,6 +373,19 @@ def test_substring_dedup_over_many_blocks(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(brute_substring(spark, rows, 5), key=str)
 
 
+@pytest.mark.parametrize("base", [0, 1 << 60, -(1 << 63), (1 << 63) - 400])
+def test_substring_dedup_of_ids_that_no_double_tells_apart(spark, monkeypatch, base):
+    from inkwell.llm import blocks
+
+    monkeypatch.setattr(blocks.blocked, "__defaults__", (4000,))
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(base + k, " ".join(f"w{k}x{i}" for i in range(30)) + (f" {passage}" if k in (200, 256) else "")) for k in range(400)]
+    given = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(given).collect()}
+    assert got.pop(base + 256) == 30 and set(got.values()) == {0}
+    assert blocks.blocked(given)[0].select("block").distinct().count() >= 30
+
+
 def test_blocks_are_even_by_bytes(spark):
     """Whether all rows have one id or none, or a few long texts stand among short ones; and blocks ascend with the id."""
     from inkwell.llm import blocks
@@ -357,10 +395,14 @@ def test_blocks_are_even_by_bytes(spark):
         "no id": [(None, f"{k:05d} " * 20) for k in range(300)],
         "half one id": [(7 if k % 2 else k, f"{k:05d} " * 20) for k in range(600)],
         "long texts": [(k, "long " * 1600) if k % 100 == 7 else (k, "s") for k in range(2000)],
+        "large ids": [((1 << 60) + k, f"{k:05d} " * 20) for k in range(300)],
+        "ids below zero": [(k - (1 << 63), f"{k:05d} " * 20) for k in range(300)],
+        "ids at both ends": [(k if k % 2 else (1 << 62) + k, f"{k:05d} " * 20) for k in range(600)],
+        "empty texts": [(k, "") for k in range(2000)],
         "far ids": [((1 << 62) - (k << 50), f"{k:05d} " * 20) for k in range(300)] + [(-(1 << 62), "x")],
     }
     for name, rows in tables.items():
-        given, size = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t) for _, t in rows)
+        given, size = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t or "") for _, t in rows)
         for dealt, _ in (blocks.blocked(given, 4000), blocks.scattered(given, 4000)):
             got = dealt.collect()
             assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(rows, key=str)
