@@ -21,8 +21,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: A candidate for the tests: a whole run of what encodings use with its final padding, of this length at least; other = part runs.
 LEAST_RUN = 24
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{%d})[A-Za-z0-9+/_-]++(?:=++(?![A-Za-z0-9+/_-]))?+" % LEAST_RUN
-#: A run that mixes both of these fits no encoding; it is cut at the ones and, apart from that, at the others.
-MIXED = r"[+/].*[_-]|[_-].*[+/]"
+#: A run that mixes both of these fits no encoding; it is cut at the ones and, apart from that, at the others.  Each is sought once, so a long run costs its length.
+MIXED = (r"[+/]", r"[_-]")
 PARTS = (r"[A-Za-z0-9+/]+=*", r"[A-Za-z0-9_-]+=*")
 #: Encodings from the narrowest: name, what every character must match, alphabet, and of ordinary text in it the share of letters that are spread as in English, or None for numbers.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -203,7 +203,7 @@ def candidates(text: Column) -> Column:
 
     def parts(h: Column) -> Column:
         shifted = [F.transform(found(h["hit"], p), lambda x: F.struct((h["start"] + x["start"]).alias("start"), (h["start"] + x["end"]).alias("end"), x["hit"].alias("hit"))) for p in PARTS]
-        return F.when(h["hit"].rlike(MIXED), F.concat(*shifted)).otherwise(F.array(h))
+        return F.when(h["hit"].rlike(MIXED[0]) & h["hit"].rlike(MIXED[1]), F.concat(*shifted)).otherwise(F.array(h))
 
     return F.filter(F.flatten(F.transform(found(text, RUN), parts)), lambda h: F.length(h["hit"]) >= LEAST_RUN)
 
@@ -403,9 +403,9 @@ WITH docs AS (
 ), runs AS (
   SELECT doc_id, s, CASE WHEN next THEN rtrim(hit, '=') ELSE hit END AS t FROM ({hits("docs", "[A-Za-z0-9+/_-]+=*", 3)})
 ), mixed AS (
-  SELECT * FROM runs WHERE length(t) >= {LEAST_RUN} AND regexp_matches(t, {quoted(MIXED)})
+  SELECT * FROM runs WHERE length(t) >= {LEAST_RUN} AND regexp_matches(t, {quoted(MIXED[0])}) AND regexp_matches(t, {quoted(MIXED[1])})
 ), parts AS (
-  SELECT doc_id, s, t AS hit FROM runs WHERE NOT regexp_matches(t, {quoted(MIXED)})
+  SELECT doc_id, s, t AS hit FROM runs WHERE NOT (regexp_matches(t, {quoted(MIXED[0])}) AND regexp_matches(t, {quoted(MIXED[1])}))
   UNION ALL {" UNION ALL ".join(f"SELECT doc_id, s, hit FROM ({hits('mixed', p, 3)})" for p in PARTS)}
 ), found AS (
   SELECT doc_id, hit, s, s + length(hit) AS e FROM parts WHERE length(hit) >= {LEAST_RUN}
