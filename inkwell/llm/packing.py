@@ -183,8 +183,9 @@ def pack(pieces: DataFrame, items: int | None = None, max_tokens: int = MAX_TOKE
     """A sequence and a gapless place in it for each piece of at most max_tokens.
 
     pieces: doc_id, piece, length, and any other columns, which stay.  items: about how many pieces are
-    shorter than max_tokens (counted if not given); blocks of about block_pieces, dealt by a hash of
-    doc_id and piece, are packed apart, the longest piece first, by sum_of_squares().  Returns
+    shorter than max_tokens (counted if not given); blocks of about block_pieces, dealt by a hash of a row's number, so
+    evenly whatever ids there are, are packed apart, the longest piece first, by sum_of_squares().  Where rows stand must be
+    reproducible, as in files; pieces that come from a shuffle are stored first.  Returns
     the columns of pieces, then sequence_id and offset, both long, each with underscores behind it where pieces has the name already.
     An empty table gives an empty result; a repeated row is one more piece; null ids are allowed.  Equal lengths come in the order
     of doc_id and piece.
@@ -202,7 +203,7 @@ def pack(pieces: DataFrame, items: int | None = None, max_tokens: int = MAX_TOKE
         bins, offsets, _ = sum_of_squares(rows.column("length").to_numpy(), max_tokens)
         return rows.append_column(to, pa.array(bins + (key[0].as_py() << 40), pa.int64())).append_column(at, pa.array(offsets, pa.int64()))
 
-    return numbered(pieces.withColumn(block, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("long"))).groupBy(last).applyInArrow(run, schema)
+    return numbered(pieces.withColumn(block, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))).groupBy(last).applyInArrow(run, schema)
 
 
 def sequences(placed: DataFrame) -> DataFrame:
