@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.words import forget, mix, powers, slices, span_hashes, text_buffers
 
-#: Most texts of one language that are learnt from, taken in the order of a hash of doc_id; and most languages, the most frequent.
-MOST_TEXTS, MOST_LANGUAGES = 600, 256
+#: Most texts of one language that are learnt from, taken in the order of a hash of doc_id.
+MOST_TEXTS = 600
+#: Languages whose sums are held at a time, and bytes of words whose lattices are held between rounds of training; beyond, they are made again.
+AT_ONCE, HELD = 32, 4 << 20
 #: Words of more bytes, or whose probabilities may be below what a double can hold, are summed over in logarithms.
 RUN = 32
 #: Words of one pass over a lattice, and their padded bytes if they are longer than RUN (a longer word comes alone).
@@ -23,7 +24,8 @@ WORDS, CELLS = 16_384, 1 << 20
 ROUNDS, PSEUDO = 4, 0.02
 BASE = 0x9E3779B97F4A7C15
 
-#: Letters: of ASCII, and every byte of longer characters.
+#: What parts words: all but letters and the marks on them.  It goes before the worker, where then every byte of a longer character is a letter's.
+GAP = r"[^\p{L}\p{M}]+"
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -198,14 +200,15 @@ def expected(width: np.ndarray, n: np.ndarray, edges: list[tuple[int, int, np.nd
 
 def maximised(words: list[bytes], counts: list[int], vocab: Vocabulary, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The pieces' chances after rounds of expectation maximisation over words that occur so often."""
-    chunks = []
+    chunks, held = [], sum(map(len, words)) <= HELD
     for some in passes(np.array([len(w) for w in words], np.int64)):
         rows, width = padded([words[w] for w in some])
-        chunks.append((rows, width, np.array([counts[w] for w in some], float), list(lattice(rows, width, vocab))))
+        chunks.append((rows, width, np.array([counts[w] for w in some], float), list(lattice(rows, width, vocab)) if held else None))
     now = start.copy()
     for _ in range(rounds):
         seen, plain = np.zeros(len(vocab.pieces)), plain_bytes(now)
         for rows, width, n, edges in chunks:
+            edges = edges if held else list(lattice(rows, width, vocab))
             if rows.shape[1] > plain:
                 seen += expected(width, n, edges, now)
                 continue
@@ -243,19 +246,27 @@ class Model:
 
 
 def lowered(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), *more)
+    """doc_id, text in lower case with a space for all that is no letter, and more."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.lower("text"), GAP, " ").alias("text"), *more)
+
+
+def first_chances(vocab: Vocabulary) -> np.ndarray:
+    """Before training: longer pieces are likelier."""
+    start = np.array([4.0 ** min(len(p), 6) for p in vocab.pieces])
+    return start / start.sum()
 
 
 def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None, most_texts: int = MOST_TEXTS) -> Model:
     """Piece probabilities of each language by expectation maximisation over whole texts.
 
     known: doc_id, lang; rows with a null in either don't count, and of several languages of one doc_id the first by name does.
-    most_texts documents of each language at most, in the order of a hash of doc_id, and the MOST_LANGUAGES most frequent languages.  Spark
-    counts their words; the driver gets the distinct ones of this sample.  Without any row the model knows no language.
+    most_texts documents of each language at most, in the order of a hash of doc_id, of all languages.  Spark counts their
+    words and deals them by language; a task fits one language's model and the driver gets its chances, 8 bytes a piece (some
+    250 kB).  Without any row the model knows no language.
     """
     path = vocabulary_file or vocabulary_path()
     known = known.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros(0))
@@ -267,29 +278,33 @@ def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None,
     near = known.where(F.xxhash64("doc_id") <= F.try_element_at(last, F.col("lang")))
     chosen = near.withColumn("place", place).where(F.col("place") <= most_texts).select("doc_id", "lang")
 
+    codes = {lang: k for k, lang in enumerate(languages)}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 langs = part.column(2).to_pylist()
                 data, offsets = text_buffers(part.column(1))
                 row, word, starts, width = distinct_words(data, offsets)
-                code = np.array([languages.index(x) for x in langs])[row] if len(row) else row
+                code = np.array([codes[x] for x in langs])[row] if len(row) else row
                 both, n = np.unique(word * len(languages) + code, return_counts=True)
                 names = [data[starts[w] : starts[w] + width[w]].tobytes() for w in both // len(languages)]
                 yield pa.record_batch([pa.array(both % len(languages), pa.int32()), pa.array(names, pa.binary()), pa.array(n, pa.int64())], names=["code", "word", "n"])
 
     texts = lowered(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")  # most_texts ids of each language at most
-    counted = texts.mapInArrow(count, "code int, word binary, n long").groupBy("code", "word").agg(F.sum("n").alias("n")).orderBy("code", "word").toArrow()
+    counted = texts.mapInArrow(count, "code int, word binary, n long").groupBy("code", "word").agg(F.sum("n").alias("n"))
+
+    def fit(key: tuple, rows: pa.Table) -> pa.Table:
+        forget()
+        rows = rows.sort_by("word")  # sums don't depend on who sent what first
+        own = vocabulary(path)
+        found = maximised(rows.column("word").to_pylist(), rows.column("n").to_pylist(), own, first_chances(own))
+        return pa.table({"code": pa.array([key[0].as_py()], pa.int32()), "chances": pa.array([found.tobytes()], pa.binary())})
+
     vocab = vocabulary(path)
-    chances = np.full((len(vocab.pieces), len(languages)), 1e-9)
-    start = np.array([1.0 / len(vocab.pieces) * 4.0 ** min(len(p), 6) for p in vocab.pieces])
-    start /= start.sum()
-    for k in range(len(languages)):
-        own = counted.filter(pyarrow.compute.equal(counted.column("code"), k))
-        if not own.num_rows:
-            chances[:, k] = start
-            continue
-        chances[:, k] = maximised(own.column("word").to_pylist(), own.column("n").to_pylist(), vocab, start)
+    chances = np.repeat(first_chances(vocab)[:, None], len(languages), axis=1)
+    for row in counted.groupBy("code").applyInArrow(fit, "code int, chances binary").toLocalIterator():
+        chances[:, row["code"]] = np.frombuffer(row["chances"])
     total = sum(sizes.values())
     return Model(languages, chances, np.array([sizes[x] / total for x in languages]))
 
@@ -297,7 +312,7 @@ def train(docs: DataFrame, known: DataFrame, vocabulary_file: str | None = None,
 def predict(docs: DataFrame, model: Model, vocabulary_file: str | None = None) -> DataFrame:
     """doc_id, lang_pred and score (the language's posterior, 0 to 1) of each whole text.
 
-    A text's probability is the product over its words (runs of letters, lower-cased) of the forward sum
+    A text's probability is the product over its words (runs of letters and marks, lower-cased) of the forward sum
     over all segmentations.  A null text, one without a letter, or a model without languages gives und and 0.  Of equal posteriors the
     first language by name is taken.  A text of any length is read whole, by one task; rows stay one for one; an empty table gives an empty result.
     """
@@ -311,8 +326,11 @@ def predict(docs: DataFrame, model: Model, vocabulary_file: str | None = None) -
             for part in slices(batch, "text"):
                 data, offsets = text_buffers(part.column(1))
                 row, word, starts, sizes = distinct_words(data, offsets)
-                logs = word_logs(data, starts, sizes, vocab, chances)
-                total = np.log(priors) + np.stack([np.bincount(row, logs[word, k], part.num_rows) for k in range(len(languages))], axis=1)
+                total = np.tile(np.log(priors), (part.num_rows, 1))
+                for a in range(0, len(languages), AT_ONCE):
+                    logs = word_logs(data, starts, sizes, vocab, chances[:, a : a + AT_ONCE])
+                    for k in range(logs.shape[1]):
+                        total[:, a + k] += np.bincount(row, logs[word, k], part.num_rows)
                 total -= total.max(axis=1, keepdims=True)
                 best = total.argmax(axis=1)
                 score = 1 / np.exp(total).sum(axis=1)
@@ -321,5 +339,5 @@ def predict(docs: DataFrame, model: Model, vocabulary_file: str | None = None) -
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
     if not languages:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), lettered).mapInArrow(run, "doc_id long, lang_pred string, score double, letter boolean")
+    out = lowered(docs, lettered).mapInArrow(run, "doc_id long, lang_pred string, score double, letter boolean")
     return out.select("doc_id", F.when(F.col("letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"))

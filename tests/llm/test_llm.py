@@ -753,6 +753,23 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.train(docs, docs.select("doc_id", F.lit(None).cast("string").alias("lang")))).collect()} == {"und"}
 
 
+def test_every_language_counts_however_many_there_are(spark):
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(1800)]
+    rows = [(6 * k + j, " ".join(made[6 * k : 6 * k + 6]), f"l{k:03}") for k in range(300) for j in range(2)]
+    rows += [(6 * k + 5, made[6 * k + 3], f"l{k:03}") for k in range(300)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(given, given.where("doc_id % 6 < 5").select("doc_id", "lang"))
+    assert len(model.languages) == 300
+    got = langid.predict(given.where("doc_id % 6 = 5"), model).collect()
+    assert len(got) == 300 and sum(r["lang_pred"] == f"l{r['doc_id'] // 6:03}" for r in got) >= 297
+
+
+def test_words_are_letters_and_their_marks(spark):
+    given = spark.createDataFrame([("\u201cÉtion\u201d \u2014 naïve\u3002漢字、かな🙂e\u0301t3x",)], "text string").withColumn("doc_id", F.lit(1))
+    assert langid.lowered(given).first()["text"] == " étion naïve 漢字 かな e\u0301t x"
+
+
 def test_forward_sums_all_segmentations():
     vocab = langid.Vocabulary(sorted({b"a", b"b", b"ab", b"ba", b"aba", *(bytes([x]) for x in range(256))}))
     chance = {p: 0.01 + 0.001 * i for i, p in enumerate(vocab.pieces)}
