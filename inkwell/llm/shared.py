@@ -39,11 +39,15 @@ def folder(spark: SparkSession, what: str) -> str:
     return MADE[-1]
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def delete(spark: SparkSession, folders: Iterable[str]) -> None:
     """Folders that nothing reads any more."""
     for name in list(folders):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, name)
         MADE.remove(name)
 
 
@@ -102,7 +106,11 @@ def tasks(spark: SparkSession) -> int:
 def saved(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the shared folder; a lost executor costs nothing of it."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    kept = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if kept.isDefined():
+        MADE.append(kept.get())
+    return out
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

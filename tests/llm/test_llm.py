@@ -66,7 +66,7 @@ def test_query_equals_sql(spark, name):
 def test_registered():
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] == list(queries.QUERIES) and "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 # op1
@@ -932,6 +932,37 @@ def test_pipeline(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, placed[["doc_id", "piece", "ids_crc32"]].to_numpy().tolist()))
 
 
+def test_near_copies_stage_on_its_own_input(spark):
+    """Copies with a few words changed, planted in documents as they are: all that reach 0.8 of five words go, and nothing is cut."""
+    given = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    rng, planted, sets = np.random.default_rng(4), {}, lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for r in given:
+        w = words(r["text"])
+        if len(w) >= 80:
+            new = list(w)
+            for i in rng.choice(len(w), max(1, len(w) // 80), replace=False):
+                new[i] = f"changed{i}"
+            a, b = sets([x.lower() for x in w]), sets([x.lower() for x in new])
+            if len(a & b) >= 0.8 * len(a | b):
+                planted[100_000 + r["doc_id"]] = {**r, "doc_id": 100_000 + r["doc_id"], "text": " ".join(new)}
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_copies(spark, spark.createDataFrame([*given, *planted.values()], schema).repartition(4), SF).collect()}
+    assert len(planted) > 60 and not planted.keys() & out.keys()
+    texts_ = {r["doc_id"]: r["text"] for r in given}
+    assert all(texts_[i] == t for i, t in out.items()) and len(out) > 0.7 * len(texts_)
+
+
+def test_the_pipeline_deletes_what_it_kept(spark):
+    held = len(shared.MADE)
+    corpus_pipeline.run(spark, SF).write.format("noop").mode("overwrite").save()
+    left = shared.MADE[held:]
+    on_disk = [x for x in left if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x))]
+    results = [x for x in on_disk if "/pipeline-" in x]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(results[0])
+    names = [f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    assert len(results) == 1 and names == ["3"]
+
+
 def test_pipeline_on_odd_rows(spark, docs):
     at = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
