@@ -60,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written as Parquet in the shared folder and read again; what its operator kept there goes."""
+    """All stages over documents; what each returns is written as Parquet in the shared folder and read again.
+
+    What a stage's operator kept there goes when its result is written, and so does the result before it.  The last one, which the returned pieces are read from,
+    stays in shared.MADE, for shared.delete() once the pieces are written.
+    """
     docs, results = shared.table(spark, sf_dir, "documents"), shared.folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         before = len(shared.MADE)
@@ -68,5 +72,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{results}/{k}")
             shared.delete(spark, shared.MADE[before:])
+            if k:
+                shared.remove(spark, f"{results}/{k - 1}")
             docs = spark.read.schema(docs.schema).parquet(f"{results}/{k}")
     return docs
