@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import anchors, layout, marks, styles
+from inkwell.operators import align, anchors, layout, marks, styles
 from inkwell.sources.stored import stored
 
 PAGE = ("conv_id", "page")
@@ -125,7 +125,18 @@ def nested_bold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.bold_text(marked(spark, sf_dir), ["conv_id", "turn"], "html")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (column_text, run_notes, size_thresholds, text_by_threshold, kana_bases, kana_readings, note_fonts, notes_export, nested_bold)}
+def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A numbered export of each conversation's words, six to an entry, read back after an editor has deleted, changed and added entries: how each came about."""
+    six = words(spark, sf_dir).selectExpr("conv_id", "page * 1000 + k div 6 as e", "k", "text").groupBy("conv_id", "e").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("w"))
+    six = stored(six, "entries")
+    entries = six.selectExpr("conv_id", "e", "concat(e, ' ', array_join(transform(w, x -> x.text), ' ')) as text", "row_number() over (partition by conv_id order by e) as r")
+    edited = entries.where("r % 12 <> 2").selectExpr("conv_id", "r * 2 as o", "if(r % 12 = 5, concat(text, ' new'), text) as text").unionAll(entries.where("r % 12 = 8").selectExpr("conv_id", "r * 2 + 1 as o", "concat('added ', r) as text"))
+    texts = [stored(styles.numbered_text(rows, ["conv_id"], [order], F.col("text")), "entries") for rows, order in ((entries, "e"), (edited, "o"))]
+    found = align.align(*(align.numbered_entries(t, ["conv_id"]) for t in texts), ["conv_id"])
+    return found.select("conv_id", "place", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"), "kind", "text", "edited")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (column_text, run_notes, size_thresholds, text_by_threshold, kana_bases, kana_readings, note_fonts, notes_export, nested_bold, edits)}
 
 WORDS = r"""WITH cut AS (
   SELECT conv_id, turn AS page, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM conversations
@@ -195,4 +206,13 @@ SELECT conv_id, string_agg(font || chr(9) || CAST(size AS VARCHAR) || chr(9) ||
   SELECT conv_id, turn, string_agg(CASE WHEN bold AND NOT was THEN '【' ELSE '' END || t || CASE WHEN bold AND NOT then_ THEN '】' ELSE '' END, '' ORDER BY k, j) AS text FROM texts GROUP BY conv_id, turn
 )
 SELECT DISTINCT c.conv_id, c.turn, coalesce(said.text, '') AS text FROM conversations c LEFT JOIN said ON said.conv_id = c.conv_id AND said.turn = c.turn""",
+    "edits": WORDS + """, entries AS (
+  SELECT conv_id, page * 1000 + k // 6 AS e, (page * 1000 + k // 6) || ' ' || string_agg(text, ' ' ORDER BY k) AS text FROM words GROUP BY conv_id, page * 1000 + k // 6
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY e) AS r FROM entries
+), steps AS (
+  SELECT conv_id, r * 2 AS o, r, CASE WHEN r % 12 = 2 THEN 'deleted' WHEN r % 12 = 5 THEN 'changed' ELSE 'same' END AS kind, text, CASE WHEN r % 12 = 2 THEN NULL WHEN r % 12 = 5 THEN text || ' new' ELSE text END AS edited FROM ranked
+  UNION ALL SELECT conv_id, r * 2 + 1, NULL, 'inserted', NULL, 'added ' || r FROM ranked WHERE r % 12 = 8
+)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY o) AS INT) AS place, coalesce(r, 0) AS was, CASE WHEN kind <> 'deleted' THEN count(*) FILTER (kind <> 'deleted') OVER (PARTITION BY conv_id ORDER BY o) ELSE 0 END AS now, kind, text, edited FROM steps""",
 }
