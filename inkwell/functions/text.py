@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,17 @@ OPEN, CLOSE = "【", "】"
 FULL_WIDTH, ASCII = "０１２３４５６７８９", "0123456789"
 
 
+def spare(names: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """Each name with as many underscores behind it as it takes to differ from all names taken, in lower case as Spark compares them."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def natural_key(name: Column) -> Column:
     """A key whose string order is the natural order of names: p2 before p10.
 

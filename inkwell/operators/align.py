@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.layout import spare
+from inkwell.functions.text import spare
+
 
 #: Segments that are aligned in one call.
 SEGMENTS = 64

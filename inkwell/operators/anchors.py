@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import spare
 from inkwell.operators.exports import Entry, joined
-from inkwell.operators.layout import PAGE, spare
+from inkwell.operators.layout import PAGE
 
 
 def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, to: str, values: Sequence[str], reach: float | None = None, direction: str = "nearest") -> DataFrame:

@@ -11,22 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import spare
+
 #: A page's cuts, outermost first: (axis, gap). An axis is x or y, led by a minus where it is read from its end.  None: the gap of lines.
 HORIZONTAL, VERTICAL = (("y", 20.0), ("x", 20.0), ("y", None)), (("y", 20.0), ("-x", 20.0), ("-x", None))
 PAGE = ("path", "page")
 
 
-def spare(names: Sequence[str], taken: Sequence[str]) -> list[str]:
-    """Each name with as many underscores behind it as it takes to differ from all names taken, in lower case as Spark compares them."""
-    used, out = {x.lower() for x in taken}, []
-    for name in names:
-        while name.lower() in used:
-            name += "_"
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def boxed() -> Column:
     return F.col("x0").isNotNull() & F.col("x1").isNotNull() & F.col("top").isNotNull() & F.col("bottom").isNotNull()
 

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import CLOSE, OPEN
-from inkwell.operators.layout import spare
+from inkwell.functions.text import CLOSE, OPEN, spare
 
 #: A tag, or the text up to the next one; a < that begins no tag is text.
 TOKEN = r"(?s)<[/a-zA-Z!][^>]*>|(?:[^<]|<(?![/a-zA-Z!][^>]*>))+"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.layout import spare
+from inkwell.functions.text import spare
 from inkwell.sources.stored import stored
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import spare
+
 
 def keep_styles(glyphs: DataFrame, min_size: float | None = None, drop_fonts: Sequence[str] = (), keep_fonts: Sequence[str] = ()) -> DataFrame:
     """Glyphs of at least min_size whose font is kept: how small annotations beside the text are dropped.
@@ -27,13 +29,15 @@ def dominant_style(glyphs: DataFrame, by: Sequence[str] = ("path", "page")) -> D
     """by, font, size and n_chars of the style with most characters; ties go to the smaller font, then size."""
     totals = glyphs.groupBy(*by, "font", "size").agg(F.sum(F.length("text")).alias("n_chars"))
     order = Window.partitionBy(*by).orderBy(F.desc("n_chars"), "font", "size")
-    return totals.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    k, = spare(["_k"], totals.columns)
+    return totals.withColumn(k, F.row_number().over(order)).where(F.col(k) == 1).drop(k)
 
 
 def keep_dominant(glyphs: DataFrame, share: float = 0.75, by: Sequence[str] = ("path", "page")) -> DataFrame:
     """Glyphs of at least share of the size of their page's dominant style."""
-    main = dominant_style(glyphs, by).select(*by, F.col("size").alias("_main"))
-    return glyphs.join(main, list(by)).where(F.col("size").isNull() | F.col("_main").isNull() | (F.col("size") >= share * F.col("_main"))).select(*glyphs.columns)
+    m, = spare(["_main"], glyphs.columns)
+    main = dominant_style(glyphs, by).select(*by, F.col("size").alias(m))
+    return glyphs.join(main, list(by)).where(F.col("size").isNull() | F.col(m).isNull() | (F.col("size") >= share * F.col(m))).select(*glyphs.columns)
 
 
 def plain_text(glyphs: DataFrame, pages: DataFrame | None = None, separator: str = "", by: Sequence[str] = ("path", "page")) -> DataFrame:
@@ -55,8 +59,9 @@ def numbered_text(rows: DataFrame, by: Sequence[str], order: Sequence[str], text
     entries is a pair of them.  Without entry: the number, a full stop, a space and the text.
     """
     entry = entry or (lambda n, t: F.concat(n.cast("string"), F.lit(". "), t))
-    rows = rows.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_n"), F.coalesce(text, F.lit("")).alias("_t"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda r: entry(r["_n"], r["_t"]))
+    n, t = spare(["_n", "_t"], by)
+    rows = rows.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias(n), F.coalesce(text, F.lit("")).alias(t))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(n, t))), lambda r: entry(r[n], r[t]))
     out = rows.groupBy(*by).agg(F.array_join(lines, "\n").alias("text"))
     return out if header is None else out.withColumn("text", F.concat(header, F.lit("\n"), F.col("text")))
 

@@ -143,6 +143,19 @@ def export_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.export_info(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], author="role", subject=None, text="text")
 
 
+def export_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author and subject: the role, and for every other turn its number; what is null is left out."""
+    rows = table(spark, sf_dir, "conversations").withColumn("subject", F.when(F.col("turn") % 2 == 1, F.concat(F.lit("turn "), F.col("turn").cast("string"))))
+    return exports.export_info(rows, ["conv_id"], ["turn"], author="role", text="text")
+
+
+def merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As merge_concat, in chunks: the length and digest of each."""
+    docs = table(spark, sf_dir, "documents").withColumn("part", F.substring("source", -1, 1))
+    out = exports.merge_chunks(docs, ["lang", "part"], "source", ["doc_id"], "text", chunk=20_000)
+    return out.select("lang", "part", "chunk", "start", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
+
+
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text's name for PDFs named by page and, for every third page, a name that is no PDF's."""
     path = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".html").when(F.col("page_id") % 3 == 1, ".pdf").otherwise(".PDF"))
@@ -185,7 +198,7 @@ def exported_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, output_names, merge_order, merge_concat, merge_pieces, natural_names, annotation_info, exported_texts)
+    for f in (style_runs, dominant_style, dominant_filter, style_filter_plain, size_filter_plain, numbered_export, style_label, bold_wrap, bold_runs, export_plain, export_info, export_subjects, output_names, merge_order, merge_concat, merge_pieces, merge_chunks, natural_names, annotation_info, exported_texts)
 }
 
 #: Tested as the others, but not registered: they try the reading and writing of PDF files, of which the driver's tables have none.
@@ -223,6 +236,11 @@ SQL: dict[str, str] = {
     "bold_runs": RUNS + "SELECT page_id, string_agg(CASE WHEN font = 'b' THEN '【' || text || '】' ELSE text END, '' ORDER BY ord) AS text FROM glyphs GROUP BY page_id",
     "export_plain": "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "export_info": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, string_agg(concat_ws(chr(9), CAST(k AS VARCHAR), role, coalesce(text, '')), chr(10) ORDER BY k) AS text FROM n GROUP BY conv_id",
+    "export_subjects": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) SELECT conv_id, string_agg(concat_ws(chr(9), CAST(k AS VARCHAR), role, CASE WHEN turn % 2 = 1 THEN 'turn ' || turn END, coalesce(text, '')), chr(10) ORDER BY k) AS text FROM n GROUP BY conv_id",
+    "merge_chunks": f"""WITH d AS (SELECT lang, right(source, 1) AS part, {KEY.format('source')} AS k, source, doc_id, coalesce(text, '') AS text FROM documents), p AS (
+  SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY lang, part ORDER BY k, source, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d
+), c AS (SELECT lang, part, start // 20000 AS chunk, min(greatest(start - 1, 0)) AS start, string_agg(CASE WHEN start > 0 THEN chr(10) ELSE '' END || text, '' ORDER BY start, k, source, doc_id) AS text FROM p GROUP BY lang, part, start // 20000)
+SELECT lang, part, chunk, start, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM c""",
     "output_names": "SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN url || '.txt' END AS out FROM pages",
     "merge_order": f"SELECT lang, source, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY {KEY.format('source')}, source, lang, doc_id) AS INT) AS position FROM documents",
     "merge_concat": f"WITH d AS (SELECT *, right(source, 1) AS part, {KEY.format('source')} AS k FROM documents), m AS (SELECT lang, part, string_agg(coalesce(text, ''), chr(10) ORDER BY k, source, doc_id) AS text FROM d GROUP BY lang, part) SELECT lang, part, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5 FROM m",

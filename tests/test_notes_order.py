@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import bold_merged
-from inkwell.operators import anchors, exports, marks, order
+from inkwell.operators import anchors, exports, marks, order, styles
 
 
 @pytest.mark.parametrize("by", [["g"], []])
@@ -48,6 +48,28 @@ def test_pieces_are_where_the_merged_text_has_them(spark):
             assert merged[r["g"]][r["start"] : r["start"] + len(t)] == t
 
 
+def test_chunks_are_the_merged_text(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", None]), f"p{rng.randint(1, 30)}", i, rng.choice([None, "", "x" * rng.randint(1, 40), "é字"])) for i in range(90)]
+    df = spark.createDataFrame(rows, "g string, name string, id int, text string")
+    merged = {r["g"]: r["text"] for r in exports.merge_text(df, ["g"], "name", ["id"], "text", "--").collect()}
+    chunks = exports.merge_chunks(df, ["g"], "name", ["id"], "text", "--", chunk=50).orderBy("chunk").collect()
+    for g, text in merged.items():
+        own = [r for r in chunks if r["g"] == g]
+        assert "".join(r["text"] for r in own) == text and len(own) > 5 and max(len(r["text"]) for r in own) <= 50 + 42
+        assert all(text[r["start"] :].startswith(r["text"]) for r in own)
+    assert exports.merge_chunks(df.limit(0), ["g"], "name", ["id"], "text").count() == 0
+
+
+def test_names_that_operators_use_themselves_pass(spark):
+    df = spark.createDataFrame([("f", 1, 0, "A", "s", "t", "n", "k", 12.0, "F")], "path string, page int, idx int, author string, subject string, contents string, _n string, _k string, size double, font string").withColumns({"_t": F.lit("t"), "_main": F.lit("m"), "name": F.lit("p2"), "text": F.col("contents"), "ord": F.lit(1)})
+    assert exports.export_info(df, by=["path", "_n"]).first()["text"] == "1\tA\ts\tt"
+    assert exports.export_plain(df, by=["path"], order=["_t", "idx"]).first()["text"] == "t"
+    assert exports.merge_text(df, ["_k"], "name", ["_t"], "text").first()["text"] == "t"
+    assert styles.keep_dominant(df).columns == df.columns and styles.dominant_style(df, ["_k"]).first()["size"] == 12.0
+    assert styles.numbered_text(df, ["_n"], ["idx"], F.col("text")).first()["text"] == "1. t"
+
+
 def test_nearest(spark):
     rng = random.Random(4)
     left = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 40))]), i) for i in range(150)]
