@@ -38,6 +38,24 @@ def cut(glyphs: DataFrame, by: Sequence[str], begin: Column, end: Column, gap: C
     return marked.withColumn(to, F.sum(opens).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop(begins, opens)
 
 
+def writing_direction(glyphs: DataFrame, by: Sequence[str] = PAGE, order: str = "ord") -> DataFrame:
+    """by, n_down, n_across and vertical: whether a page is written from top to bottom, by how its glyphs follow each other in order.
+
+    A file's order is none of lines and columns as a rule, but inside a line one glyph follows the other.  A step is one down where the boxes overlap across
+    and not down the page, one across where it is the other way round, none else; a page is vertical if it has more steps
+    down.  A glyph without a full box takes no step, nor do those beside it in the order.  A page with as many of both, or none, is not vertical.
+    """
+    window = Window.partitionBy(*by).orderBy(order)
+    before = lambda c: F.lag(c).over(window)
+    across = F.greatest(F.col("x0") - before("x1"), before("x0") - F.col("x1"))
+    down = F.greatest(F.col("top") - before("bottom"), before("top") - F.col("bottom"))
+    full = boxed() & before("x0").isNotNull() & before("x1").isNotNull() & before("top").isNotNull() & before("bottom").isNotNull()
+    to = spare(["_down", "_across"], by)
+    steps = glyphs.select(*by, (full & (down > 0) & (across <= 0)).cast("int").alias(to[0]), (full & (across > 0) & (down <= 0)).cast("int").alias(to[1]))
+    counts = steps.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in zip(to, ("n_down", "n_across"), strict=True)])
+    return counts.withColumn("vertical", F.col("n_down") > F.col("n_across"))
+
+
 def reading_order(glyphs: DataFrame, by: Sequence[str] = PAGE, vertical: Column | None = None, horizontal_cuts: Sequence[tuple] = HORIZONTAL, vertical_cuts: Sequence[tuple] = VERTICAL, line_gap: float = 0.0, shrink: float = 0.5) -> DataFrame:
     """glyphs with block, line and ord: where each stands when its page is read; an ord that is there breaks ties and is replaced.
 

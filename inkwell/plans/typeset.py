@@ -60,6 +60,11 @@ def text_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.reading_order(kept, PAGE, F.col("down"))
 
 
+def page_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages are vertical, where words follow each other as written."""
+    return layout.writing_direction(words(spark, sf_dir), PAGE, "k")
+
+
 def column_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of pages with columns or vertical lines, from boxes alone."""
     pages = turns(spark, sf_dir).select("conv_id", F.col("turn").alias("page"))
@@ -136,7 +141,7 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "place", F.coalesce("was", F.lit(0)).alias("was"), F.coalesce("now", F.lit(0)).alias("now"), "kind", "text", "edited")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (column_text, run_notes, size_thresholds, text_by_threshold, kana_bases, kana_readings, note_fonts, notes_export, nested_bold, edits)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_directions, column_text, run_notes, size_thresholds, text_by_threshold, kana_bases, kana_readings, note_fonts, notes_export, nested_bold, edits)}
 
 WORDS = r"""WITH cut AS (
   SELECT conv_id, turn AS page, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM conversations
@@ -164,6 +169,12 @@ WORDS = r"""WITH cut AS (
 """
 
 SQL: dict[str, str] = {
+    "page_directions": WORDS + """, boxes AS (
+  SELECT *, CASE WHEN k = 0 THEN 0 WHEN page % 2 = 1 THEN x1 - 10 ELSE x1 - 52 END AS x0, CASE WHEN k = 0 THEN 16 WHEN page % 2 = 1 THEN top + 52 ELSE top + 10 END AS bottom FROM words
+), gaps AS (
+  SELECT conv_id, page, greatest(x0 - lag(x1) OVER w, lag(x0) OVER w - x1) AS across, greatest(top - lag(bottom) OVER w, lag(top) OVER w - bottom) AS down FROM boxes WINDOW w AS (PARTITION BY conv_id, page ORDER BY k)
+)
+SELECT conv_id, page, count(*) FILTER (down > 0 AND across <= 0) AS n_down, count(*) FILTER (across > 0 AND down <= 0) AS n_across, count(*) FILTER (down > 0 AND across <= 0) > count(*) FILTER (across > 0 AND down <= 0) AS vertical FROM gaps GROUP BY conv_id, page""",
     "column_text": WORDS + ", said AS (SELECT conv_id, page, string_agg(sep || text, '' ORDER BY k) AS text FROM words GROUP BY conv_id, page) SELECT t.conv_id, turn AS page, coalesce(said.text, '') AS text FROM (SELECT DISTINCT conv_id, turn FROM conversations) t LEFT JOIN said ON said.conv_id = t.conv_id AND said.page = t.turn",
     "run_notes": WORDS + """, marked AS (
   SELECT *, CAST(k = 0 OR (font, size) <> lag((font, size)) OVER (PARTITION BY conv_id, page ORDER BY k) AS INT) AS new FROM words

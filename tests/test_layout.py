@@ -42,6 +42,13 @@ def test_reading_order(spark, pages):
     assert texts(layout.reading_text(got.where("page = 1"), pages=pages.select("path", "page"), line="", block=""))[2] == ""
 
 
+def test_writing_direction(spark, pages):
+    rows = [glyph(1, k, "x", 10.0 * (k % 3), 12.0 * (k // 3)) for k in range(9)] + [glyph(2, k, "x", 90 - 14.0 * (k // 3), 12.0 * (k % 3)) for k in range(9)] + [glyph(3, 0, "x", 0, 0), glyph(4, 0, "x", 0, 0), glyph(4, 1, "x", None, 20), glyph(4, 2, "x", 0, 40)]
+    got = {r["page"]: (r["n_down"], r["n_across"], r["vertical"]) for r in layout.writing_direction(spark.createDataFrame(rows, GLYPHS).repartition(2)).collect()}
+    assert got == {1: (0, 6, False), 2: (6, 0, True), 3: (0, 0, False), 4: (0, 0, False)}
+    assert layout.writing_direction(pages.limit(0)).count() == 0
+
+
 def test_names_that_are_taken(spark, pages):
     more = pages.withColumns({"_down": F.lit("d"), "_cut0": F.lit("c"), "_begin": F.lit("b"), "_n": F.lit("n")})
     got = layout.reading_order(more, vertical=F.col("page") == 2)
