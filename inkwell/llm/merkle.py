@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,17 +104,17 @@ def climb(rows: DataFrame, scratch: Scratch, fanout: int, levels: int) -> list[D
     """The layers of the trees of all g, from rows (g, node, index, n and others) up to one node for each g."""
     width, kind = fanout**levels, rows.schema["g"].dataType.simpleString()
 
-    def up(part: pa.Table) -> pa.Table:
-        part = part.sort_by("index")
-        n = part.column("n")[0].as_py()
-        top = collapsed(part.column("node").to_pylist(), depth(n, fanout, levels), fanout)[-1]
-        return pa.table({"g": part.column("g")[:1], "node": pa.array(top, pa.string()), "index": part.column("block")[:1], "n": pa.array([-(-n // width)], pa.int64())})
+    def up(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("index")
+        n = int(part["n"].iloc[0])
+        top = collapsed(part["node"].tolist(), depth(n, fanout, levels), fanout)[-1]
+        return pd.DataFrame({"g": part["g"].iloc[:1].tolist(), "node": top, "index": part["block"].iloc[:1].tolist(), "n": [-(-n // width)]})
 
     layers = [scratch.store(rows)]
     most = layers[0].agg(F.max("n")).first()[0] or 0
     while most > 1:
         blocks = layers[-1].select("g", "node", "index", "n", F.floor(F.col("index") / width).alias("block"))
-        layers.append(scratch.store(blocks.groupBy("g", "block").applyInArrow(up, f"g {kind}, node string, index long, n long")))
+        layers.append(scratch.store(blocks.groupBy("g", "block").applyInPandas(up, f"g {kind}, node string, index long, n long")))
         most = -(-most // width)
     return layers
 

@@ -252,6 +252,13 @@ def test_one_row_one_tree_and_none(spark):
     assert merkle.manifest(one.limit(0)).count() == 0
 
 
+def test_trees_by_numbers(spark):
+    rows = [(k % 3 or None, k, h(str(k))) for k in range(40)]
+    out = merkle.manifest(spark.createDataFrame(rows, "lang long, doc_id long, leaf string"), fanout=2, levels=1)
+    assert out.count() == 40 and out.where(merkle.folded(F.col("leaf"), F.col("proof")) != F.col("root")).count() == 0
+    assert out.select("subroot").distinct().count() == 3 and out.select("root").distinct().count() == 1
+
+
 def test_leaves_say_what_is_null(spark):
     given = spark.createDataFrame([(-5, None, "é1", "", 7)], "a long, b string, c string, d string, e int")
     got = given.select(merkle.leaf(*map(F.col, "abcde")).alias("x"), merkle.lower_ascii(F.lit("AbÉZ9")).alias("y")).first()
