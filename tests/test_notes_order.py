@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import bold_merged
 from inkwell.operators import anchors, exports, marks, order, styles
+from inkwell.sources import stored
 
 
 @pytest.mark.parametrize("by", [["g"], []])
@@ -26,6 +27,16 @@ def test_positions(spark, by):
     assert order.positions(df.limit(0), by, [F.col("k")]).count() == 0
 
 
+def test_what_is_stored_can_be_deleted(spark):
+    held = len(stored.MADE)
+    out = order.positions(spark.range(9), [], [F.col("id")])
+    assert out.count() == 9 and len(stored.MADE) == held + 1
+    stored.delete(spark, stored.MADE[held:])
+    assert len(stored.MADE) == held
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        out.count()
+
+
 def test_equal_rows_are_divided_and_no_task_has_all(spark):
     df = spark.createDataFrame([("a", "x")] * 600, "g string, name string")
     out = order.positions(df, ["g"], [F.col("name")], tasks=4)
