@@ -207,6 +207,11 @@ def pack(pieces: DataFrame, items: int | None = None, max_tokens: int = MAX_TOKE
 
 
 def sequences(placed: DataFrame) -> DataFrame:
-    """The token sequences themselves: sequence_id, n_tokens and ids, from pieces with ids, sequence_id and offset."""
+    """The token sequences themselves: sequence_id, n_tokens and ids, from pieces with length, ids, sequence_id and offset as pack() places them.
+
+    Other columns are ignored, but those that pack() had to name otherwise (sequence_id_) are not sought.  Pieces of one sequence are
+    few, as it has a fixed length; equal rows stand twice, as pack() gave them places of their own.  Null ids add nothing to the bytes, whatever
+    their length.  An empty table gives an empty result.
+    """
     rows = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "ids"))).alias("p"))
-    return rows.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return rows.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_tokens"), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, F.coalesce(x["ids"], F.lit(b"")))).alias("ids"))

@@ -100,6 +100,17 @@ def test_pieces_and_packing(spark, docs, empty):
     assert packing.pack(packing.token_pieces(empty)).count() == 0
 
 
+def test_sequences_hold_the_pieces_at_their_places(spark):
+    rows = [(1, 0, 3, b"\x01" * 12), (1, 0, 3, b"\x01" * 12), (2, 0, 5, b"\x02" * 20), (None, 0, 8, b"\x03" * 32), (4, 0, 1, None)]
+    placed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long, ids binary"), max_tokens=8).withColumns({"p": F.lit(1), "n_tokens": F.lit(2)})
+    want = defaultdict(list)
+    for r in placed.collect():
+        want[r["sequence_id"]].append((r["offset"], r["length"], bytes(r["ids"] or b"")))
+    got = {r["sequence_id"]: (r["n_tokens"], bytes(r["ids"])) for r in packing.sequences(placed).collect()}
+    assert got == {k: (sum(n for _, n, _ in v), b"".join(x for _, _, x in sorted(v))) for k, v in want.items()} and sum(n for n, _ in got.values()) == 20
+    assert packing.sequences(placed.limit(0)).count() == 0
+
+
 def test_packing_keeps_columns_of_its_names(spark):
     given = spark.createDataFrame([(1, 0, 5, "a", "b", "c"), (1, 0, 5, "a", "b", "c"), (None, 0, 64, "d", "e", "f")], "doc_id long, piece int, length long, sequence_id string, OFFSET string, _block string")
     got = packing.pack(given, max_tokens=64)
