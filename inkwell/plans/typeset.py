@@ -108,13 +108,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def note_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each note with the font and size of the word whose corner is nearest."""
-    corners = glyphs(spark, sf_dir).where("font <> 'Kana'").selectExpr("conv_id", "page", "x1 as x", "top as y", "font", "size", "ord as word")
+    corners = stored(glyphs(spark, sf_dir).where("font <> 'Kana'").selectExpr("conv_id", "page", "x1 as x", "top as y", "font", "size", "ord as word"), "corners")
     return anchors.note_styles(notes(spark, sf_dir), corners, PAGE, ["font", "size", "word"], reach=4.0)
 
 
 def notes_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes of each conversation, led by the style of the run that they stand at."""
-    runs = layout.style_runs(text_in_order(spark, sf_dir), PAGE, distance=4.0)
+    runs = stored(layout.style_runs(text_in_order(spark, sf_dir), PAGE, distance=4.0), "runs")
     at_runs = runs.selectExpr("conv_id", "page", "run as idx", "x", "y", "concat('run ', run) as contents")
     return anchors.export_styled(at_runs, runs, ["conv_id"], ["page", "idx"], PAGE)
 
