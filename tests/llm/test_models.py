@@ -132,6 +132,24 @@ def test_slices_blocks_and_buckets_change_no_count(documents, monkeypatch):
     assert many.buckets > 2 and one["k"] == one["n"] == many.n_tokens
 
 
+def test_counts_and_tables_take_a_byte_each(model):
+    for x in ([], [0, 1, 254], [255, 256, 3, 1 << 40, 255]):
+        assert pitmanyor.wide(pitmanyor.narrow(np.array(x, np.int64))).tolist() == x
+    for row in model.state.collect():
+        entries = len(row["contexts"]) // 2 + len(row["classes"]) // 2 + len(row["words"]) // 8
+        assert len(row["tables"]) < 1.1 * entries * (1 + len(model.sums) - 1) + 8 and len(row["counts"]) < 1.1 * len(row["contexts"]) / 2 + 8
+        assert len(row["seated"]) < 2 * len(row["tables"])
+
+
+def test_every_token_is_a_customer_whatever_is_frequent(documents, monkeypatch):
+    """Words before that are not frequent have their class's restaurant: no token is left out, however few have their own."""
+    for share in (1, 64, 1024):
+        monkeypatch.setattr(pitmanyor, "SHARE", share)
+        own = pitmanyor.train(documents, burn=0, keep=1)
+        parts = [pitmanyor.Dishes.read(b.slice(k, 1), own.parents) for b in own.state.toArrow().to_batches() for k in range(b.num_rows)]
+        assert sum(d.customers.sum() + d.direct.sum() for d in parts) == own.n_tokens and len(own.frequent) < share
+
+
 # op12
 
 
