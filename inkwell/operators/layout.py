@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import spare
+from inkwell.operators.order import dealt, tasks_for
 
 #: A page's cuts, outermost first: (axis, gap). An axis is x or y, led by a minus where it is read from its end.  None: the gap of lines.
 HORIZONTAL, VERTICAL = (("y", 20.0), ("x", 20.0), ("y", None)), (("y", 20.0), ("-x", 20.0), ("-x", None))
@@ -56,7 +57,7 @@ def writing_direction(glyphs: DataFrame, by: Sequence[str] = PAGE, order: str =
     return counts.withColumn("vertical", F.col("n_down") > F.col("n_across"))
 
 
-def reading_order(glyphs: DataFrame, by: Sequence[str] = PAGE, vertical: Column | None = None, horizontal_cuts: Sequence[tuple] = HORIZONTAL, vertical_cuts: Sequence[tuple] = VERTICAL, line_gap: float = 0.0, shrink: float = 0.5) -> DataFrame:
+def reading_order(glyphs: DataFrame, by: Sequence[str] = PAGE, vertical: Column | None = None, horizontal_cuts: Sequence[tuple] = HORIZONTAL, vertical_cuts: Sequence[tuple] = VERTICAL, line_gap: float = 0.0, shrink: float = 0.5, tasks: int | None = None) -> DataFrame:
     """glyphs with block, line and ord: where each stands when its page is read; an ord that is there breaks ties and is replaced.
 
     glyphs: by, x0, top, x1, bottom and any others.  vertical: whether a glyph's page is written from top to bottom, in lines
@@ -67,12 +68,14 @@ def reading_order(glyphs: DataFrame, by: Sequence[str] = PAGE, vertical: Column
 
     A glyph without a full box comes last on its page, in a block of its own, by its given ord.  Boxes that are equal follow
     their ord, then their text if they have these columns.  An empty table gives an empty result.
+
+    Pages are dealt once, to so many tasks (as many as the counted glyphs need, if not given) that each sorts about order.ROWS_A_TASK glyphs.
     """
     if len(horizontal_cuts) != len(vertical_cuts):
         raise ValueError("both directions have as many cuts")
     down = F.coalesce(vertical, F.lit(False)) if vertical is not None else F.lit(False)
     flag, *names = spare(["_down", *(f"_cut{k}" for k in range(len(horizontal_cuts) + 1))], glyphs.columns)
-    out = glyphs.withColumn(flag, down).withColumn(names[0], (~boxed()).cast("int"))
+    out = dealt(glyphs, by, tasks or tasks_for(glyphs)).withColumn(flag, down).withColumn(names[0], (~boxed()).cast("int"))
     last = len(horizontal_cuts) - 1
     for k, (across, along) in enumerate(zip(horizontal_cuts, vertical_cuts, strict=True)):
         (a, b), (c, d) = edges(across[0]), edges(along[0])

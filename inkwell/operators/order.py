@@ -11,6 +11,20 @@ from inkwell.functions.text import spare
 from inkwell.sources.stored import stored
 
 
+#: Rows that a task sorts at once: some dozen MB for each sort of it.
+ROWS_A_TASK = 100_000
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """So many tasks that each has about ROWS_A_TASK of the rows of all tables, which are counted."""
+    return max(1, -(-sum(t.count() for t in tables) // ROWS_A_TASK))
+
+
+def dealt(rows: DataFrame, by: Sequence[str], tasks: int) -> DataFrame:
+    """rows dealt by by to so many tasks, which are not put together again, so that a task's memory does not grow with the table."""
+    return rows.repartition(tasks, *by) if by else rows
+
+
 def positions(rows: DataFrame, by: Sequence[str], order: Sequence[Column], size: Column | None = None, position: str = "position", start: str = "start", tasks: int | None = None) -> DataFrame:
     """rows with position (int, from 1) among those of one by, in the given order (nulls first), and with size given, start: the sizes before it added up.
 

@@ -122,3 +122,14 @@ def test_runs_that_touch_share_brackets(spark):
     rows = [([("x", True), ("y", True), ("z", False)], "【xy】z"), ([("x", True), (None, False), ("", None), ("y", True)], "【xy】"), ([("a", None), (None, True)], "a"), ([], ""), (None, None), ([("x", True), ("y", False), ("z", True)], "【x】y【z】")]
     df = spark.createDataFrame(rows, "runs array<struct<text:string,bold:boolean>>, want string")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", bold_merged(F.col("runs"))).collect())
+
+
+def test_nearest_is_linear_and_dealt_by_its_rows(spark, monkeypatch):
+    """No frame reaches to the end of a page, which would be read once for each row."""
+    monkeypatch.setattr("inkwell.operators.order.ROWS_A_TASK", 10)
+    left = spark.createDataFrame([(p, float(x)) for p in range(6) for x in range(10)], "p int, x double")
+    right = spark.createDataFrame([(p, x + 0.25, f"{v}{x}") for p in range(6) for x in range(0, 10, 3) for v in "ba"], "p int, to double, v string")
+    out = anchors.nearest(left, right, ["p"], "x", "to", ["v"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower() and out.rdd.getNumPartitions() == 11
+    got = {(r["p"], r["x"]): r["v"] for r in out.collect()}
+    assert got == {(p, float(x)): "a" + str(min(range(0, 10, 3), key=lambda y: (abs(y + 0.25 - x), y))) for p in range(6) for x in range(10)}
