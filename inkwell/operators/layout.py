@@ -173,46 +173,57 @@ def keep_text(glyphs: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
     return split_sizes(glyphs, by).where(~F.col("small")).select(*glyphs.columns)
 
 
-#: Rows of small text in a cell that are compared with the cell's text in one task.
-CELL_ROWS = 4096
+#: Rows of small text in a tile that are compared with the tile's text in one task, and cells along a tile's side.
+CELL_ROWS, TILE = 4096, 4
 
 
-def base_of_small(small: DataFrame, text: DataFrame, key: str, by: Sequence[str] = PAGE, reach: float = 12.0, cell: float = 48.0) -> DataFrame:
+def base_of_small(small: DataFrame, text: DataFrame, key: str, by: Sequence[str] = PAGE, reach: float = 12.0, cell: float = 48.0, tasks: int | None = None) -> DataFrame:
     """small with base (the key of the nearest text within reach, null if there is none) and distance.
 
     small and text: by, x0, top, x1, bottom; text has key besides, small any others.  The distance is that from the middle of a small box to
     a text's box, 0 inside it; ties go to the smaller key.  A box without all its edges reaches nothing, and nothing reaches it; nulls in by
     match nothing.
 
-    Pages are laid out in cells; a text stands in all cells that it reaches, a small box's middle in one, so only what shares a cell
-    is compared.  A cell with more than CELL_ROWS small boxes is divided among as many tasks as they need, with its text in each.
+    Pages are laid out in tiles of TILE by TILE cells; a text stands in all tiles that it reaches, a small box's middle in one, so only what shares a tile
+    is compared.  A tile with more than CELL_ROWS small boxes is divided among as many parts as they need, with its text in each; there is a row for
+    each such tile, and all tasks get these.  Both sides are dealt once, by tile and part, to tasks (as many as their counted rows need, if not given); all
+    else is done where they meet, also for small boxes that nothing reaches.
     """
-    keep, (row, cx, cy, part, parts) = small.columns, spare(["_row", "_cx", "_cy", "_part", "_parts"], [*small.columns, *text.columns])
-    at = lambda v: F.floor(v / cell).cast("long")
+    keep, (row, cx, cy, part, parts, copies) = small.columns, spare(["_row", "_cx", "_cy", "_part", "_parts", "_copies"], [*small.columns, *text.columns])
+    n = tasks or tasks_for(small, text)
+    at = lambda v: F.floor(v / (cell * TILE)).cast("long")
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    spots = small.withColumn(row, F.struct(*[F.col(c) for c in keep])).withColumns({cx: at(mx), cy: at(my), "_mx": mx, "_my": my})
-    counts = spots.where(boxed()).groupBy(*by, cx, cy).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(parts))
-    cells = [*by, cx, cy]
+    tiles, keys = [*by, cx, cy], [*by, cx, cy, part]
+    spots = small.select(*by, F.when(boxed(), at(mx)).alias(cx), F.when(boxed(), at(my)).alias(cy), F.when(boxed(), mx).alias("_mx"), F.when(boxed(), my).alias("_my"), F.struct(*[F.col(c) for c in keep]).alias(row))
+    crowded = F.broadcast(spots.where(F.col(cx).isNotNull()).groupBy(*tiles).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(parts)).where(F.col(parts) > 1))
     boxes = text.where(boxed()).select(*by, F.col(key).alias("_base"), *(F.col(c).alias(f"_{c}") for c in ("x0", "top", "x1", "bottom")))
     across = F.explode(F.sequence(at(F.col("_x0") - reach), at(F.col("_x1") + reach)))
     down = F.explode(F.sequence(at(F.col("_top") - reach), at(F.col("_bottom") + reach)))
     spread = boxes.where("_x0 <= _x1 and _top <= _bottom").withColumn(cx, across).withColumn(cy, down)
-    spread = spread.join(counts, cells).withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
-    ids = spots.where(boxed()).select(*cells, "_mx", "_my", F.struct(*[F.col(c) for c in keep]).alias(row)).join(counts, cells)
-    dealt = ids.withColumn(part, F.pmod(F.xxhash64(row), F.col(parts)).cast("int")).drop(parts)
+    spread = spread.join(crowded, tiles, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    # what has no tile meets nothing, so its part only deals it out
+    own = F.pmod(F.xxhash64(row), F.when(F.col(cx).isNull(), F.lit(n)).otherwise(F.coalesce(parts, F.lit(1)))).cast("int")
+    spots = dealt(spots.join(crowded, tiles, "left").withColumn(part, own).drop(parts), keys, n)
+    once = spots.groupBy(*keys, row).agg(F.first("_mx").alias("_mx"), F.first("_my").alias("_my"), F.count(F.lit(1)).alias(copies))
+    there = [f"{c}_" for c in spare([f"_key{i}" for i in range(len(keys))], [*small.columns, *text.columns])]
+    met = dealt(spread, keys, n).select(*(F.col(c).alias(t) for c, t in zip(keys, there, strict=True)), "_base", "_x0", "_top", "_x1", "_bottom")
     dx = F.greatest(F.col("_x0") - F.col("_mx"), F.col("_mx") - F.col("_x1"), F.lit(0.0))
     dy = F.greatest(F.col("_top") - F.col("_my"), F.col("_my") - F.col("_bottom"), F.lit(0.0))
-    met = dealt.join(spread, [*cells, part]).withColumn("_d", F.sqrt(dx * dx + dy * dy)).where(F.col("_d") <= reach)
-    nearest = met.groupBy(row).agg(F.min(F.struct(F.col("_d").alias("d"), F.col("_base").alias("base"))).alias("n"))
-    back = nearest.select(F.col(row).alias("_own"), F.col("n.base").alias("base"), F.col("n.d").alias("distance"))
-    rows = small.withColumn(row, F.struct(*[F.col(c) for c in keep]))
-    return rows.join(back, F.col(row).eqNullSafe(F.col("_own")), "left").select(*keep, "base", "distance")
-
-
-def with_readings(text: DataFrame, attached: DataFrame, key: str, by: Sequence[str] = PAGE, opening: str = "《", closing: str = "》") -> DataFrame:
-    """text with its small text behind it in brackets, in the order of its ord; attached: of base_of_small()."""
+    far = F.sqrt(dx * dx + dy * dy)
+    same = far <= reach
+    for c, t in zip(keys, there, strict=True):
+        same = same & (F.col(c) == F.col(t))
+    joined = once.join(met, same, "left").withColumn("_d", F.when(F.col(there[-1]).isNotNull(), far))
+    least = F.min(F.when(F.col("_d").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_base").alias("base"))))
+    found = joined.groupBy(*keys, row).agg(least.alias("_n"), F.first(copies).alias(copies))
+    out = found.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return out.select(*[F.col(row)[c].alias(c) for c in keep], F.col("_n.base").alias("base"), F.col("_n.d").alias("distance"))
+
+
+def with_readings(text: DataFrame, attached: DataFrame, key: str, by: Sequence[str] = PAGE, opening: str = "《", closing: str = "》", tasks: int | None = None) -> DataFrame:
+    """text with its small text behind it in brackets, in the order of its ord; attached: of base_of_small(); tasks: as there, for text."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("t")))), lambda r: r["t"])
     readings = attached.where("base is not null").groupBy(*by, F.col("base").alias(key)).agg(F.array_join(parts, "").alias("_reading"))
-    joined = text.join(readings, [*by, key], "left")
+    joined = dealt(text, [*by, key], tasks or tasks_for(text)).join(readings, [*by, key], "left")
     said = F.when(F.col("_reading").isNotNull(), F.concat(F.coalesce("text", F.lit("")), F.lit(opening), F.col("_reading"), F.lit(closing))).otherwise(F.col("text"))
     return joined.withColumn("text", said).select(*text.columns)

@@ -139,3 +139,17 @@ def test_readings_go_to_the_nearest_text(spark, monkeypatch):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     read = layout.with_readings(spark.createDataFrame([glyph(1, 3, "漢", 0.0, 10.0), glyph(1, 4, "字", 10.0, 10.0)], GLYPHS), spark.createDataFrame([("f", 1, 8, "ん", 3), ("f", 1, 7, "か", 3), ("f", 1, 9, "x", None)], "path string, page int, ord int, text string, base int"), "ord")
     assert {r["ord"]: r["text"] for r in read.collect()} == {3: "漢《かん》", 4: "字"}
+
+
+def test_pages_are_dealt_to_as_many_tasks_as_their_glyphs_need(spark, monkeypatch):
+    monkeypatch.setattr("inkwell.operators.order.ROWS_A_TASK", 20)
+    rows = [glyph(p, i, f"t{i}", 10.0 * i, 0.0) for p in range(40) for i in range(5)]
+    df = spark.createDataFrame(rows, GLYPHS)
+    runs = layout.style_runs(layout.reading_order(df), separator=" ")
+    assert runs.rdd.getNumPartitions() == 10 and {r["text"] for r in runs.collect()} == {"t0 t1 t2 t3 t4"}
+
+
+def test_readings_meet_their_text_once(spark):
+    a, b = (spark.createDataFrame([glyph(1, i, "x", 9.0 * i, 0.0) for i in range(n)], GLYPHS) for n in (3, 9))
+    plan = layout.base_of_small(a, b, "ord")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and plan.count("Join") == 3
