@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.operators import align, anchors, layout, marks, styles
+from inkwell.operators.order import tasks_for
 from inkwell.sources.stored import stored
 
 PAGE = ("conv_id", "page")
@@ -89,16 +90,17 @@ def text_by_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kana_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word that each reading belongs to."""
     placed = table(spark, sf_dir)
-    found = layout.base_of_small(placed.where("font = 'Kana'"), placed.where("font <> 'Kana'"), "ord", PAGE)
+    boxes = placed.drop("text", "down", "size")
+    found = layout.base_of_small(boxes.where("font = 'Kana'").drop("font"), boxes.where("font <> 'Kana'").drop("font"), "ord", PAGE)
     return found.select(*PAGE, "ord", "base", "distance")
 
 
 def kana_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text with each reading in brackets behind its word."""
     placed = table(spark, sf_dir).withColumn("stream", F.col("ord"))
-    kana, text = placed.where("font = 'Kana'"), placed.where("font <> 'Kana'")
-    read = layout.with_readings(text, layout.base_of_small(kana, text, "stream", PAGE), "stream", PAGE)
-    return layout.reading_text(layout.reading_order(read, PAGE, F.col("down")), PAGE, word=" ")
+    kana, text, tasks = placed.where("font = 'Kana'"), placed.where("font <> 'Kana'"), tasks_for(placed)
+    read = layout.with_readings(text, layout.base_of_small(kana.drop("down", "font", "size"), text, "stream", PAGE, tasks=tasks), "stream", PAGE, tasks=tasks)
+    return layout.reading_text(layout.reading_order(read, PAGE, F.col("down"), tasks=tasks), PAGE, word=" ")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
