@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import spare
+from inkwell.sources.stored import stored
 
-
-#: Segments that are aligned in one call.
-SEGMENTS = 64
+#: Segments of a file that are aligned together, and lines of all files that one call of Python takes, about.
+SEGMENTS, LINES = 64, 20_000
 
 KINDS = ("same", "changed", "deleted", "inserted")
 
@@ -75,6 +75,14 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def files(rows: pa.Table, columns: Sequence[str]) -> dict[tuple[str, ...], list[int]]:
+    """The places of each file's rows, in their order; a file is known by how its columns' values are written, so that NaN is one value."""
+    out: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for k, values in enumerate(zip(*(map(repr, rows.column(c).to_pylist()) for c in columns), strict=True) if columns else [()] * rows.num_rows):
+        out[values].append(k)
+    return out
+
+
 def length(row: int, i: int, full: int) -> int:
     """Of the longest common subsequence up to place i, as a row has it."""
     return ((row ^ full) & ((2 << i) - 1)).bit_count()
@@ -102,8 +110,9 @@ def align(original: DataFrame, edited: DataFrame, by: Sequence[str], order: str
     place (from 1) is the order in which all stand.  A null text is one of its own kind of line, equal to other nulls.
 
     Lines that occur once on both sides are anchors; of those the longest chain that is in order on both sides stays, found from numbers
-    alone.  It cuts a file into segments, of which only what is no anchor is aligned, each apart, by a longest common subsequence: a task
-    sees SEGMENTS of them at a time.  A by that one side lacks is all deleted or all inserted.
+    alone.  It cuts a file into segments, of which only what is no anchor is aligned, each apart, by a longest common subsequence: SEGMENTS
+    of a file at a time.  A by that one side lacks is all deleted or all inserted.  Python is called for about LINES lines at a time, of as many files as
+    have them; the anchors that stay are stored, as both sides read them.
     """
     keys = spare([f"k{i}" for i in range(len(by))], [])
 
@@ -119,12 +128,20 @@ def align(original: DataFrame, edited: DataFrame, by: Sequence[str], order: str
     pairs = once(a, "i").unionByName(once(b, "j"), allowMissingColumns=True).groupBy(*keys, "t").agg(F.max("i").alias("i"), F.max("j").alias("j")).where("i is not null and j is not null").select(*keys, "i", "j")
     kinds = ", ".join(f"{k} {a.schema[k].dataType.simpleString()}" for k in keys)
 
+    calls = max(1, -(-(original.count() + edited.count()) // LINES))
+    bucket = lambda *also: F.pmod(F.xxhash64(F.lit(0), *keys, *also), F.lit(calls)).cast("int").alias("bucket")
+
     def chain(rows: pa.Table) -> pa.Table:
-        kept = increasing(list(zip(rows.column("i").to_pylist(), rows.column("j").to_pylist(), strict=True)))
-        head = {k: rows.column(k).take(pa.array([0] * len(kept), pa.int32())) for k in keys}
+        i, j = rows.column("i").to_pylist(), rows.column("j").to_pylist()
+        at, kept = [], []
+        for own in files(rows, keys).values():
+            found = increasing([(i[k], j[k]) for k in own])
+            kept += found
+            at += own[:1] * len(found)
+        head = {k: rows.column(k).take(pa.array(at, pa.int64())) for k in keys}
         return pa.table(head | {"i": pa.array([x for x, _ in kept], pa.int64()), "j": pa.array([y for _, y in kept], pa.int64())})
 
-    anchors = pairs.groupBy(*keys).applyInArrow(chain, f"{kinds}, i long, j long")
+    anchors = stored(pairs.select(bucket(), "*").groupBy("bucket").applyInArrow(chain, f"{kinds}, i long, j long"), "anchors")
 
     def segmented(rows: DataFrame, column: str, other: str) -> DataFrame:
         """rows with segment: how many anchors stand before or at each; an anchor, which opens its segment, has its place on the other side."""
@@ -134,26 +151,29 @@ def align(original: DataFrame, edited: DataFrame, by: Sequence[str], order: str
         return both.select(*keys, "i", "t", "other", F.count("other").over(window).alias("segment"))
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Segments of a file that follow each other: what their anchors leave."""
-        sides = [defaultdict(list), defaultdict(list)]
-        for side, rows in zip(sides, (left, right), strict=True):
+        """Segments of some files: what their anchors leave."""
+        sides = []
+        for rows in (left, right):
             rows = rows.sort_by("i")
-            for segment, i, t in zip(*(rows.column(c).to_pylist() for c in ("segment", "i", "t")), strict=True):
-                side[segment].append((i, t))
+            i, t = rows.column("i").to_pylist(), rows.column("t").to_pylist()
+            sides.append({name: [(i[k], t[k]) for k in own] for name, own in files(rows, [*keys, "segment"]).items()})
+        both = pa.concat_tables([left.select([*keys, "segment"]), right.select([*keys, "segment"])])
         out: list[tuple] = []
-        for segment in sorted(sides[0].keys() | sides[1].keys()):
-            own, new = sides[0][segment], sides[1][segment]
+        places: list[int] = []
+        for name, spots in files(both, [*keys, "segment"]).items():
+            own, new = (side.get(name, []) for side in sides)
+            segment = int(name[-1])
             for at, (i, j, kind) in enumerate(aligned([t for _, t in own], [t for _, t in new]), 1):
                 out.append((segment, at, *((None, None) if i is None else own[i]), *((None, None) if j is None else new[j]), kind))
-        one = left if left.num_rows else right
-        head = {k: one.column(k).take(pa.array([0] * len(out), pa.int32())) for k in keys}
+                places.append(spots[0])
+        head = {k: both.column(k).take(pa.array(places, pa.int64())) for k in keys}
         kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
         return pa.table(head | {n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(("segment", "at", "was", "text", "now", "edited", "kind"), kinds_, strict=True))})
 
     left, right = segmented(a, "i", "j"), segmented(b, "j", "i")
     same = left.where("other is not null").select(*keys, "segment", F.lit(0).cast("long").alias("at"), F.col("i").alias("was"), F.col("t").alias("text"), F.col("other").alias("now"), F.col("t").alias("edited"), F.lit("same").alias("kind"))
-    rest = [rows.where("other is null").select(*keys, F.floor(F.col("segment") / SEGMENTS).alias("part"), "segment", "i", "t") for rows in (left, right)]
-    parts = [rows.groupBy(*keys, "part") for rows in rest]
+    rest = [rows.where("other is null").select(*keys, bucket(F.floor(F.col("segment") / SEGMENTS)), "segment", "i", "t") for rows in (left, right)]
+    parts = [rows.groupBy("bucket") for rows in rest]
     done = same.unionByName(parts[0].cogroup(parts[1]).applyInArrow(settle, f"{kinds}, segment long, at long, was long, text string, now long, edited string, kind string"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("segment", "at"))
     return done.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], place.alias("place"), "was", "now", "kind", "text", "edited")

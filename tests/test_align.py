@@ -75,3 +75,18 @@ def test_read_back_and_applied(spark):
     found = align.align(entries.where("path = 'f'"), edited, ["path"])
     assert [(r["n"], r["text"]) for r in align.applied(found, ["path"]).orderBy("n").collect()] == [(1, "one\nmore"), (2, "new"), (3, "")]
     assert [(r["n"], r["text"]) for r in align.applied(found, ["path"], F.col("kind") == "inserted").orderBy("n").collect()] == [(1, "one\nmore"), (2, "two"), (3, "")]
+
+
+def test_files_share_calls_and_stay_apart(spark, monkeypatch):
+    nan = float("nan")
+    names = [None, nan, *map(float, range(30))]
+    a = [(f, n, f"line {n % 4} {n // 4}") for f in names for n in range(9)]
+    b = [(f, n, "new" if n == 4 else t) for f, n, t in a if n != 2]
+    kind = "f double, n int, text string"
+    found = []
+    for lines in (2, 10**6):  # a file to a call and all files in one
+        monkeypatch.setattr(align, "LINES", lines)
+        out = align.align(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), ["f"])
+        found.append(sorted((str(r["f"]), r["place"], r["was"] or 0, r["now"] or 0, r["kind"]) for r in out.collect()))
+    want = [(1, 1, 1, "same"), (2, 2, 2, "same"), (3, 3, 0, "deleted"), (4, 4, 3, "same"), (5, 5, 4, "changed"), *((k, k, k - 1, "same") for k in range(6, 10))]
+    assert found[0] == found[1] == sorted((str(f), *w) for f in names for w in want)
