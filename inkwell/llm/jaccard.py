@@ -9,13 +9,14 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.blocks import answered, bucket_of, how_common, ranked, scattered, send
 from inkwell.llm.components import components
 from inkwell.llm.neardup import spanned
-from inkwell.llm.shared import few, free, quoted, saved, stored, tasks
+from inkwell.llm.shared import Scratch, few, free, quoted, saved, sieved, stored, tasks
 from inkwell.llm.words import LOWER, ROLL, forget, mix, slices, span_hashes, text_buffers, window_hashes, word_bounds
 
 SHINGLE, PERCENT = 5, 80
@@ -28,6 +29,7 @@ STARS = 2
 #: DivideSkip: how much a probe of a long list costs against merging it.
 MU = 0.01
 
+SIFTED = "doc_id long, t long, n long, text string"
 SETS = "doc_id long, t long, n long, s1 long, s2 long, shingles binary, prefix binary, indexed int"
 
 
@@ -73,10 +75,51 @@ def shingle_pairs(rows: pa.Table, k: int, buckets: int) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def eighths(percent: int) -> int:
+    """How many eighths of all shingles tell that a document has too few that occur elsewhere: over twice the part that it may have alone."""
+    return min(8, -(-25 * (100 - percent) * 8 // 1000))
+
+
+def sifted(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """SIFTED, one row per row of docs: n distinct shingles; the text is null for a document that can't link.
+
+    Some eighths of the shingles, taken by their hash, are counted over all rows by 32 bits of it.  A document with more of them to itself
+    than the n - least_overlap that it may have of all links with nothing.  Shingles that these bits take for one only leave a document
+    more for shingle_sets(), which counts all shingles of what is left by their whole hashes.
+    """
+    part = eighths(percent)
+
+    def some(rows: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, b, row = shingle_pairs(rows, k, buckets)
+        n = np.bincount(row, minlength=rows.num_rows)
+        taken = (h & np.uint64(7)) < part
+        return h[taken] >> np.uint64(32), b[taken], row[taken], n
+
+    def sender(rows: pa.Table, block: int, buckets: int) -> pa.Table:
+        h, b, _, _ = some(rows, buckets)
+        order, cuts = ranked(h, b)
+        at = order[cuts]
+        return send(block, h[at], b[at], np.diff(np.append(cuts, len(h))))
+
+    def finish(rows: pa.Table, codes: np.ndarray, buckets: int) -> pa.Table:
+        h, b, row, n = some(rows, buckets)
+        order, cuts = ranked(h, b)
+        level = np.zeros(len(h), np.uint8)
+        level[order] = np.repeat(codes, np.diff(np.append(cuts, len(h))))
+        alone = np.bincount(row[level == 1], minlength=rows.num_rows)
+        left = pa.array((n > 0) & (alone <= n - least_overlap(n, percent)))
+        text = pc.if_else(left, rows.column("text").combine_chunks(), pa.scalar(None, rows.column("text").type))
+        return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "t": rows.column("t").cast(pa.int64()), "n": pa.array(n, pa.int64()), "text": text})
+
+    rows, size = scattered(docs)
+    return answered(rows, size * part // 8, sender, how_common, finish, SIFTED)
+
+
+def shingle_sets(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """SETS, one row per row of docs: n distinct shingles; for a document that can link, its set and prefix.
 
-    A document links only if least_overlap() of its shingles occur elsewhere; all other documents are done.
+    A document links only if least_overlap() of its shingles occur elsewhere; all other documents are done, most of them by sifted(),
+    so that only what may have copies sends all of its shingles.
     t: a hash of the text.  shingles: the set as sorted 64-bit hashes; s1, s2: a hash of it.  prefix: those of its shingles that occur
     elsewhere and are among its n - least_overlap + 1 rarest, in one order for all documents; the first indexed of them are among its
     n - overlap_of_equals + 1 rarest.  The first shingle that two linked documents share is in both prefixes, and among the indexed of
@@ -121,8 +164,11 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         kinds = {"s1": pa.int64(), "s2": pa.int64(), "shingles": pa.binary(), "prefix": pa.binary(), "indexed": pa.int32()}
         return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "t": rows.column("t").cast(pa.int64()), "n": pa.array(n, pa.int64()), **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
 
-    rows, size = scattered(docs)
-    return answered(rows, size, sender, how_common, finish, SETS)
+    all_rows = scratch.store(sifted(docs, k, percent))
+    rows, size = scattered(all_rows.where("text is not null"))
+    sets = answered(rows, size, sender, how_common, finish, SETS)
+    done = all_rows.where("text is null")
+    return sets.unionAll(done.select("doc_id", "t", "n", *[F.lit(None).cast(f.dataType).alias(f.name) for f in sets.schema.fields[3:]]))
 
 
 class Index:
@@ -236,7 +282,9 @@ def classes(docs: DataFrame, shingle: int, percent: int, by_id: bool) -> tuple[D
     documents that such lists connect are a family, and each is searched for in all of its family, tile by tile.  Documents that share
     no more than a frame of common text are in no such list, as common shingles come late in the order and so are indexed by none.
     """
-    sets = stored(shingle_sets(docs, shingle, percent).withColumn("u", F.monotonically_increasing_id()), "shingles")
+    scratch = Scratch(docs.sparkSession, "sifted")
+    sets = stored(shingle_sets(docs, shingle, percent, scratch).withColumn("u", F.monotonically_increasing_id()), "shingles")
+    scratch.drop()
     filled = sets.where("s1 is not null and doc_id is not null")
     names = saved(filled.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t", "u")).alias("least")).select("s1", "s2", "least.doc_id", "least.t", F.col("least.u").alias("v")))
     own = filled.select(F.col("u").alias("v"), "n", "shingles", "prefix", "indexed").join(names.select("v"), "v", "left_semi")
@@ -317,8 +365,10 @@ def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "t").join(gone, ["doc_id", "t"], "left_anti").withColumn("gone", F.lit(False))
     d, t, verdict = free(["d", "t", "gone"], docs.columns)
     marks = saved(gone.unionAll(again)).toDF(d, t, verdict)
-    marked = docs.withColumns({d: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce("text", F.lit("")))}).join(marks, [d, t], "left")
-    once = marked.where(F.col(verdict).isNull()).select(*quoted(docs.columns))
+    keyed = docs.withColumns({d: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    met, others = sieved(keyed, marks, [d, t])  # so that texts which stay are not dealt out
+    marked = met.join(marks, [d, t], "left")
+    once = marked.where(F.col(verdict).isNull()).select(*quoted(docs.columns)).unionAll(others.select(*quoted(docs.columns)))
     if marks.where(~F.col(verdict)).isEmpty():
         return once
     return once.unionByName(marked.where(~F.col(verdict)).dropDuplicates([d, t]).select(*quoted(docs.columns)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.shared import Scratch, free, numbered, quoted
+from inkwell.llm.shared import Scratch, free, numbered, quoted, sieved
 from inkwell.llm.words import BASES, forget, slices, span_hashes, text_buffers, word_bounds
 
 #: Fewest words of a run of lines that is deleted.  One: each repeated line goes, however short it is.
@@ -171,7 +171,10 @@ def remove_repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> Da
     names = free(["n_lines", "n_removed", "n_runs", "longest_run"], docs.columns)
     d, t, own, copy = free(["d", "t", "cuts", "copy"], docs.columns)
     keys = key_of(docs)
-    joined = docs.withColumns({d: keys[0], t: keys[1]}).join(marks.toDF(d, t, own, copy), [d, t], "left").select(*quoted(docs.columns), own, copy)
+    marks = marks.toDF(d, t, own, copy)
+    met, others = sieved(docs.withColumns({d: keys[0], t: keys[1]}), marks, [d, t])  # so that texts without a mark are not dealt out
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema.fields[2:]]
+    joined = met.join(marks, [d, t], "left").select(*quoted(docs.columns), own, copy).unionAll(others.select(*quoted(docs.columns), *none))
     at, width, all_names = docs.columns.index("text"), len(docs.columns), [*docs.columns, *names]
     blank = bytes(range(9, 14)) + b" "
 

@@ -980,3 +980,33 @@ def test_pipeline_on_odd_rows(spark, docs):
         at = stage(spark, at, SF)
         assert at.columns == docs.columns
     assert {None, 1, 2, 3, 4, 9} <= {r["doc_id"] for r in at.collect()}
+
+
+def shuffled(spark):
+    """Bytes of all shuffles so far."""
+    context, none = spark.sparkContext, spark.sparkContext._jvm.java.util.ArrayList()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30000)
+    stages = context._jsc.sc().statusStore().stageList(none, False, False, context._gateway.new_array(context._jvm.double, 0), none).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
+@pytest.mark.parametrize(("stage", "most"), [(corpus_pipeline.repeated_lines, 0.5), (corpus_pipeline.near_copies, 2.7)])
+def test_texts_that_join_nothing_are_not_dealt_out_again(spark, stage, most):
+    rng = np.random.default_rng(6)
+    rows = [(k, "\n".join(" ".join(map(str, rng.integers(10**8, 10**9, 50))) for _ in range(100))) for k in range(40)]
+    rows += [(100, rows[3][1]), (101, rows[5][1].replace("1", "2", 1)), (102, rows[7][1].split("\n")[9] + "\nown line")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    size = sum(len(t) for _, t in rows)
+    given.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = shuffled(spark)
+        got = {r["doc_id"]: r["text"] for r in stage(spark, given, SF).collect()}
+        assert shuffled(spark) - before < most * size
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {k: got[k] for k in range(40)} == dict(rows[:40]) and 100 not in got
+    assert (got[102] == "own line" and 101 in got) if stage is corpus_pipeline.repeated_lines else (101 not in got and got[102] == rows[-1][1])
