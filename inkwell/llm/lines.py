@@ -1,4 +1,7 @@
-"""Line dedup: maximal repeated runs of lines, found in a suffix array over line numbers that distributed prefix doubling sorts."""
+"""Line dedup: maximal repeated runs of lines, found in a suffix array over line numbers that distributed prefix doubling sorts.
+
+What is left of the array after some doublings becomes small, as few runs are long; once it is one task's work, all further doublings are done there.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.shared import Scratch, free, numbered, quoted, sieved
+from inkwell.llm.shared import ROWS_A_TASK, Scratch, free, numbered, quoted, sieved
 from inkwell.llm.words import BASES, forget, slices, span_hashes, text_buffers, word_bounds
 
 #: Fewest words of a run of lines that is deleted.  One: each repeated line goes, however short it is.
@@ -85,6 +88,7 @@ def ranked(keyed: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
 def suffix_ranks(places: DataFrame, rows: int, scratch: Scratch) -> list[tuple[DataFrame, int]]:
     """For each k as long as there are any: p, rank, f, n of the suffixes whose first n = 2**k lines stand elsewhere as well, and their number.
 
+    The first of these tables with ROWS_A_TASK rows at most is the last one: see longest_in_task().
     Prefix doubling: the rank of 2n lines is that of a pair, the ranks of n lines here and n lines on.  Suffixes with one
     rank are an interval of the suffix array with a common prefix; a suffix with no such neighbour is settled and takes no further part.
     """
@@ -92,11 +96,54 @@ def suffix_ranks(places: DataFrame, rows: int, scratch: Scratch) -> list[tuple[D
     levels, now = [], ranked(places.select("p", F.col("rank").alias("a"), zero.alias("b"), one.alias("n")), rows, scratch)
     while rows := now.count():
         levels.append((now, rows))
+        if rows <= ROWS_A_TASK:
+            break
         ahead = now.select((F.col("p") - F.col("n")).alias("p"), F.col("rank").alias("b"))
         now = ranked(now.select("p", F.col("rank").alias("a"), (F.col("n") + F.col("n")).alias("n")).join(ahead, "p"), rows, scratch)
     return levels
 
 
+def grouped(p: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's group, the rows with its keys: its number in the order of the keys, its least p, and how many rows it has."""
+    order = np.lexsort((p, *keys[::-1]))
+    new = np.ones(len(p), bool)
+    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    begins, number = np.flatnonzero(new), np.empty(len(p), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, p[order[begins]][number], np.diff(np.append(begins, len(p)))[number]
+
+
+def met_at(p: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the places sought are in p, which ascends, and where."""
+    at = np.searchsorted(p, sought)
+    rows = np.flatnonzero(p[np.minimum(at, len(p) - 1)] == sought) if len(p) else np.zeros(0, np.int64)
+    return rows, at[rows]
+
+
+def longest_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """p, m, f as in longest_earlier(), from one whole table of suffix_ranks(): its steps from there up and down again, in one task."""
+    p, rank, f, n = (np.concatenate(x) for x in zip(*[[c.to_numpy() for c in b.columns] for b in batches], strict=True))
+    order, n, levels = np.argsort(p), int(n[0]), []
+    p, rank, f = p[order], rank[order], f[order]
+    while len(p):
+        levels.append((p, rank, f, n))
+        rows, at = met_at(p, p + n)
+        number, least, many = grouped(p[rows], rank[rows], rank[at])
+        p, rank, f, n = p[rows][many > 1], number[many > 1], least[many > 1], 2 * n
+    own, m, first = (np.zeros(0, np.int64) for _ in range(3))
+    for p, rank, f, n in reversed(levels):
+        heads, lengths = np.unique(np.stack([first, m]), axis=1)
+        both, both_m, both_f = np.append(own, heads), np.append(m, lengths), np.append(first, heads)
+        rows, at = met_at(p, both + both_m)
+        _, least, _ = grouped(both[rows], both_f[rows], both_m[rows], rank[at])
+        on = least < both[rows]
+        both_m[rows[on]] += n
+        both_f[rows[on]] = least[on]
+        new = (p > f) & ~np.isin(p, own)
+        m, first, own = np.append(both_m[: len(own)], np.full(new.sum(), n)), np.append(both_f[: len(own)], f[new]), np.append(own, p[new])
+    yield pa.record_batch([pa.array(x, pa.int64()) for x in (own, m, first)], names=["p", "m", "f"])
+
+
 def longest_earlier(levels: list[tuple[DataFrame, int]], scratch: Scratch) -> DataFrame | None:
     """p, m, f: the m first lines of the suffix at p, and no more, stand at f < p already; f is the first such place.
 
@@ -110,7 +157,8 @@ def longest_earlier(levels: list[tuple[DataFrame, int]], scratch: Scratch) -> Da
         new = level.where("p > f").select("p", F.col("n").alias("m"), "f")
         both_rows, above = rows + above, rows  # what state has are suffixes of the level above
         if state is None:
-            state = scratch.store(new, rows)
+            rest = level.select("p", "rank", "f", "n").coalesce(1).mapInArrow(longest_in_task, "p long, m long, f long") if rows <= ROWS_A_TASK else new
+            state = scratch.store(rest, rows)
             continue
         heads = state.select(F.col("f").alias("p"), "m", "f").distinct()
         both = state.unionByName(heads).withColumn("q", F.col("p") + F.col("m"))

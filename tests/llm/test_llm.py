@@ -524,6 +524,28 @@ def test_line_dedup_of_runs(spark, least):
     assert line_results(lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), least)) == set(brute_lines(rows, least))
 
 
+@pytest.mark.parametrize("most", [0, 5, 40, 10**6])
+def test_line_dedup_ends_in_one_task_from_any_table_on(spark, monkeypatch, most):
+    """Whether all doublings are joins, some, or only the first, runs are the same."""
+    monkeypatch.setattr(lines, "ROWS_A_TASK", most)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), "\n".join(rng.choice(["a", "b", "c"], 12))) for i in range(12)] + [(70, "\n".join(["z"] * 19)), (71, "\n".join(["z"] * 9 + ["y"] + ["z"] * 9))]
+    assert line_results(lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == set(brute_lines(rows, 1))
+
+
+def test_line_dedup_of_long_runs_takes_no_more_jobs(spark):
+    """The driver plans as many jobs for a run of 300 lines as for one of 2, and joins no more tables."""
+    context, jobs = spark.sparkContext, []
+    for length in (2, 300):
+        text = "\n".join(f"line {k}" for k in range(length))
+        context.setJobGroup(f"runs of {length}", "")
+        given = spark.createDataFrame([(k, f"own {k}\n{text}\nlast {k}") for k in range(3)], "doc_id long, text string")
+        assert lines.remove_repeated_lines(given).where(f"n_removed = {length} and longest_run = {length}").count() == 2
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"runs of {length}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 3
+
+
 def test_line_dedup_of_many_equal_rows(spark):
     """Equal rows, rows without an id and a line that all documents hold cost no more than in proportion."""
     text = "\n".join(f"line {k} of one text" for k in range(12))
